@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import simhash
+from ravelin.llm import secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of("spans", kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.span_list("spans", secrets.BASE), 256).alias("base_sha256"), secrets.span_list("spans").alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {"op8_secrets": op8_secrets, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
