@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import packing, secrets, simhash, weak_rules
+from ravelin.llm import packing, secrets, simhash, warc, weak_rules
+from ravelin.llm._scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    note = lambda key: F.col("metadata.notes")[key].cast("long")
+    return found.select(note("captureId").alias("page_id"), note("payloadLength").alias("payload_bytes"), F.col("main.digest").alias("payload_digest"), "main.record_type", note("refersToCapture").alias("refers_to"), F.col("main.target_uri").alias("url"))
+
+
 def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weak_rules.judge(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("posterior").alias("p_quality"))
@@ -35,5 +42,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash}
+QUERIES = {"op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
