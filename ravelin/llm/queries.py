@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import packing, secrets, simhash, warc, weak_rules
+from ravelin.llm import packing, secrets, simhash, tiling, warc, weak_rules
 from ravelin.llm._scratch import Scratch
 
 
@@ -42,5 +42,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash}
+def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tiling.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles", "words")
+
+
+QUERIES = {"op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
 ORACLE_SQL: dict[str, str] = {}
