@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import packing, secrets, simhash, tiling, warc, weak_rules
+from ravelin.llm import packing, quality, secrets, simhash, tiling, warc, weak_rules
 from ravelin.llm._scratch import Scratch
 
 
@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(quality.fold(F.col("doc_id")) != 1))
+    held = F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False))
+    scored = quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_and_read(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
     note = lambda key: F.col("metadata.notes")[key].cast("long")
@@ -47,5 +55,5 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles", "words")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
+QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
 ORACLE_SQL: dict[str, str] = {}
