@@ -136,6 +136,13 @@ def link_fingerprints(fps: DataFrame, distance: int, n: int) -> DataFrame:
     return keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_links(distance), "a long, b long").distinct()
 
 
+def _components(distinct: DataFrame, max_distance: int, scratch: Scratch) -> DataFrame:
+    """(fp, first, root) for a written table of distinct fingerprints (fp, first): root is the same in a component."""
+    links = link_fingerprints(distinct.select("fp"), max_distance, distinct.count())
+    roots = connected_components(distinct.sparkSession, links, scratch).withColumnRenamed("node", "fp")
+    return scratch.write(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4) -> DataFrame:
     """(id, fp, component_id) per row; component_id is the smallest id reachable through fingerprints that differ in
     at most ``max_distance`` bits, the row's own included.
@@ -144,13 +151,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component has no other. Repeated rows and ids keep their rows. An empty table gives an empty result. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     table = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fp")
     distinct = scratch.write(table.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    links = link_fingerprints(distinct.select("fp"), max_distance, distinct.count())
-    roots = connected_components(spark, links, scratch).withColumnRenamed("node", "fp")
-    rooted = scratch.write(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _components(distinct, max_distance, scratch)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     label = rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
     return table.join(label, F.col("fp") == F.col("fp_")).select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4) -> DataFrame:
+    """The row of the smallest id of every component, with the columns of ``docs``; among rows that repeat that id,
+    the first that was written. A null id is larger than any other here."""
+    fields = docs.schema.fields
+    field = [i for i, f in enumerate(fields) if f.name == text_col][0]
+    marked = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField("fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(field)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=marked.names)
+
+    scratch = Scratch(docs.sparkSession, "simhash")
+    table = scratch.write(docs.mapInArrow(run, marked).withColumn("row", F.monotonically_increasing_id()), "rows")
+    key = F.col(f"c{[f.name for f in fields].index(id_col)}")
+    order = F.struct(key.isNull().alias("none"), key.alias("id"), "row")
+    rooted = _components(scratch.write(table.groupBy("fp").agg(F.min(order).alias("first")), "distinct"), max_distance, scratch)
+    kept = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
+    return table.join(kept, "row", "left_semi").select([F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)])
