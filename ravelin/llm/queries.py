@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import packing, quality, secrets, simhash, tiling, warc, weak_rules
+from ravelin.llm import packing, quality, secrets, simhash, suffix_tree, tiling, warc, weak_rules
 from ravelin.llm._scratch import Scratch
 
 
@@ -39,6 +39,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(suffix_tree.fold(F.col("doc_id")) == 2, F.lit(False))
+    found = suffix_tree.score_texts(table(spark, sf_dir, "documents"), ~held)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     counts = [secrets.count_of("spans", kind).alias(f"n_{kind}") for kind in secrets.BASE]
@@ -55,5 +61,5 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles", "words")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
+QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
 ORACLE_SQL: dict[str, str] = {}
