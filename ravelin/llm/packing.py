@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,39 +33,64 @@ class Cost:
         return self.linear * n + self.quadratic * n * n
 
 
-def word_tokenizer(path: str) -> Callable[[str], bytes]:
-    """Token ids, as little-endian unsigned 32-bit bytes, of a tokenizer file whose pre-tokenizer cuts words.
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str, held: int = 400_000) -> Callable[[str], bytes]:
+    """Token ids, as little-endian unsigned 32-bit bytes, of a tokenizer file whose pre-tokenizer cuts at white space.
 
-    The tokenizer's model sees one pre-token at a time, so ids are remembered by pre-token (up to a bound, then the
-    memory starts anew). Texts on which normalising could join what the cut sees apart go to the tokenizer whole.
+    No pre-token crosses white space, so ids are remembered by what stands between it, and below that by pre-token
+    (up to ``held`` of either, then the memory starts anew); a worker keeps both while it lives. What could change its
+    cut when it is normalised goes to the tokenizer as it is.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have their own tasks
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    known: dict[str, bytes] = {}
+    chunks: dict[bytes, bytes] = {}
+    words: dict[str, bytes] = {}
     plain = re.compile(r"[\x00-\x1b\x20-\x7f¡-¬®-´¶-İĲ-ĿŁ-ž]*")  # composed, stays so, lower case keeps its length
-    words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
-
-    def whole(text: str) -> bytes:
-        return np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
+
+    ends = np.array([(model.id_to_token(i) or "").endswith("</w>") for i in range(model.get_vocab_size())])
+
+    def ids(text: str) -> np.ndarray:
+        return np.array(model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn_words(new: list[str]) -> None:
+        """One call for many words: each is one pre-token, so its ids end at the next that ends a word."""
+        got = ids(" ".join(new))
+        stops = (np.flatnonzero(ends[got]) + 1).tolist()
+        if len(stops) != len(new):
+            words.update((w, ids(w).tobytes()) for w in new)
+            return
+        raw = got.tobytes()
+        words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, [0, *stops], stops))
+
+    def learn(new: list[bytes]) -> None:
+        cuts = {}
+        for chunk in new:
+            text = chunk.decode()
+            if plain.fullmatch(text) and "İ" not in text:
+                cuts[chunk] = cut.findall(text.lower())
+            else:
+                chunks[chunk] = ids(text).tobytes()
+        missing = [w for w in {w for x in cuts.values() for w in x} if w not in words]
+        for lo in range(0, len(missing), 4000):
+            learn_words(missing[lo : lo + 4000])
+        chunks.update((c, b"".join([words[w] for w in x])) for c, x in cuts.items())
 
     def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if not plain.fullmatch(text) or "İ" in text:
-            return whole(text)
-        found = words.findall(text.lower())
+        found = text.encode().split()  # at ASCII white space
         try:
-            return b"".join([known[w] for w in found])
+            return b"".join([chunks[c] for c in found])
         except KeyError:
             pass
-        if len(known) > 400_000:
-            known.clear()
-        new = [w for w in dict.fromkeys(found) if w not in known]
-        for w, e in zip(new, model.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in found])
+        if len(chunks) > held:
+            chunks.clear()
+        if len(words) > held:
+            words.clear()
+        learn(list(set(found).difference(chunks)))
+        return b"".join([chunks[c] for c in found])
 
     return encode
 
