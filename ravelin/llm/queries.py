@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import packing, quality, secrets, simhash, suffix_tree, templates, tiling, warc, weak_rules
+from ravelin.llm import packing, quality, secrets, simhash, substrings, suffix_tree, templates, tiling, warc, weak_rules
 from ravelin.llm._scratch import Scratch
 
 
@@ -32,6 +32,10 @@ def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("posterior").alias("p_quality"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.main_text(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -66,5 +70,5 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles", "words")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op5_templates": op5_templates, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
+QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op4_substrings": op4_substrings, "op5_templates": op5_templates, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
 ORACLE_SQL: dict[str, str] = {}
