@@ -178,4 +178,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(key.isNull().alias("none"), key.alias("id"), "row")
     rooted = _components(scratch.write(table.groupBy("fp").agg(F.min(order).alias("first")), "distinct"), max_distance, scratch)
     kept = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "kept")
-    return table.join(kept, "row", "left_semi").select([F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)])
+    # Joined by sorted shuffles at every size: the rows that are kept soon outgrow what may be sent to all tasks.
+    return table.join(kept.hint("merge"), "row", "left_semi").select([F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)])
