@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import heapq
+import json
 import os
 import re
 import zlib
@@ -33,64 +35,88 @@ class Cost:
         return self.linear * n + self.quadratic * n * n
 
 
+def _byte_letters() -> str:
+    """Byte-level vocabularies write a byte as a printable letter: itself, or one of those from 256 on in turn. The
+    space stays, it parts words here."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    later = iter(range(256, 512))
+    letters = [chr(b if b in shown else next(later)) for b in range(256)]
+    letters[32] = " "
+    return "".join(letters)
+
+
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str, held: int = 400_000) -> Callable[[str], bytes]:
-    """Token ids, as little-endian unsigned 32-bit bytes, of a tokenizer file whose pre-tokenizer cuts at white space.
+def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list[bytes]]:
+    """Token ids, as little-endian unsigned 32-bit bytes, of texts, by a tokenizer file that cuts at white space.
 
     No pre-token crosses white space, so ids are remembered by what stands between it, and below that by pre-token
-    (up to ``held`` of either, then the memory starts anew); a worker keeps both while it lives. What could change its
-    cut when it is normalised goes to the tokenizer as it is.
+    (the first ``held`` of either, later ones for one call only); a worker keeps both while it lives. New pre-tokens go to
+    the tokenizer's model together, already normalised and cut. What could change its cut when it is normalised goes
+    to the tokenizer as it is.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have their own tasks
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+    bare = Tokenizer.from_str(json.dumps(parts))
     chunks: dict[bytes, bytes] = {}
     words: dict[str, bytes] = {}
-    plain = re.compile(r"[\x00-\x1b\x20-\x7f¡-¬®-´¶-İĲ-ĿŁ-ž]*")  # composed, stays so, lower case keeps its length
-    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
-
-    ends = np.array([(model.id_to_token(i) or "").endswith("</w>") for i in range(model.get_vocab_size())])
+    letters = _byte_letters()
+    plain = re.compile(r"[\x00-\x1b\x20-\x7f¡-¬®-´¶-įıĲ-ĿŁ-ž]*")  # composed, stays so, lower case keeps its length
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+|\n")
+    ends = np.array([(whole.id_to_token(i) or "").endswith("</w>") for i in range(whole.get_vocab_size())])
 
-    def ids(text: str) -> np.ndarray:
-        return np.array(model.encode(text, add_special_tokens=False).ids, "<u4")
+    def ids(text: str) -> bytes:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn_words(new: list[str]) -> None:
         """One call for many words: each is one pre-token, so its ids end at the next that ends a word."""
-        got = ids(" ".join(new))
+        line = codecs.charmap_decode(" ".join(new).encode(), "strict", letters)[0]
+        got = np.array(bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
         stops = (np.flatnonzero(ends[got]) + 1).tolist()
         if len(stops) != len(new):
-            words.update((w, ids(w).tobytes()) for w in new)
+            words.update((w, ids(w)) for w in new)
             return
         raw = got.tobytes()
         words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, [0, *stops], stops))
 
-    def learn(new: list[bytes]) -> None:
-        cuts = {}
-        for chunk in new:
-            text = chunk.decode()
-            if plain.fullmatch(text) and "İ" not in text:
-                cuts[chunk] = cut.findall(text.lower())
-            else:
-                chunks[chunk] = ids(text).tobytes()
-        missing = [w for w in {w for x in cuts.values() for w in x} if w not in words]
+    def learn(new: list[bytes]) -> list[str]:
+        lines = b"\n".join(new).decode()
+        if not plain.fullmatch(lines):
+            odd = [c for c in new if not plain.fullmatch(c.decode())]
+            chunks.update((c, ids(c.decode())) for c in odd)
+            new = list(set(new).difference(odd))
+            lines = b"\n".join(new).decode()
+        found = cut.findall(lines.lower())
+        missing = list(set(found).difference(words, "\n"))
         for lo in range(0, len(missing), 4000):
             learn_words(missing[lo : lo + 4000])
-        chunks.update((c, b"".join([words[w] for w in x])) for c, x in cuts.items())
-
-    def encode(text: str) -> bytes:
-        found = text.encode().split()  # at ASCII white space
-        try:
-            return b"".join([chunks[c] for c in found])
-        except KeyError:
-            pass
-        if len(chunks) > held:
-            chunks.clear()
-        if len(words) > held:
-            words.clear()
-        learn(list(set(found).difference(chunks)))
-        return b"".join([chunks[c] for c in found])
+        own: list[bytes] = []
+        at = iter(new)
+        for w in found:
+            if w == "\n":
+                chunks[next(at)] = b"".join(own)
+                own = []
+            else:
+                own.append(words[w])
+        for last in at:
+            chunks[last] = b"".join(own)
+        return missing
+
+    def encode(texts: list[str]) -> list[bytes]:
+        found = [t.encode().split() for t in texts]  # at ASCII white space
+        new = list(set().union(*found).difference(chunks))
+        brief = learn(new) if new else []
+        out = [b"".join([chunks[c] for c in f]) for f in found]
+        for memory, keys in ((chunks, new), (words, brief)):
+            if len(memory) > held:
+                for k in keys:
+                    memory.pop(k, None)
+        return out
 
     return encode
 
@@ -186,13 +212,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         held = 0
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block.append(encode(text.as_py() or "") + end)
-                ids.append(key)
-                held += len(block[-1]) // 4
-                if held >= block_tokens:
-                    yield emit()
-                    held = 0
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                for key, tokens in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                    block.append(tokens + end)
+                    ids.append(key)
+                    held += len(block[-1]) // 4
+                    if held >= block_tokens:
+                        yield emit()
+                        held = 0
         if block:
             yield emit()
 
