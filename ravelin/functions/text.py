@@ -47,8 +47,7 @@ def entity_name(name: Column) -> Column:
     """Trimmed, without honorific suffixes where more than one character is left before them."""
     out = strip(name)
     for suffix in L.NAME_SUFFIXES:
-        n = len(suffix)
-        out = F.when(out.endswith(suffix) & (F.length(out) > n + 1), F.substr(out, F.lit(1), F.length(out) - n)).otherwise(out)
+        out = F.regexp_replace(out, f"(?s)^(.{{2,}}){suffix}$", "$1")
     return strip(out)
 
 
