@@ -2,82 +2,92 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(BWT, suffix order) of a cyclic text of small integers, sorted by the first ``depth`` symbols at least.
+@dataclass(frozen=True)
+class Transform:
+    """A cyclic text in the order of its suffixes: where each begins, the two symbols before it (one in the lower
+    byte), the symbol before it, and the ranks of the suffixes that begin two and one symbols earlier."""
 
-    Prefix doubling: ranks by 2, 4, 8 ... symbols. Suffixes alike that far keep the order of their places.
-    """
+    order: np.ndarray
+    two: np.ndarray
+    one: np.ndarray
+    back_two: np.ndarray
+    back_one: np.ndarray
+
+
+def transform(text: np.ndarray, depth: int) -> Transform:
+    """The transform of a cyclic text of bytes, its suffixes sorted by the first ``depth`` symbols at least: by seven
+    at once, then, by the ranks of what follows, by 14, 28 and so on."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    order, reach = np.argsort(rank, kind="stable"), 1
-    while reach < depth:
-        after = np.roll(rank, -reach)
-        key = rank.astype(np.int64) * n + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        rank, reach = new, reach * 2
-        if rank[order[-1]] == n - 1:
+    key = np.zeros(n, np.uint64)
+    for k in range(7):
+        key = key << np.uint64(8) | np.roll(text, -k).astype(np.uint64)
+    reach = 7
+    while True:
+        order = np.argsort(key)
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
+        if reach >= depth or rank[order[-1]] == n - 1:
             break
-    return text[order - 1], order
+        key, reach = rank * np.uint64(n) + np.roll(rank, -reach), reach * 2
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    one = text[order - 1]
+    return Transform(order, text[order - 2].astype(np.uint16) << 8 | one, one, place[order - 2], place[order - 1])
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, block) of the merged transform of shards.
+def merge(transforms: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, block) of the merged transform: shards' suffixes, numbered on from shard to shard, in their new order.
 
-    ``interleave[i]`` is the shard that the i-th suffix of all comes from; a shard's suffixes keep their order. The
-    interleave starts as the shards in turn, alike in no symbol. Each round deals it out by the symbol before each
-    suffix, which orders all suffixes by one symbol more; suffixes of one block agree in all symbols so far, so a new
-    border between blocks says how long the common prefix of its two sides is. After ``depth`` rounds a block holds
-    the suffixes, of all shards, that begin with the same ``depth`` symbols. No suffix is compared with another.
+    The interleave starts as the shards in turn, alike in no symbol. A round deals it out, stably, by the two symbols
+    before each suffix, and each suffix gives way to the one that begins there: that orders all suffixes by two
+    symbols more. Suffixes of one block agree in all symbols so far, so where a new border appears says how long the
+    common prefix of its two sides is. After ``depth`` symbols a block holds the suffixes, of all shards, that begin
+    with the same ``depth`` symbols. The suffixes themselves are neither compared nor sorted anew.
     """
-    symbols = np.concatenate(transforms)
-    sizes = np.array([len(t) for t in transforms])
-    interleave = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-    at = np.arange(len(symbols))
-    block = np.zeros(len(symbols), np.int64)
-    for _ in range(depth):
-        before = symbols[at]
-        dealt = np.argsort(before, kind="stable")
-        interleave, before, old = interleave[dealt], before[dealt], block[dealt]
-        border = (before[1:] != before[:-1]) | (old[1:] != old[:-1])
-        block = np.append(0, np.cumsum(border))
-        at = np.empty(len(symbols), np.int64)
-        at[np.argsort(interleave, kind="stable")] = np.arange(len(symbols))
-    return interleave, block
+    sizes = np.array([len(t.order) for t in transforms])
+    before = np.cumsum(sizes) - sizes
+    two, one = (np.concatenate([getattr(t, a) for t in transforms]) for a in ("two", "one"))
+    back_two, back_one = (np.concatenate([getattr(t, a) + np.int32(b) for t, b in zip(transforms, before)]) for a in ("back_two", "back_one"))
+    at = np.arange(len(two), dtype=np.int32)
+    block = np.zeros(len(two), np.int32)
+    border = np.zeros(len(two), np.int32)
+    for symbols, back in [(two, back_two)] * (depth // 2) + [(one, back_one)] * (depth % 2):
+        dealt = np.argsort(symbols[at], kind="stable")
+        at, block = at[dealt], block[dealt]
+        symbol = symbols[at]
+        border[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(border, dtype=np.int32)
+        at = back[at]
+    return at, block
 
 
 def repeated_prefixes(texts: list[bytes], shard: np.ndarray, length: int, value: np.ndarray) -> list[np.ndarray]:
     """For every text, per start of a string of ``length`` bytes: the least ``value`` of a text that holds the string.
 
-    ``shard`` says which shard a text belongs to. Each shard's transform is made by itself, then all are merged.
+    ``shard`` says which shard a text belongs to. Each shard's transform is made by itself, then all are merged. The
+    texts of a shard are joined by a byte that ends each; a string has no end in it, so which byte does not matter.
     """
-    made, order, places = [], [], []
-    for s in range(int(shard.max()) + 1):
+    made, owners, offsets = [], [], []
+    for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
-        if not len(own):
-            continue
         sizes = np.array([len(texts[i]) + 1 for i in own])
-        flat = np.frombuffer(b"\0".join([texts[i] for i in own]) + b"\0", np.uint8).astype(np.uint16) + 1
-        stops = np.cumsum(sizes) - 1
-        flat[stops] = 0
-        bwt, suffixes = transform(flat, length)
-        made.append(bwt), order.append(suffixes)
-        places.append((np.repeat(own, sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)))
-    interleave, block = merge(made, length)
-    owner, offset = np.empty(len(block), np.int64), np.empty(len(block), np.int64)
-    for s, (suffixes, (text, place)) in enumerate(zip(order, places)):
-        at = np.flatnonzero(interleave == s)
-        owner[at], offset[at] = text[suffixes], place[suffixes]
-    whole = np.array([len(t) for t in texts])[owner] - offset >= length
+        made.append(transform(np.frombuffer(b"\0".join([texts[i] for i in own]) + b"\0", np.uint8), length))
+        places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        owners.append(np.repeat(own, sizes)[made[-1].order]), offsets.append(places[made[-1].order])
+    suffix, block = merge(made, length)
+    owner, offset = np.concatenate(owners)[suffix], np.concatenate(offsets)[suffix]
+    sizes = np.array([len(t) for t in texts])
+    whole = sizes[owner] - offset >= length
     owner, offset, block = owner[whole], offset[whole], block[whole]
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(value[owner], starts), np.diff(np.append(starts, len(block)))) if len(block) else np.empty(0, np.int64)
-    windows = np.array([max(0, len(t) - length + 1) for t in texts])
+    windows = np.maximum(0, sizes - length + 1)
     first = np.cumsum(windows) - windows
     out = np.empty(windows.sum(), np.int64)
-    out[first[owner] + offset] = least
+    if len(block):
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        out[first[owner] + offset] = np.repeat(np.minimum.reduceat(value[owner], starts), np.diff(np.append(starts, len(block))))
     return np.split(out, first[1:])

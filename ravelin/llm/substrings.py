@@ -1,6 +1,6 @@
 """Removing repeated byte strings across documents.
 
-Every string of ``length`` bytes has an anchor: of the short grams in it, the one of the least hash. Two documents
+Documents that equal one of a smaller id go first. Every string of ``length`` bytes has an anchor: of the short grams in it, the one of the least hash. Two documents
 that share a string share its anchor, so first only anchors are compared. The text around anchors that several
 documents have is cut into pieces: the strings of one anchor's occurrence, which overlap. Equal pieces are one. Where
 an anchor has unequal pieces, shards of them are Burrows-Wheeler transformed and merged, which gives the strings that
@@ -13,6 +13,7 @@ answers block by block; so what one anchor costs a bucket grows with the number
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,12 +64,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pieces(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, strings, document) of the pieces of a block of documents that end at ``ends``: a piece is a run
+def pieces(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor, start, strings, document, place of the anchor) of the pieces of a block of documents that end at ``ends``: a piece is a run
     of strings, the first at ``start``, that share an occurrence of their anchor. Strings do not cross documents."""
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     hashes = gram_hashes(data, gram)
     # The upper 32 bits compare grams, the lower are their places: of grams that compare alike, the first is least.
     least = sliding_min((hashes >> _HALF) << _HALF | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
@@ -79,7 +80,8 @@ def pieces(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     anchor = least[starts]
     real = anchor != _GONE
     anchor, starts, strings = anchor[real], starts[real], strings[real]
-    return hashes[(anchor & np.uint64(0xFFFFFFFF)).astype(np.int64)] >> np.uint64(20), starts, strings, np.searchsorted(ends, starts, "right")
+    place = (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return hashes[place] >> np.uint64(20), starts, strings, np.searchsorted(ends, starts, "right"), place
 
 
 def _blocks():
@@ -116,7 +118,7 @@ class _Cut:
 
     def __init__(self, data: bytes, sizes: list[int], keys: list, length: int, gram: int, buckets: int):
         self.data, self.ends = np.frombuffer(data, np.uint8), np.cumsum(sizes)
-        self.anchor, self.start, self.strings, self.document = pieces(self.data, self.ends, length, gram)
+        self.anchor, self.start, self.strings, self.document, self.place = pieces(self.data, self.ends, length, gram)
         self.key = np.array([NO_ID if k is None else k for k in keys], np.int64)[self.document] if len(keys) else np.empty(0, np.int64)
         self.buckets = buckets
 
@@ -177,7 +179,7 @@ class _Pieces:
             lo, hi = at[a["bucket"]], at[a["bucket"] + 1]
             hit[lo:hi] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=int(hi - lo)).astype(bool)
         chosen = np.flatnonzero(hit[index]) if len(index) else index
-        self.anchor, self.start, self.strings, self.key = (x[chosen] for x in (cut.anchor, cut.start, cut.strings, cut.key))
+        self.anchor, self.start, self.strings, self.key, self.place = (x[chosen] for x in (cut.anchor, cut.start, cut.strings, cut.key, cut.place))
         self.sizes = self.strings + length - 1
         value = np.append(np.uint64(0), np.cumsum((cut.data.astype(np.uint64) + np.uint64(1)) * _powers(len(cut.data))[: len(cut.data)]))
         # The sum over a piece, moved to the power of the block's end: comparable wherever the piece lies.
@@ -196,7 +198,8 @@ class _Pieces:
             if hi > lo:
                 f = self.first[lo:hi]
                 text = b"".join([data[s : s + n] for s, n in zip(self.start[f].tolist(), self.sizes[f].tolist())])
-                out.append((b, block, np.int64(hi - lo).tobytes() + self.anchor[f].tobytes() + self.key[f].tobytes() + self.sizes[f].astype("<u2").tobytes() + text))
+                numbers = (self.anchor[f], self.key[f], self.sizes[f].astype("<u2"), (self.place[f] - self.start[f]).astype("<u2"))
+                out.append((b, block, np.int64(hi - lo).tobytes() + b"".join(x.tobytes() for x in numbers) + zlib.compress(text, 1)))
         return out
 
 
@@ -204,15 +207,15 @@ def _least(length: int, gram: int):
     """For each block of a bucket: per piece, runs of strings and the least key of a document that has them."""
 
     def run(table: pa.Table) -> pa.Table:
-        anchors, keys, sizes, texts, counts = [], [], [], [], []
+        anchors, keys, sizes, places, texts, counts = [], [], [], [], [], []
         for blob in table.column("blob").to_pylist():
             n = int(np.frombuffer(blob, np.int64, 1)[0])
             anchors.append(np.frombuffer(blob, np.uint64, n, 8)), keys.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n))
             size = np.frombuffer(blob, "<u2", n, 8 + 16 * n).astype(np.int64)
-            sizes.append(size), counts.append(n)
-            stops = (8 + 18 * n + np.cumsum(size)).tolist()
-            texts += [blob[a:b] for a, b in zip([8 + 18 * n, *stops], stops)]
-        anchor, key, size = np.concatenate(anchors), np.concatenate(keys), np.concatenate(sizes)
+            sizes.append(size), counts.append(n), places.append(np.frombuffer(blob, "<u2", n, 8 + 18 * n))
+            stops, text = np.cumsum(size).tolist(), zlib.decompress(blob[8 + 20 * n :])
+            texts += [text[a:b] for a, b in zip([0, *stops], stops)]
+        anchor, key, size, place = np.concatenate(anchors), np.concatenate(keys), np.concatenate(sizes), np.concatenate(places)
         known: dict[bytes, int] = {}
         index = np.array([known.setdefault(t, len(known)) for t in texts])
         distinct = list(known)
@@ -221,7 +224,7 @@ def _least(length: int, gram: int):
         first = np.full(len(distinct), len(texts))
         np.minimum.at(first, index, np.arange(len(texts)))
         runs_n, runs_key, run_count = size[first] - length + 1, least.copy(), np.ones(len(distinct), np.int64)
-        mixed = _unequal(distinct, anchor[first], length, gram)
+        mixed = _unequal(distinct, anchor[first], place[first], length, gram)
         if len(mixed):
             shard = np.searchsorted(np.cumsum(counts), first[mixed], "right") % SHARDS
             found = bwt.repeated_prefixes([distinct[i] for i in mixed], shard, length, least[mixed])
@@ -251,34 +254,25 @@ def _least(length: int, gram: int):
     return run
 
 
-def _unequal(texts: list[bytes], anchor: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Distinct pieces that may share a string with another: of one anchor, and alike, beside it, for half of what a
-    string has beyond the anchor, on one side at least."""
+def _unequal(texts: list[bytes], anchor: np.ndarray, place: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Distinct pieces that may share a string with another: of one anchor, and alike around it, on both sides
+    together, for three quarters of what a string has beyond the anchor. A string that two pieces share reaches far
+    enough to the left and to the right for one of the four shares that are tried."""
     _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(size[group] > 1)
-    half = (length - gram + 1) // 2
-    seen: dict[tuple[int, bytes], int] = {}
-    maybe: set[int] = set()
-    for i in several.tolist():
-        t, g = texts[i], int(group[i])
-        # Where the anchor lies in the piece follows from its length: the last string begins with it or the first ends with it.
-        for side, part in _sides(t, length, gram, half):
-            other = seen.setdefault((g, side, part), i)
-            if other != i:
-                maybe |= {i, other}
-    return np.array(sorted(maybe), np.int64)
-
-
-def _sides(text: bytes, length: int, gram: int, half: int) -> Iterator[tuple[int, bytes]]:
-    """The anchor with ``half`` bytes before it, and after it, where the piece has them."""
-    data = np.frombuffer(text, np.uint8)
-    hashes = gram_hashes(data, gram)
-    lo, hi = max(0, len(text) - length), min(len(hashes), length - gram + 1)  # in every string of the piece
-    at = lo + int(np.argmin(hashes[lo:hi] >> _HALF))
-    if at >= half:
-        yield 0, text[at - half : at + gram]
-    if at + gram + half <= len(text):
-        yield 1, text[at : at + gram + half]
+    rest = length - gram
+    cuts = [round(rest * k / 4) for k in range(5)]
+    shares = [(cuts[k], rest - cuts[k + 1]) for k in range(4)]
+    seen: list[dict[tuple[int, bytes], int]] = [{} for _ in shares]
+    maybe = np.zeros(len(texts), bool)
+    for i, g, at in zip(several.tolist(), group[several].tolist(), place[several].tolist()):
+        text = texts[i]
+        for known, (left, right) in zip(seen, shares):
+            if at >= left and len(text) >= at + gram + right:
+                other = known.setdefault((g, text[at - left : at + gram + right]), i)
+                if other != i:
+                    maybe[i] = maybe[other] = True
+    return np.flatnonzero(maybe)
 
 
 def _removed(cut: _Cut, found: _Pieces, answers: list, length: int) -> np.ndarray:
@@ -318,8 +312,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "substrings")
     key = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = scratch.write(rows.mapInArrow(_blocks(), schema), "blocks")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"sha": F.unhex(F.sha2("text", 256)), "key": F.coalesce("id", F.lit(NO_ID))})
+    # A document that equals one of a smaller id goes whole, and need not be looked into.
+    again = rows.where(F.octet_length("text") >= length).groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("sha", "first")
+    # Joined by sorted shuffles at every size: their number grows with the input.
+    marked = rows.join(scratch.write(again, "again").hint("merge"), "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
+    marked = scratch.write(marked.select("id", "copy", F.octet_length("text").cast("long").alias("n"), F.when(~F.col("copy"), F.col("text")).alias("text")), "marked")
+    scratch.sweep()
+    blocks = scratch.write(marked.where("NOT copy").select("id", "text").mapInArrow(_blocks(), schema), "blocks")
+    copies = scratch.write(marked.where("copy").select("id", "n"), "copies")
+    scratch.drop("marked")
     total = blocks.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
@@ -369,9 +372,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_block = lambda df, name: scratch.write(df.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias(name)), name)
     answers = by_block(blocks.mapInArrow(first_pass, sent).groupBy("bucket").applyInArrow(_shared, answer), "answers")
     scratch.sweep()
-    joined = blocks.join(answers, "block")
-    runs = by_block(joined.mapInArrow(second_pass, sent).groupBy("bucket").applyInArrow(_least(length, gram), answer), "runs")
+    sent_pieces = scratch.write(blocks.join(answers.hint("merge"), "block").mapInArrow(second_pass, sent), "pieces")
     scratch.sweep()
-    whole = blocks.join(answers, "block", "left").join(runs, "block", "left")
+    runs = by_block(sent_pieces.groupBy("bucket").applyInArrow(_least(length, gram), answer), "runs")
+    scratch.drop("pieces")
+    whole = blocks.join(answers.hint("merge"), "block", "left").join(runs.hint("merge"), "block", "left")
     out = whole.mapInArrow(last_pass, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    gone = copies.select("id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if keep_text else []))
+    out = out.unionByName(gone)
     return out.withColumn("id", F.col("id").cast(key)).select(names)
