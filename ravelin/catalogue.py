@@ -284,8 +284,8 @@ def entity_match_exact_alias(spark, d):
 
 
 _HOPS = """h0 AS (SELECT q, name, score, rank AS ord FROM mat WHERE rank <= 5),
-  h1 AS (SELECT q, name, score, row_number() OVER (PARTITION BY q ORDER BY po, eo) AS ord FROM (SELECT h0.q, target AS name, score * 0.5 AS score, ord AS po, edge_ord AS eo, row_number() OVER (PARTITION BY h0.q, target ORDER BY ord, edge_ord) AS r FROM h0 JOIN edg ON source = h0.name WHERE (h0.q, target) NOT IN (SELECT (q, name) FROM h0)) WHERE r = 1),
-  h2 AS (SELECT q, name, score, row_number() OVER (PARTITION BY q ORDER BY po, eo) AS ord FROM (SELECT h1.q, target AS name, score * 0.5 AS score, ord AS po, edge_ord AS eo, row_number() OVER (PARTITION BY h1.q, target ORDER BY ord, edge_ord) AS r FROM h1 JOIN edg ON source = h1.name WHERE (h1.q, target) NOT IN (SELECT (q, name) FROM h0 UNION ALL SELECT (q, name) FROM h1)) WHERE r = 1),
+  h1 AS (SELECT q, name, score, row_number() OVER (PARTITION BY q ORDER BY po, eo, name) AS ord FROM (SELECT h0.q, target AS name, score * 0.5 AS score, ord AS po, edge_ord AS eo, row_number() OVER (PARTITION BY h0.q, target ORDER BY ord, edge_ord) AS r FROM h0 JOIN edg ON source = h0.name WHERE (h0.q, target) NOT IN (SELECT (q, name) FROM h0)) WHERE r = 1),
+  h2 AS (SELECT q, name, score, row_number() OVER (PARTITION BY q ORDER BY po, eo, name) AS ord FROM (SELECT h1.q, target AS name, score * 0.5 AS score, ord AS po, edge_ord AS eo, row_number() OVER (PARTITION BY h1.q, target ORDER BY ord, edge_ord) AS r FROM h1 JOIN edg ON source = h1.name WHERE (h1.q, target) NOT IN (SELECT (q, name) FROM h0 UNION ALL SELECT (q, name) FROM h1)) WHERE r = 1),
   hop AS (SELECT q, name, score, ord FROM h0 UNION ALL SELECT q, name, score, ord + 4294967296 FROM h1 UNION ALL SELECT q, name, score, ord + 8589934592 FROM h2)"""
 
 
@@ -441,8 +441,8 @@ def recent_window(spark, d):
     return memory.recent_window(t(spark, d, "conversations")).withColumn("back", F.col("back").cast("long")).select("conv_id", "turn", "role", "text", "back")
 
 
-@query(f"""WITH {_BACK}, s AS (SELECT conv_id, -1 AS at, 'system' AS role, 'summary of ' || count(*) AS text FROM bk WHERE back > 6 GROUP BY conv_id), u AS (SELECT conv_id, turn AS at, role, text FROM bk WHERE back <= 6 UNION ALL SELECT * FROM s)
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY at) AS place FROM u""")
+@query(f"""WITH {_BACK}, s AS (SELECT conv_id, -1 AS pos, 'system' AS role, 'summary of ' || count(*) AS text FROM bk WHERE back > 6 GROUP BY conv_id), u AS (SELECT conv_id, turn AS pos, role, text FROM bk WHERE back <= 6 UNION ALL SELECT * FROM s)
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS place FROM u""")
 def chat_history(spark, d):
     messages = t(spark, d, "conversations")
     summaries = memory.pending_summary(messages).groupBy("conv_id").agg(F.concat(F.lit("summary of "), F.count("*").cast("string")).alias("summary"))

@@ -60,8 +60,8 @@ def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, deca
     for _ in range(depth):
         near = front.withColumnRenamed("ord", "parent_ord").join(adjacency, front.name == adjacency.source)
         near = near.select("q", F.col("target").alias("name"), (F.col("score") * decay).alias("score"), "parent_ord", "edge_ord").join(seen.select("q", "name"), ["q", "name"], "left_anti")
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("q", "name").orderBy("parent_ord", "edge_ord"))).where("r = 1")
-        front = near.withColumn("ord", (F.lit(base) + F.row_number().over(Window.partitionBy("q").orderBy("parent_ord", "edge_ord"))).cast("long")).select("q", "name", "score", "ord")
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("q", "name").orderBy("parent_ord", "edge_ord", "name"))).where("r = 1")
+        front = near.withColumn("ord", (F.lit(base) + F.row_number().over(Window.partitionBy("q").orderBy("parent_ord", "edge_ord", "name"))).cast("long")).select("q", "name", "score", "ord")
         seen, base = seen.unionByName(front), base << 1
     return seen
 

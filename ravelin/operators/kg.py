@@ -27,7 +27,7 @@ def valid_extraction(raw: DataFrame, chunk_col: str = "chunk_id", json_col: str
     # One per (head, relation, tail): the first place, the longest description, the earlier of equally long ones.
     same = lambda a, b: (a["head"] == b["head"]) & (a["relation"] == b["relation"]) & (a["tail"] == b["tail"])
     longest = lambda r: F.reduce(F.filter("triples", lambda o: same(o, r)), F.lit(""), lambda d, o: F.when(F.length(o["description"]) > F.length(d), o["description"]).otherwise(d))
-    of = lambda name: F.coalesce(F.element_at(F.filter("entities", lambda e: e["name"] == name), -1)["type"], F.lit("OTHER"))
+    of = lambda name: F.coalesce(F.try_element_at(F.filter("entities", lambda e: e["name"] == name), F.lit(-1))["type"], F.lit("OTHER"))
     first = F.filter("triples", lambda r, i: F.size(F.filter(F.slice("triples", 1, i), lambda o: same(o, r))) == 0)
     full = F.transform(first, lambda r: F.struct(r["head"].alias("head"), of(r["head"]).alias("head_type"), r["relation"].alias("relation"), r["tail"].alias("tail"), of(r["tail"]).alias("tail_type"), longest(r).alias("description")))
     return base.select("chunk", "ok", F.when(F.col("ok"), F.col("entities")).alias("entities"), F.when(F.col("ok"), full).alias("triples"))
