@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ravelin.functions import lexicons as L
 
 
+#: The characters that count as white space in any script.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_contents_line(line: Column) -> Column:
@@ -45,10 +49,11 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 
 def entity_name(name: Column) -> Column:
     """Trimmed, without honorific suffixes where more than one character is left before them."""
+    # The suffixes come off from the right in their order, each at most once: together they are one optional tail.
+    tail = "".join(f"(?:{suffix})?" for suffix in reversed(L.NAME_SUFFIXES))
+    last = "".join(sorted({suffix[-1] for suffix in L.NAME_SUFFIXES}))
     out = strip(name)
-    for suffix in L.NAME_SUFFIXES:
-        out = F.regexp_replace(out, f"(?s)^(.{{2,}}){suffix}$", "$1")
-    return strip(out)
+    return F.when(F.right(out, F.lit(1)).isin(*last), strip(F.regexp_replace(out, f"(?s)^(.{{2,}}?){tail}$", "$1"))).otherwise(out)
 
 
 def entity_type(kind: Column) -> Column:

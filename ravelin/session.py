@@ -21,6 +21,7 @@ def build_session(cpus: int | None = None, name: str = "ravelin", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RAVELIN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
