@@ -222,28 +222,37 @@ def _triples(spark, d):
     )
 
 
+def _entities(spark, d):
+    """Entities as a build would have stored them: kept on disk or in memory once a query has made them."""
+    return kg.entities(_mentions(spark, d), _triples(spark, d)).persist()
+
+
+def _relations(spark, d):
+    return kg.relations(_triples(spark, d)).persist()
+
+
 _ends = lambda: (F.array_min("source_chunks").alias("first_chunk"), F.array_max("source_chunks").alias("last_chunk"))
 
 
 @query(f"WITH {_KG} SELECT name, type, description, chunk_count, first_chunk, last_chunk FROM ents JOIN descs USING (name)")
 def kg_entities(spark, d):
-    return kg.entities(_mentions(spark, d), _triples(spark, d)).select("name", "type", "description", "chunk_count", *_ends())
+    return _entities(spark, d).select("name", "type", "description", "chunk_count", *_ends())
 
 
 @query(f"WITH {_KG} SELECT head, relation, tail, description, chunk_count, first_chunk, last_chunk FROM rels JOIN rdesc USING (head, relation, tail)")
 def kg_relations(spark, d):
-    return kg.relations(_triples(spark, d)).select("head", "relation", "tail", "description", "chunk_count", *_ends())
+    return _relations(spark, d).select("head", "relation", "tail", "description", "chunk_count", *_ends())
 
 
 @query(f"WITH {_KG} SELECT type, count(*) AS n FROM ents GROUP BY type")
 def kg_type_hist(spark, d):
-    return kg.entities(_mentions(spark, d), _triples(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
+    return _entities(spark, d).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_KG} SELECT count(*) AS total_entities, (SELECT count(*) FROM rels) AS total_relations, count(*) FILTER (WHERE type = 'OTHER') AS other_type_count, count(*) FILTER (WHERE description <> '') AS entities_with_description,
   round(count(*) FILTER (WHERE description <> '') / count(*), 4) AS description_coverage, CAST(14 AS BIGINT) AS alias_count FROM ents JOIN descs USING (name)""")
 def kg_stats(spark, d):
-    out = kg.stats(kg.entities(_mentions(spark, d), _triples(spark, d)), kg.relations(_triples(spark, d)))
+    out = kg.stats(_entities(spark, d), _relations(spark, d))
     return out.select("total_entities", "total_relations", "other_type_count", "entities_with_description", "description_coverage", "alias_count")
 
 
@@ -251,7 +260,7 @@ _EDGES = """edg AS (SELECT head AS source, relation, tail AS target, 'outgoing'
 
 
 def _edges(spark, d):
-    return graph.edges(kg.relations(_triples(spark, d)))
+    return graph.edges(_relations(spark, d))
 
 
 @query(f"WITH {_KG}, {_EDGES} SELECT source, relation, target, direction FROM edg")
@@ -272,7 +281,7 @@ def _ask(spark, d):
 
 
 def _matched(spark, d):
-    return graph.match_entities(_ask(spark, d), kg.entities(_mentions(spark, d), _triples(spark, d)))
+    return graph.match_entities(_ask(spark, d), _entities(spark, d))
 
 
 _MATCH = """mat AS (SELECT q, name, CAST(1.0 AS DOUBLE) AS score, row_number() OVER (PARTITION BY q ORDER BY ord, name) AS rank FROM ask JOIN ents ON contains(text, name))"""
@@ -306,7 +315,7 @@ def bfs_two_hop(spark, d):
 @query(f"""WITH {_KG}, {_EDGES}, {_ASK}, {_MATCH}, {_HOPS}, cs AS (SELECT q, chunk AS id, round(sum(score), 6) AS score, min(ord) AS o FROM hop h JOIN (SELECT DISTINCT name, chunk FROM allm) c ON c.name = h.name GROUP BY q, chunk),
   cr AS (SELECT q, id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, o, id) AS rank FROM cs) SELECT cr.*, m.n AS matched_entities FROM cr JOIN (SELECT q, count(*) AS n FROM hop GROUP BY q) m USING (q) WHERE rank <= 10""")
 def graph_chunk_recall(spark, d):
-    found = graph.related_chunks(_expanded(spark, d), kg.entities(_mentions(spark, d), _triples(spark, d)))
+    found = graph.related_chunks(_expanded(spark, d), _entities(spark, d))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -316,7 +325,7 @@ _RELATED = """rv AS (SELECT n_name AS head, 'IN_REGION' AS relation, r_name AS t
 
 def _relation_hits(spark, d):
     nations = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("vec_id"), F.col("n_name").alias("head"))
-    rels = kg.relations(_triples(spark, d)).where("relation = 'IN_REGION'").join(nations, "head")
+    rels = _relations(spark, d).where("relation = 'IN_REGION'").join(nations, "head")
     vectors = t(spark, d, "embeddings")
     hits = dense.top_k(vectors.join(F.broadcast(nations.select("vec_id")), "vec_id", "left_semi"), vectors.where("vec_id % 50 = 0"), 10)
     scored = hits.join(rels.select("vec_id", "head", "relation", "tail"), hits.id == rels.vec_id).select("q", "head", "relation", "tail", "score")
@@ -498,12 +507,12 @@ def resume_anti_join(spark, d):
 
 @query(f"WITH {_KG}, n AS (SELECT name FROM ents UNION SELECT head FROM rels UNION SELECT tail FROM rels) SELECT n.name, type, description FROM n LEFT JOIN ents USING (name) LEFT JOIN descs USING (name)")
 def export_nodes(spark, d):
-    return io.graph_nodes(kg.entities(_mentions(spark, d), _triples(spark, d)), kg.relations(_triples(spark, d)))
+    return io.graph_nodes(_entities(spark, d), _relations(spark, d))
 
 
 @query(f"WITH {_KG} SELECT DISTINCT head, relation, tail FROM rels")
 def export_edges(spark, d):
-    return io.graph_edges(kg.relations(_triples(spark, d)))
+    return io.graph_edges(_relations(spark, d))
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pk, CAST(doc_id AS VARCHAR) AS ext_id, substr(text, 1, 4096) AS text FROM documents")
@@ -513,9 +522,9 @@ def export_vectors(spark, d):
 
 @query(f"WITH {_KG} SELECT name || '（' || type || '）' || description AS text FROM ents JOIN descs USING (name)")
 def entity_texts(spark, d):
-    return kg.entities(_mentions(spark, d), _triples(spark, d)).select(kg.entity_text().alias("text"))
+    return _entities(spark, d).select(kg.entity_text().alias("text"))
 
 
 @query(f"WITH {_KG} SELECT head || ' ' || relation || ' ' || tail || '。' || description AS text FROM rels JOIN rdesc USING (head, relation, tail)")
 def relation_texts(spark, d):
-    return kg.relations(_triples(spark, d)).select(kg.relation_text().alias("text"))
+    return _relations(spark, d).select(kg.relation_text().alias("text"))

@@ -52,7 +52,8 @@ def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, deca
     """(q, name, score, ord) of the seeds (q, name, score, ord) and what they lead to, each step worth ``decay``.
 
     The first discovery counts, in the order of the frontier and then of its edges, and is never raised later; so
-    survivors are numbered in that order, and their numbers order the next frontier.
+    survivors are numbered in that order, and their numbers order the next frontier. Frontiers are persisted: every
+    hop reads the earlier ones.
     """
     first = Window.partitionBy("q", "name").orderBy("ord")
     seen = seeds.select("q", "name", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord")).withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
@@ -61,7 +62,7 @@ def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, deca
         near = front.withColumnRenamed("ord", "parent_ord").join(adjacency, front.name == adjacency.source)
         near = near.select("q", F.col("target").alias("name"), (F.col("score") * decay).alias("score"), "parent_ord", "edge_ord").join(seen.select("q", "name"), ["q", "name"], "left_anti")
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("q", "name").orderBy("parent_ord", "edge_ord", "name"))).where("r = 1")
-        front = near.withColumn("ord", (F.lit(base) + F.row_number().over(Window.partitionBy("q").orderBy("parent_ord", "edge_ord", "name"))).cast("long")).select("q", "name", "score", "ord")
+        front = near.withColumn("ord", (F.lit(base) + F.row_number().over(Window.partitionBy("q").orderBy("parent_ord", "edge_ord", "name"))).cast("long")).select("q", "name", "score", "ord").persist()
         seen, base = seen.unionByName(front), base << 1
     return seen
 

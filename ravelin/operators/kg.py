@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions import lexicons as L
@@ -43,18 +43,23 @@ def _merged(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value as a bound variable: filters that Catalyst moves below it do not repeat what made it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise_mentions(mentions: DataFrame) -> DataFrame:
-    """(name, type, description, chunk, ord) of (name, type, description, chunk, ord), without noise."""
-    named = mentions.select(X.entity_name(F.col("name")).alias("name"), X.entity_type(F.coalesce("type", F.lit("OTHER"))).alias("type"), F.coalesce("description", F.lit("")).alias("description"), "chunk", "ord")
-    return named.where(~X.is_noise(F.col("name")))
+    """(name, standard, type, description, chunk, ord) of (name, type, description, chunk, ord), without noise."""
+    name = _let(X.entity_name(F.col("name")), lambda n: F.struct(n.alias("name"), X.standard_name(n).alias("standard"), (~X.is_noise(n)).alias("keep")))
+    named = mentions.select(name.alias("n"), X.entity_type(F.coalesce("type", F.lit("OTHER"))).alias("type"), F.coalesce("description", F.lit("")).alias("description"), "chunk", "ord")
+    return named.where("n.keep").select("n.name", "n.standard", "type", "description", "chunk", "ord")
 
 
 def entities(mentions: DataFrame, triples: DataFrame) -> DataFrame:
     """Entities of mentions and of the ends of triples, aliases resolved: (name, type, description, aliases,
     source_chunks, chunk_count, ord). ``ord`` carries the order of first appearance; mentions come before triples."""
     ends = [triples.select(F.col(c).alias("name"), F.col(f"{c}_type").alias("type"), F.lit("").alias("description"), "chunk", (F.col("ord") + (1 << 40) + i).alias("ord")) for i, c in enumerate(("head", "tail"))]
-    rows = normalise_mentions(mentions.unionByName(ends[0]).unionByName(ends[1]))
-    known = rows.withColumn("standard", X.standard_name(F.col("name")))
+    known = normalise_mentions(mentions.unionByName(ends[0]).unionByName(ends[1]))
     out = _merged(known.drop("name"), "standard")
     alias = known.where("name <> standard").groupBy("standard").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
     joined = out.join(alias, "standard", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
@@ -64,11 +69,12 @@ def entities(mentions: DataFrame, triples: DataFrame) -> DataFrame:
 def relations(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per (head, relation, tail) after names and aliases are resolved; loops go, and with ``known`` those whose
     ends are no entities."""
-    end = lambda c: X.standard_name(X.entity_name(F.col(c)))
-    rows = triples.select(end("head").alias("head"), F.col("relation"), end("tail").alias("tail"), F.coalesce("description", F.lit("")).alias("description"), "chunk", "ord").where("head <> tail")
-    for c in ("head", "tail"):
-        rows = rows.where(~X.is_noise(F.col(c)))
-        if known is not None:
+    names = _let(F.struct(X.entity_name(F.col("head")).alias("h"), X.entity_name(F.col("tail")).alias("t")), lambda s: F.struct(X.standard_name(s["h"]).alias("head"), X.standard_name(s["t"]).alias("tail")))
+    kept = _let(names, lambda s: F.struct(s["head"].alias("head"), s["tail"].alias("tail"), ((s["head"] != s["tail"]) & ~X.is_noise(s["head"]) & ~X.is_noise(s["tail"])).alias("keep")))
+    rows = triples.select(kept.alias("x"), "relation", F.coalesce("description", F.lit("")).alias("description"), "chunk", "ord").where("x.keep")
+    rows = rows.select("x.head", "relation", "x.tail", "description", "chunk", "ord")
+    if known is not None:
+        for c in ("head", "tail"):
             rows = rows.join(known.select(F.col("name").alias(c)), c, "left_semi")
     return rows.groupBy("head", "relation", "tail").agg(
         F.max_by("description", F.struct(F.length("description"), -F.col("ord"))).alias("description"),
