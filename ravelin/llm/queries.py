@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import packing, quality, secrets, simhash, substrings, suffix_tree, templates, tiling, warc, weak_rules
+from ravelin.llm import oracles, packing, quality, secrets, simhash, substrings, suffix_tree, templates, tiling, warc, weak_rules
 from ravelin.llm._scratch import Scratch
 
 
@@ -71,4 +71,4 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op4_substrings": op4_substrings, "op5_templates": op5_templates, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_warc": oracles.WARC, "op4_substrings": oracles.SUBSTRINGS, "op8_secrets": oracles.SECRETS}
