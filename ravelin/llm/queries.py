@@ -29,7 +29,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weak_rules.judge(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("posterior").alias("p_quality"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("p_quality"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op4_substrings": op4_substrings, "op5_templates": op5_templates, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
-ORACLE_SQL = {"op2_warc": oracles.WARC, "op4_substrings": oracles.SUBSTRINGS, "op8_secrets": oracles.SECRETS}
+ORACLE_SQL = {"op2_warc": oracles.WARC, "op3_weak_rules": oracles.WEAK_RULES, "op4_substrings": oracles.SUBSTRINGS, "op8_secrets": oracles.SECRETS}
