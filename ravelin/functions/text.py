@@ -105,11 +105,9 @@ def chunk_id(book: Column, chapter: Column, chunk: Column) -> Column:
 
 def register(spark) -> None:
     """The functions that SQL users can call by name."""
-    import pandas as pd
+    pattern = re.compile(f"[^{L.SENTENCE_ENDS}]*[{L.SENTENCE_ENDS}]|[^{L.SENTENCE_ENDS}]+$")
 
-    @F.pandas_udf("array<string>")
-    def ravelin_sentences(texts: pd.Series) -> pd.Series:
-        pattern = re.compile(f"[^{L.SENTENCE_ENDS}]*[{L.SENTENCE_ENDS}]|[^{L.SENTENCE_ENDS}]+$")
+    def sentences(texts):
         return texts.map(lambda t: None if t is None else [s for s in (x.strip() for x in pattern.findall(t)) if s])
 
-    spark.udf.register("ravelin_sentences", ravelin_sentences)
+    spark.udf.register("ravelin_sentences", F.pandas_udf(sentences, "array<string>", F.PandasUDFType.SCALAR))

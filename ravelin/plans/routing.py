@@ -34,6 +34,12 @@ def with_plan(questions: DataFrame, mode_col: str = "query_mode", routing: bool
     return questions.withColumn("plan_mode", mode).join(F.broadcast(plans), "plan_mode")
 
 
+def checked(questions: DataFrame, query_col: str = "query") -> DataFrame:
+    """Questions as they are; a blank one fails the query that reads it."""
+    blank = F.coalesce(F.trim(query_col), F.lit("")) == ""
+    return questions.withColumn(query_col, F.when(blank, F.raise_error(F.lit("a question must not be blank")).cast("string")).otherwise(F.col(query_col)))
+
+
 def with_analysis_defaults(analysed: DataFrame) -> DataFrame:
     """Fields that a model left out: hybrid mode, no keywords, no reason."""
     none = F.array().cast("array<string>")
@@ -92,7 +98,7 @@ def answers(outcome: DataFrame, contexts: DataFrame, answer: Callable[[Column],
     """(q, answer, context_used): an apology without contexts; the caution joins the prompt when evidence was judged
     insufficient. ``answer`` turns a prompt column into the model's answer."""
     joined = outcome.join(contexts, "q", "left")
-    note = F.when(F.col("sufficient"), F.lit("")).otherwise(F.lit(caution))
+    note = F.when(~F.col("sufficient"), F.lit(caution))
     prompt = F.concat_ws("\n\n", fusion.context_text(F.col("contexts")), F.col("question"), note)
     has = F.coalesce(F.size("contexts") > 0, F.lit(False))
     found = joined.where(has).select("q", F.trim(answer(prompt)).alias("answer"), F.least(F.size("contexts"), F.lit(3)).alias("context_used"))
