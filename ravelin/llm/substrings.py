@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,15 +86,15 @@ def pieces(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
 
 
 def _blocks():
-    """Documents in turn as rows (block, keys, order keys, lengths, bytes)."""
+    """Documents in turn as rows (block, keys, lengths, compressed bytes): blocks are moved more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
         keys, texts, size = [], [], 0
 
         def emit() -> pa.RecordBatch:
             out = pa.record_batch(
-                [pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())],
+                [pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())],
                 names=["block", "keys", "sizes", "data"],
             )
             keys.clear(), texts.clear()
@@ -323,16 +324,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = scratch.write(marked.where("NOT copy").select("id", "text").mapInArrow(_blocks(), schema), "blocks")
     copies = scratch.write(marked.where("copy").select("id", "n"), "copies")
     scratch.drop("marked")
-    total = blocks.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")).first().n or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     def cut_of(row: dict) -> _Cut:
         return _Cut(row["data"], row["sizes"], row["keys"], length, gram, buckets)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                yield batch.slice(i, 1).to_pylist()[0]
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield row | {"data": unpack.decompress(row["data"])}
 
     def send(rows_: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows_), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "blob"])
