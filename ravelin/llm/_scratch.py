@@ -56,8 +56,3 @@ class Scratch:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended: its owner clears the folder
             pass
-
-
-def in_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that a scan reads; for file scans this is the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
