@@ -29,6 +29,14 @@ class Rule:
 
 
 _NAMES, _VALUE = r"password|passwd|secret|token|api_?key", "A-Za-z0-9+/_.=-"
+#: An armoured key: to the END line of its BEGIN line; where that is missing, to the end of its header lines and runs of
+#: base64, of which only the last may be short. Line ends may be escaped. No part reads past the next BEGIN or END.
+_BREAK = r"(?:\s|\\[nr])"
+_ARMOUR = (
+    r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END \1-----"
+    rf"|(?:{_BREAK}*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?=[\r\n\\]))*+"
+    rf"(?:(?:{_BREAK}*+[A-Za-z0-9+/]{{20,}}+={{0,2}})++(?:{_BREAK}++(?:[A-Za-z0-9+/]++={{1,2}}|(?<=[\nnr])[A-Za-z0-9+/]++(?=\s*?(?:[\r\n]|\\[nr]|\Z))))?)?)"
+)
 RULES = (
     Rule("assign", rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?[{_VALUE}]{{6}}", rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([{_VALUE}]+)", 6, 2, True),
     Rule("access", "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]+", 20),
@@ -36,7 +44,7 @@ RULES = (
     # Added to the base: prefixes that services give their keys, and armoured private keys.
     Rule("forge", "gh[opsu]_[A-Za-z0-9]", "gh[opsu]_[A-Za-z0-9]+", 40),
     Rule("chat", "xox[abprs]-[A-Za-z0-9]", "xox[abprs]-[A-Za-z0-9-]+", 20),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", _ARMOUR, 1),
 )
 BASE = ("assign", "access", "hex")
 

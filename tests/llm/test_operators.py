@@ -123,6 +123,27 @@ def test_secrets(spark):
     assert [r.text for r in red] == ["é [REDACTED] z", None, "[REDACTED]"]
 
 
+def test_armoured_keys_go_whole(spark):
+    rng = random.Random(5)
+    line = lambda n: "".join(rng.choice("ABCxyz0189+/") for _ in range(n))
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = [line(64), line(64), line(22) + "=="]
+    bare = [line(64), line(64), line(24)]
+    texts = ["\n".join(["before", head, *body, foot, "after"])]
+    texts += ["\r\n".join(["before", head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body, foot, "after"])]
+    texts += ["before " + "\\n".join([head, *body, foot]) + " after"]
+    texts += ["before " + " ".join([head, *bare, foot]) + " after"]
+    texts += ["\n".join(["before", head, *bare, "some words after"]), "before " + "\\n".join([head, *body]) + " after", "\n".join(["before", head, *bare])]
+    texts += ["\n".join(["before", head, *body, head, *body, foot, "after"]), f"before {head} some words after"]
+    cleaned = [r.text for r in secrets.redact(documents(spark, texts)).orderBy("doc_id").collect()]
+    for text, left in zip(texts, cleaned):
+        assert left.split()[0] == "before" and "[REDACTED]" in left and "-----" not in left, left
+        assert ("after" in text) == ("after" in left) and not any(x in left for x in body + bare), left
+    assert cleaned[4].split("]")[1] == "\nsome words after" and cleaned[8] == "before [REDACTED] some words after"
+    long = (head + "\n" + line(64) + "\n") * 20_000  # no END at all: time stays linear
+    assert len(secrets.find_spans(long)) >= 20_000
+
+
 def test_automaton_is_minimal_and_right():
     machine = automaton.compile_rules([("ab+c", False), ("[0-9]{3}", False), ("x|yz?", True)])
     assert machine.states <= 12
