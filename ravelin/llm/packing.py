@@ -140,29 +140,25 @@ def plan_block(lengths: list[int], capacity: int = CAPACITY, cost: Cost = Cost()
             rest.append((n - start, doc, start))
     left = total - sequence * capacity
     rooms = [capacity] * (left // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (left % capacity) >> b & 1]
-    used, heap = [0] * len(rooms), [(0.0, i) for i in range(len(rooms))]
+    used, free, costs = [0] * len(rooms), np.array(rooms, np.int64), np.zeros(len(rooms))
+    heap = [(0.0, i) for i in range(len(rooms))]
     rest.sort(key=lambda x: (-x[0], x[1]))
     for n, doc, start in rest:
         while n:
-            held, at = [], None
-            # Rooms in the order of their cost. A few looks find one with room until the block is nearly full.
-            while heap and len(held) < 64:
-                now = heapq.heappop(heap)
-                if rooms[now[1]] - used[now[1]] >= n:
-                    at = now
-                    break
-                held.append(now)
-            if at is None:
-                at, held = held[0], held[1:]
-            for x in held:
-                heapq.heappush(heap, x)
-            c, i = at
-            take = min(n, rooms[i] - used[i])
+            while heap[0][0] != costs[heap[0][1]] or not free[heap[0][1]]:  # full, or its cost has risen since
+                heapq.heappop(heap)
+            i = heap[0][1]
+            if free[i] < n:  # the cheapest has no room for it: the cheapest of all that have, if any
+                able = np.flatnonzero(free >= n)
+                i = int(able[np.argmin(costs[able])]) if len(able) else i
+            take = min(n, int(free[i]))
             pieces.append((doc, start, take, sequence + i, used[i]))
             used[i] += take
+            free[i] -= take
+            costs[i] += cost.of(take)
             n, start = n - take, start + take
-            if used[i] < rooms[i]:
-                heapq.heappush(heap, (c + cost.of(take), i))
+            if free[i]:
+                heapq.heappush(heap, (float(costs[i]), i))
     return pieces
 
 

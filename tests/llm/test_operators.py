@@ -276,6 +276,24 @@ def test_block_costs_are_balanced():
     assert max(whole) < 1.6 * sum(whole) / len(whole)
 
 
+def test_no_document_is_cut_while_a_sequence_has_room():
+    rng = random.Random(6)
+    lengths = [rng.choice([rng.randint(1, 60), rng.randint(100, 900), rng.randint(900, 5000)]) for _ in range(1500)]
+    cost, left = packing.Cost(), sum(lengths) - 2048 * sum((n - 1) // 2048 for n in lengths)
+    whole = sum((n - 1) // 2048 for n in lengths)
+    free = [2048] * (left // 2048) + [1 << b for b in range(11, -1, -1) if (left % 2048) >> b & 1]
+    costs, seen = [0.0] * len(free), collections.Counter()
+    for doc, _, n, s, _ in packing.plan_block(lengths)[whole:]:
+        want = lengths[doc] - 2048 * ((lengths[doc] - 1) // 2048) - seen[doc]
+        able = [i for i in range(len(free)) if free[i] >= want] or [i for i in range(len(free)) if free[i]]
+        best = min(able, key=lambda i: (costs[i], i))
+        assert (s - whole, n) == (best, min(want, free[best]))
+        free[best] -= n
+        costs[best] += cost.of(n)
+        seen[doc] += n
+    assert not any(free)
+
+
 # --- op7 -------------------------------------------------------------------------------------------------------------
 
 
