@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ravelin.llm import automaton, bwt, packing, quality, queries, secrets, simhash, substrings, suffix_tree, templates, tiling, warc, weak_rules
+from ravelin.llm import automaton, bwt, packing, quality, queries, secrets, similar, simhash, substrings, suffix_tree, templates, tiling, warc, weak_rules
 from ravelin.llm._graph import connected_components
 from ravelin.llm._scratch import Scratch
 
@@ -99,6 +99,52 @@ def test_one_of_each(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a b c d e"), ("7", "other words are here"), ("None", None)]
 
 
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def plain_alike(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_near_dedup_stage_keeps_one_of_all_that_are_similar(spark, real, small):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def edited(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = word()
+        return " ".join(out)
+
+    bases = [[word() for _ in range(200)] for _ in range(12)]
+    texts = [*real[:100], None, "", "a", "A", *(" ".join(b) for b in bases)]
+    texts += [edited(b, k) for b in bases for k in (1, 2, 3, 4, 5, 8)]
+    texts += [edited(bases[0], rng.randint(2, 5)) for _ in range(40)]  # more than are compared pair by pair
+    ids = rng.sample(range(10_000), len(texts))
+    sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if plain_alike(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, k in enumerate(ids):
+        least[find(i)] = min(k, least.get(find(i), k))
+    docs = documents(spark, texts, ids)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, small)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), small).count() == 0
+
+
 # --- op8 -------------------------------------------------------------------------------------------------------------
 
 
