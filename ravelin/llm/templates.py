@@ -36,16 +36,23 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|sty
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
+#: Elements that hold running text; any other block below an article is a part of it that stands by itself.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table thead tbody tr td th".split())
+
 LEAST_PAGES, LEAST_SHARE, LEAST_CLASS = 5, 0.9, 3
 
 
 class Slot:
     """A run of text between block boundaries, with the path of open elements above it."""
 
-    __slots__ = ("path", "text", "dropped", "article", "header")
+    __slots__ = ("path", "text", "dropped", "article", "header", "box")
+
+    def __init__(self, path: str, text: str, dropped: bool, article: bool, header: bool, box: str = ""):
+        self.path, self.text, self.dropped, self.article, self.header, self.box = path, text, dropped, article, header, box
 
-    def __init__(self, path: str, text: str, dropped: bool, article: bool, header: bool):
-        self.path, self.text, self.dropped, self.article, self.header = path, text, dropped, article, header
+    @property
+    def token(self) -> str:
+        return f"{self.path}={self.text}" if len(self.text) <= 200 else f"{self.path}#{xxhash.xxh64_hexdigest(self.text)}"
 
 
 def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
@@ -53,7 +60,7 @@ def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
     order, their text decoded, white space turned into single spaces and trimmed; empty ones are left out."""
     out: list[tuple[str, str]] = []
     slots: list[Slot] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    stack: list[tuple[str, str, bool, bool, bool, str]] = [("", "", False, False, False, "")]
     parts: list[str] = []
 
     def flush() -> None:
@@ -62,8 +69,8 @@ def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
             parts.clear()
             if text:
                 at = next(x for x in reversed(stack) if x[0] not in INLINE)
-                slots.append(Slot(at[1], text, stack[-1][2], at[3], at[4]))
-                out.append(("text", f"{at[1]}={text}" if len(text) <= 200 else f"{at[1]}#{xxhash.xxh64_hexdigest(text)}"))
+                slots.append(Slot(at[1], text, stack[-1][2], at[3], at[4], at[5]))
+                out.append(("text", slots[-1].token))
 
     def close(depth: int) -> None:
         if any(x[0] not in INLINE for x in stack[depth:]):
@@ -108,7 +115,8 @@ def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
         if name not in INLINE:
             out.append(("tag", path))
         if name not in VOID and not m[5].endswith("/"):
-            stack.append((name, path, dropped, body, header))
+            box = "" if not body or name in ("article", "main") else parent[5] if name in INLINE or name in RUNNING else path
+            stack.append((name, path, dropped, body, header, box))
     if end < len(source) and not stack[-1][2]:
         parts.append(source[end:])
     flush()
@@ -141,8 +149,9 @@ def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     with most of the pages costs its tasks no more than their own pages. A class is valid if it is on
     ``least_pages`` pages and a share of ``least_share`` of its host, and has ``least_class`` tokens. Its place is
     its shortest path; it nests in the class (``parent``) whose place is the longest path above that. What a host's
-    pages share is no longer than a page, so a host's classes fit in a row.
+    pages share is no longer than a page, so a host's classes fit in a row. Copies of a page count once.
     """
+    pages = pages.select("host", "html").distinct().withColumn("page", F.monotonically_increasing_id()).select("page", "host", "html")
     found = occurrences(pages)
     weight = (F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.least("n", F.lit(1 << 20))).cast("decimal(38,0)")
     vectors = found.groupBy("host", "kind", "token").agg(F.count("*").alias("support"), F.sum("n").alias("total"), F.sum(weight).alias("vector"))
@@ -168,7 +177,7 @@ def extract(source: str | None, template: frozenset[str] | set[str]) -> str:
     inside = [s for s in kept if s.article]
     if inside:
         return " ".join(s.text for s in inside)
-    return " ".join(s.text for s in kept if not s.header and f"{s.path}={s.text}" not in template)
+    return " ".join(s.text for s in kept if not s.header and s.token not in template)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **limits) -> DataFrame:

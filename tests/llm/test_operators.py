@@ -459,6 +459,18 @@ def test_main_text(spark):
     assert templates.main_text(df.limit(0)).count() == 0
 
 
+def test_template_inside_articles_long_slots_and_copies(spark):
+    imprint = "Imprint of the house " * 20
+    page = lambda body: f"<html><body><div><p>Top</p></div>{body}<div>Foot line</div></body></html>"
+    rows = [(i, f"http://a/{i}", page(f"<article><p>Text {i}</p><div class='c-x'><p>Tell your friends</p></div></article>")) for i in range(6)]
+    rows += [(10 + i, f"http://b/{i}", page(f"<div class='c-y'><p>Text {i}</p></div><div>{imprint}</div>")) for i in range(6)]
+    rows += [(20 + i, f"http://c/{i}", page("<div><p>The same article</p><p>in two parts</p></div>")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.id: r.text for r in templates.main_text(df).collect()}
+    assert out[11] == "Text 1"
+    assert "The same article in two parts" in out[20] and len(out) == len(rows)
+
+
 # --- op1 -------------------------------------------------------------------------------------------------------------
 
 
