@@ -169,14 +169,16 @@ def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
 def extract(source: str | None, template: frozenset[str] | set[str]) -> str:
     """The main text: slots that the template leaves, of the article where the page marks one.
 
-    Slots in dropped elements, and those whose very text is in the template outside the article, go. A header inside
-    the article is part of it; one outside is not.
+    Slots in dropped elements, and those whose very text is in the template outside the article, go. Inside, an element
+    that stands by itself goes where the template has every slot of it; running text of the article stays. A header
+    inside the article is part of it; one outside is not.
     """
     _, slots = parse(source)
     kept = [s for s in slots if not s.dropped]
     inside = [s for s in kept if s.article]
     if inside:
-        return " ".join(s.text for s in inside)
+        own = {s.box for s in inside if s.token not in template} | {""}
+        return " ".join(s.text for s in inside if s.box in own)
     return " ".join(s.text for s in kept if not s.header and s.token not in template)
 
 

@@ -467,7 +467,7 @@ def test_template_inside_articles_long_slots_and_copies(spark):
     rows += [(20 + i, f"http://c/{i}", page("<div><p>The same article</p><p>in two parts</p></div>")) for i in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = {r.id: r.text for r in templates.main_text(df).collect()}
-    assert out[11] == "Text 1"
+    assert out[0] == "Text 0" and out[11] == "Text 1"
     assert "The same article in two parts" in out[20] and len(out) == len(rows)
 
 
