@@ -1,334 +1,355 @@
-"""Language-model scores from a probabilistic suffix tree over the bytes of words, beside a word-count base.
-
-A symbol of a word is predicted from the longest suffix of what the word has shown so far that the tree retains. Up to
-``DEPTH`` symbols, contexts are retained by divergence tests over the distinct words; beyond, the whole path of a word
-is retained for every training word, and its count, less a discount, is smoothed with the tree's own probability.
+"""Language-model scores from a probabilistic suffix tree over words, beside a word-count base.
+
+Symbols are the words of the training texts, the end of a text, and one for all unseen words. A context is the up to
+``DEPTH`` symbols before a symbol, the beginning of the text among them. It is retained if it occurs twice or more in
+training and its next-symbol distribution diverges from that of its parent, the longest retained context that it ends
+in: n times the Kullback-Leibler divergence must pay ``DIVERGENCE`` nats for each distinct next symbol. A symbol is
+scored in the state of the longest retained suffix of what came before it, whose distribution is smoothed with its
+parent's, down to that of no context, which is the base.
+
+Nothing of the tree is broadcast or reaches the driver; it grows with the corpus. Texts are turned into written chunks
+of symbol numbers once. Then, level by level, a chunk asks the owners of its distinct grams (buckets of 64-bit hashes)
+for their counts in all of the corpus, and the owners of its contexts whether they are retained: both are sums of what
+the chunks send. A chunk asks once for a gram, however often it has it, so the most frequent gram adds one entry a chunk
+to its bucket. A chunk makes a row for each bucket that it has a gram of, so no more rows than grams.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm._scratch import Scratch
 
-DEPTH = 6  # symbols of the longest context; with the next symbol they fit in 64 bits
-SPACE, SYMBOLS = 32, 256  # a space bounds words
-LEAST_SHARE = 1e-6  # of all symbols: rarer grams are left out, so a level has at most 1 / LEAST_SHARE of them
-DIVERGENCE = 12.0  # nats that a context must save over its parent, over all its occurrences
-WORDS_HELD = 400_000
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
-
-
-def symbols_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, place of each in its word, number of its word): each word's bytes and the space that ends it.
-
-    A word is read on its own: its first byte follows the space that ended the word before.
-    """
-    lengths = np.array([len(w) + 1 for w in words])
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return flat, place, word
-
-
-def grams(flat: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-    """For every symbol, it and the ``depth`` before it in its word (the leading space included) as one number; the
-    lowest byte is the symbol. Bytes beyond the leading space are zero."""
-    out = flat.copy()
-    padded = np.concatenate([np.full(depth, SPACE, np.uint64), flat])
-    for k in range(1, depth + 1):
-        before = padded[depth - k : len(padded) - k]
-        out |= np.where(place >= k, before, np.where(place == k - 1, np.uint64(SPACE), np.uint64(0))) << np.uint64(8 * k)
+DEPTH = 2  # symbols of the longest context
+DIVERGENCE = 4.0  # nats that a context must save over its parent for each of its distinct next symbols
+CHUNK = 600_000  # symbols of a chunk; a longer text is cut into pieces that begin with the symbols before them
+BUCKET = 400_000  # distinct grams, about, that meet in a bucket
+SLICE = 1 << 20  # bytes that are cut into words at a time
+
+_RANDOM = np.random.default_rng(7).integers(0, 1 << 63, (2, 1 << 16), np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z are read as a-z
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTES[_SPACE] = 0
+END, BEGIN = np.uint64(0x51ED270B1F3C9A77), np.uint64((1 << 64) - 1)
+_U = np.uint64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(31)) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ x >> _U(29)) * _U(0xBF58476D1CE4E5B9)
+    return x ^ x >> _U(32)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(byte at which each word starts, its 64-bit hash) of texts that lie one after another, in slices that end
+    between words. A hash is a sum of random weights of bytes times random weights of their places."""
+    bounds = np.zeros(len(data) + 1, bool)
+    bounds[offsets] = True
+    lo, size = 0, len(data)
+    while lo < size:
+        hi = min(size, lo + SLICE)
+        while hi < size:
+            cuts = np.flatnonzero(_SPACE[data[lo + 1 : hi]] | bounds[lo + 1 : hi])
+            if len(cuts):
+                hi = lo + 1 + int(cuts[-1])
+                break
+            hi = min(size, hi + SLICE)  # a word that is longer than a slice
+        part = data[lo:hi]
+        space = _SPACE[part]
+        first = ~space
+        first[1:] &= space[:-1] | bounds[lo + 1 : hi]
+        starts = np.flatnonzero(first)
+        if len(starts):
+            part = part[starts[0] :]
+            at = starts - starts[0]
+            place = np.arange(len(part)) - np.repeat(at, np.diff(np.append(at, len(part))))
+            weight = _RANDOM[0][place & 0xFFFF]
+            if int(place.max()) > 0xFFFF:
+                weight = weight + _RANDOM[1][(place >> 16) & 0xFFFF] * (place > 0xFFFF)
+            yield starts + lo, mixed(np.add.reduceat(_BYTES[part] * weight, at))
+        lo = hi
+
+
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all symbols of the texts one after another, how many each text has): its words, then the end."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    found = list(word_hashes(data, offsets - offsets[0]))
+    starts = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+    words = np.diff(np.searchsorted(starts, offsets - offsets[0]))
+    out = np.full(len(starts) + len(texts), END)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(words + 1) - 1] = False
+    out[is_word] = np.concatenate([x for _, x in found]) if found else np.empty(0, _U)
+    return out, words + 1
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, byte plane by byte plane."""
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
+    return np.array([len(a) for a in arrays], np.uint32).tobytes() + zstandard.compress(body, 1)
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, body, at, out = np.frombuffer(blob, np.uint32, len(kinds)), np.frombuffer(zstandard.decompress(blob[4 * len(kinds) :]), np.uint8), 0, []
+    for n, kind in zip(sizes.tolist(), kinds):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(body[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
     return out
 
 
-@dataclass
-class Tree:
-    """Per context length, sorted: grams with the log10 probability of their symbol, contexts with their back-off."""
-
-    grams: list[np.ndarray]
-    log_p: list[np.ndarray]
-    contexts: list[np.ndarray]
-    back: list[np.ndarray]
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of every word and its end: the longest retained suffix of what came before each symbol
-        gives its probability; a symbol never seen there is passed to the next shorter one."""
-        if not words:
-            return np.empty(0)
-        flat, place, word = symbols_of(words)
-        whole = grams(flat, place, DEPTH)
-        out, todo = np.zeros(len(flat)), np.arange(len(flat))
-        for k in range(DEPTH, -1, -1):
-            now = todo[place[todo] + 1 >= k]
-            if not len(now) or (k and not len(self.contexts[k])):
-                continue
-            gram = whole[now] & np.uint64((1 << 8 * (k + 1)) - 1)
-            known = np.ones(len(now), bool)
-            if k:
-                context = gram >> np.uint64(8)
-                at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-                known = self.contexts[k][at] == context
-                now, gram, at = now[known], gram[known], at[known]
-            if not len(now):
-                continue
-            hit = np.minimum(np.searchsorted(self.grams[k], gram), len(self.grams[k]) - 1)
-            found = self.grams[k][hit] == gram
-            out[now[found]] += self.log_p[k][hit[found]]
-            if k:
-                out[now[~found]] += self.back[k][at[~found]]
-            rest = np.zeros(len(flat), bool)
-            rest[todo] = True
-            rest[now[found]] = False
-            todo = todo[rest[todo]]
-        return np.bincount(word, out, len(words))
-
-
-def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> Tree:
-    """A tree from the counts of grams by context length, and (context, occurrences, kinds) of contexts.
-
-    Probabilities are smoothed from the root down: a context with n occurrences of t kinds gives its parent's
-    distribution the weight t / (n + t), the root gives the uniform one so; what was too rare to be among the grams
-    goes to the parent as well. A context stays if, over its occurrences,
-    its distribution saves ``divergence`` nats over its parent's (so many times their Kullback-Leibler divergence), or
-    if a longer context that ends in it stays.
-    """
-    levels = max(counts, default=0) + 1
-    keys = [np.array([], np.uint64)] * (DEPTH + 1)
-    p, contexts, weight, keep = [np.array([])] * (DEPTH + 1), [np.array([], np.uint64)] * (DEPTH + 1), [np.array([])] * (DEPTH + 1), [np.array([], bool)] * (DEPTH + 1)
-    groups: list[np.ndarray] = [np.array([], np.int64)] * (DEPTH + 1)
-
-    def parent(k: int, gram: np.ndarray) -> np.ndarray:
-        """P(symbol | context without its oldest symbol), passed down where it was never seen."""
-        out, scale, left = np.zeros(len(gram)), np.ones(len(gram)), np.arange(len(gram))
-        for j in range(k - 1, -1, -1):
-            g = gram[left] & np.uint64((1 << 8 * (j + 1)) - 1)
-            at = np.minimum(np.searchsorted(keys[j], g), max(0, len(keys[j]) - 1))
-            found = keys[j][at] == g if len(keys[j]) else np.zeros(len(g), bool)
-            out[left[found]] = scale[left[found]] * p[j][at[found]]
-            if j:
-                c = g >> np.uint64(8)
-                at = np.minimum(np.searchsorted(contexts[j], c), len(contexts[j]) - 1)
-                scale[left] *= np.where(contexts[j][at] == c, weight[j][at], 1.0)
-            left = left[~found]
-        out[left] = scale[left] / SYMBOLS
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, the number of each value among them)."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number
+
+
+class Chunk:
+    """The symbols of some pieces of texts. ``hist`` is how many symbols before each are known, up to DEPTH, the
+    beginning of its text among them; the first ``lead`` symbols of a piece are known only as what came before."""
+
+    def __init__(self, blob: bytes, depth: int):
+        self.words, self.ids, sizes, lead, train = unpack(blob, "u8", "u4", "u4", "u1", "?")
+        sizes = sizes.astype(np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(self.ids)) - np.repeat(self.starts, sizes)
+        lead = np.repeat(lead.astype(np.int64), sizes)
+        self.own = place >= lead
+        self.first = (place == 0) & (lead == 0)
+        self.hist = np.minimum(place + (lead == 0), depth).astype(np.int8)
+        self.train = np.repeat(train, sizes) & self.own
+
+    def grams(self, k: int, before: np.ndarray) -> np.ndarray:
+        """Hashes of every symbol with the k before it, from those with k - 1; right where ``hist`` is k or more."""
+        shifted = np.concatenate([[BEGIN], before[:-1]])
+        if k == 1:
+            shifted[self.first] = BEGIN
+        return mixed(shifted * _U(0xD6E8FEB86659FD93) + self.words[self.ids] + _U(k))
+
+    def shifted(self, k: int, values: np.ndarray, begin: int) -> np.ndarray:
+        """The value of the context of k symbols before each symbol, where the values are those of grams of k symbols."""
+        out = np.concatenate([[begin], values[:-1]])
+        if k == 1:
+            out[self.first] = begin
         return out
 
-    for k in range(levels):
-        gram, n = counts.get(k, (np.array([], np.uint64), np.array([])))
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order].astype(np.float64)
-        contexts[k], groups[k] = np.unique(gram >> np.uint64(8), return_inverse=True)
-        listed = np.bincount(groups[k], n, len(contexts[k]))
-        known, seen, many = totals.get(k, (contexts[k], np.array([]), np.array([])))
-        order = np.argsort(known)
-        at = order[np.searchsorted(known, contexts[k], sorter=order)]
-        total, kinds = seen[at].astype(float), many[at].astype(float)
-        weight[k] = (kinds + total - listed) / np.maximum(total + kinds, 1)
-        above = parent(k, gram) if k else np.full(len(gram), 1 / SYMBOLS)
-        keys[k] = gram
-        p[k] = n / np.maximum((total + kinds)[groups[k]], 1) + weight[k][groups[k]] * above
-        saved = np.bincount(groups[k], n * np.log(p[k] / above), len(contexts[k])) if len(gram) else np.array([])
-        keep[k] = saved >= divergence
-    for k in range(levels - 1, 1, -1):  # a kept context keeps those that it ends in
-        ends = np.unique(contexts[k][keep[k]] & np.uint64((1 << 8 * (k - 1)) - 1))
-        keep[k - 1] |= np.isin(contexts[k - 1], ends)
-    if len(keep[0]):
-        keep[0][:] = True
-    every = [keep[k][groups[k]] if len(groups[k]) else np.array([], bool) for k in range(DEPTH + 1)]
-    root = np.arange(256, dtype=np.uint64)
-    seen = dict(zip(keys[0].tolist(), p[0].tolist()))
-    floor = (weight[0][0] if len(weight[0]) else 1.0) / SYMBOLS
-    g = [root, *(keys[k][every[k]] for k in range(1, DEPTH + 1))]
-    log_p = [np.log10([seen.get(b, floor) for b in range(256)]), *(np.log10(p[k][every[k]]) for k in range(1, DEPTH + 1))]
-    return Tree(g, log_p, [contexts[k][keep[k]] for k in range(DEPTH + 1)], [np.log10(weight[k][keep[k]]) for k in range(DEPTH + 1)])
-
-
-def fold(id_: Column, of: int = 7) -> Column:
-    return F.crc32(id_.cast("string").cast("binary")) % of
 
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over a column of texts; each task sums what it reads before anything is shuffled."""
+def chunks(rows: DataFrame, depth: int, size: int) -> DataFrame:
+    """Written form of (id, train, text): a row for each chunk, with the ids and row numbers of its pieces."""
+    kinds = "chunk long, blob binary, rows array<long>, tokens long, texts long"
+    schema = T.StructType([*T._parse_datatype_string(kinds).fields, T.StructField("ids", T.ArrayType(rows.schema["id"].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
+        task, made, row = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []  # (symbols, lead, train, id, row)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            words, ids = numbered(np.concatenate([h[0] for h in held]))
+            sizes, lead, train = (np.array(x) for x in zip(*((len(h[0]), h[1], h[2]) for h in held)))
+            blob = pack(words, ids.astype(np.uint32), sizes.astype(np.uint32), lead.astype(np.uint8), train.astype(bool))
+            given = pa.concat_arrays([h[3] for h in held])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            cols = [pa.array([(task << 32) + made]), pa.array([blob], pa.binary()), one(pa.array([h[4] for h in held], pa.int64())), pa.array([int(((sizes - lead) * train).sum())]), pa.array([int((train & (lead == 0)).sum())]), one(given)]
+            made += 1
             held.clear()
-            for lo in range(0, len(rows), 50_000):
-                words, n = zip(*rows[lo : lo + 50_000])
-                yield pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
+        total = 0
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens(text.as_py()))
-                if len(held) > WORDS_HELD:
-                    yield from flush()
-        yield from flush()
-
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found, counts = symbols(part.column(2))
+                at = 0
+                for i, (n, train) in enumerate(zip(counts.tolist(), part.column(1).to_pylist())):
+                    done = 0
+                    while done < n:
+                        if total >= size:
+                            yield flush()
+                            total = 0
+                        take, lead = min(n - done, size - total), min(done, depth)
+                        held.append((found[at + done - lead : at + done + take].copy(), lead, train, part.column(0).slice(i, 1), (task << 40) + row))
+                        total, done = total + take, done + take
+                    at, row = at + n, row + 1
+        if held:
+            yield flush()
+
+    return rows.select("id", "train", "text").mapInArrow(run, schema)
+
+
+ASKED = "chunk long, kind int, bucket long, blob binary"
+TOLD = ASKED + ", known long"
+
+
+def asked(chunk: int, kind: int, bits: int, hashes: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """A row for each bucket that the sorted hashes touch."""
+    bucket = (hashes >> _U(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(hashes) else np.empty(0, np.int64)
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)]):
+        yield chunk, kind, int(bucket[lo]), pack(np.diff(hashes[lo:hi], prepend=_U(0)), *(v[lo:hi] for v in values))
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def settle(requests: DataFrame, divergence: float) -> DataFrame:
+    """What each chunk is told by the buckets that it has asked: of grams (even kinds) their counts in training, of
+    contexts (odd kinds) their distinct next symbols, or 0 if they are not retained."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        order = np.argsort(table.column("chunk").to_numpy())
+        table = table.take(order)
+        parts = [unpack(b.as_py(), "u8", *(("f4", "f4") if kind % 2 else ("u8",))) for b in table.column("blob")]
+        sizes = [len(p[0]) for p in parts]
+        hashes = np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts])
+        order = np.argsort(hashes, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        starts = np.flatnonzero(new)
+        sums = [np.add.reduceat(np.concatenate([p[i] for p in parts])[order], starts, dtype="f8" if kind % 2 else "u8") for i in range(1, len(parts[0]))]
+        del parts
+        total = np.where(sums[1] >= divergence * sums[0], np.rint(sums[0]), 0).astype(_U) if kind % 2 else sums[0]
+        out = np.empty(len(order), _U)
+        out[order] = total[np.cumsum(new) - 1]
+        told = [(c, kind, bucket, pack(x), None) for c, x in zip(table.column("chunk").to_pylist(), np.split(out, np.cumsum(sizes)[:-1]))]
+        if kind == 0:
+            told.append((-1, 0, bucket, None, int(np.count_nonzero(total))))
+        return pa.Table.from_batches([batch_of(told, TOLD)])
+
+    return requests.groupBy("kind", "bucket").applyInArrow(run, TOLD)
+
+
+def walk(chunk: Chunk, told: dict[int, np.ndarray], words: int, kinds: int, texts: int, depth: int, ask: Callable | None) -> tuple[np.ndarray, np.ndarray]:
+    """(count of each symbol, its probability), as far as the chunk has been told; ``ask`` gets what it must ask next."""
+    seen = told[0][chunk.ids]
+    p = (seen + 1.0) / (words + kinds + 1)
+    below, number, n = chunk.words[chunk.ids], chunk.ids.astype(np.int64), seen
+    names = chunk.words  # hashes of the distinct grams of one level less
+    for k in range(1, depth + 1):
+        of = chunk.shifted(k, n, texts)  # occurrences of the context
+        wanted = chunk.hist >= k if k == 1 else (chunk.hist >= k) & (of >= 2)
+        below = chunk.grams(k, below)
+        at = np.flatnonzero(wanted)
+        here, index = numbered(below[at])
+        if 2 * k not in told:
+            ask(2 * k, here, np.bincount(index[chunk.train[at]], minlength=len(here)).astype(_U))
+            break
+        context = chunk.shifted(k, number, len(names))
+        counts = told[2 * k][index]
+        alive = (of[at] >= 2) & chunk.own[at]
+        on, count = at[alive], counts[alive].astype(np.float64)
+        c, total = context[on], of[on].astype(np.float64)
+        used = np.zeros(len(names) + 1, bool)
+        used[c] = True
+        if 2 * k + 1 in told:
+            distinct = np.zeros(len(used))
+            distinct[used] = told[2 * k + 1]
+            t = distinct[c]
+            p[on] = np.where(t > 0, (count + t * p[on]) / (total + t), p[on])
+        else:
+            train = chunk.train[on]
+            c, count = c[train], count[train]
+            distinct = np.bincount(c, 1 / count, len(used))
+            saved = np.bincount(c, np.log(count / total[train] / p[on][train]), len(used))
+            ask(2 * k + 1, np.append(names, BEGIN)[used], distinct[used].astype("f4"), saved[used].astype("f4"))
+        n = np.zeros(len(chunk.ids), _U)
+        n[at] = counts
+        number = np.zeros(len(chunk.ids), np.int64)
+        number[at] = index
+        names = here
+    return seen, p
 
 
-def count_grams(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(k, gram, n): how often a symbol follows a context of length k, from distinct words and their counts."""
+def fold(id_: Column, of: int = 7) -> Column:
+    return F.crc32(id_.cast("string").cast("binary")) % of
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            return key[starts], np.add.reduceat(n, starts)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k in range(depth + 1):
-                parts = [(key[length >= k] & np.uint64((1 << 8 * (k + 1)) - 1), n[length >= k]) for key, length, n in held]
-                if sum(len(key) for key, _ in parts):
-                    key, n = merged(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-                    yield pa.record_batch([pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["k", "gram", "n"])
-            held.clear()
 
-        size = 0
-        for batch in batches:
-            words_ = [w.encode() for w in batch.column(0).to_pylist()]
-            if not words_:
-                continue
-            flat, place, word = symbols_of(words_)
-            n = batch.column(1).to_numpy()[word]
-            key, length = grams(flat, place, depth), np.minimum(place + 1, depth)
-            both, n = merged(key << np.uint64(8) | length.astype(np.uint64), n)
-            held.append((both >> np.uint64(8), (both & np.uint64(255)).astype(np.int64), n))
-            size += len(n)
-            if size > 4_000_000:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    return words.mapInArrow(run, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-
-
-def learn(words: DataFrame, scratch: Scratch, least_share: float = LEAST_SHARE) -> Tree:
-    """A tree from a written table of distinct words, each counted once; only grams above a share of all symbols
-    reach the driver, which bounds their number whatever the corpus."""
-    words = words.select("word", F.lit(1).cast("long").alias("n"))
-    total = words.agg(F.sum(F.octet_length("word") + 1).alias("s")).first().s or 0
-    least = max(2, int(least_share * total))
-    counted = scratch.write(count_grams(words), "grams")
-    rows = counted.where(F.col("n") >= least).toArrow()
-    k, gram, n = (rows.column(i).to_numpy() for i in range(3))
-    gram = gram.astype(np.int64).view(np.uint64)
-    of = counted.groupBy("k", F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max("n").alias("most"))
-    rows = of.where(F.col("most") >= least).toArrow()
-    level, context, total, kinds = (rows.column(i).to_numpy() for i in range(4))
-    context = context.astype(np.int64).view(np.uint64)
-    totals = {int(j): (context[level == j], total[level == j], kinds[level == j]) for j in np.unique(k)}
-    return build({int(j): (gram[k == j], n[k == j].astype(np.float64)) for j in np.unique(k)}, totals)
-
-
-@dataclass(frozen=True)
-class Counts:
-    """What the training texts hold: words, distinct words, texts, and the discount of a word's count."""
-
-    words: int
-    kinds: int
-    texts: int
-    discount: float
-
-    def base(self, n: Column | np.ndarray | float, log=np.log10):
-        """log10 of (n + 1) / (N + V + 1); the end of a text is a token and a kind like any other."""
-        return log(n + 1) - float(np.log10(self.words + self.texts + self.kinds + (self.texts > 0) + 1))
-
-    def score(self, n, log_tree, log=np.log10, power=lambda x: 10.0**x, above=lambda x: np.maximum(x, 0.0)):
-        """log10 probability of a word with count ``n``: not the end, and then the discounted count and the tree's."""
-        words, kinds = max(self.words, 1), max(self.kinds, 1 / self.discount)
-        share = above(n - self.discount) + self.discount * kinds * power(log_tree)
-        return log(share) - float(np.log10(words)) + float(np.log10(1 - self.end))
-
-    @property
-    def end(self) -> float:
-        return (self.texts + 1) / (self.words + self.texts + 2)
-
-
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, divergence: float = DIVERGENCE, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-    Word counts are those of the rows where ``train`` holds, and the tree is learned from them. Words above
-    ``least_share`` of all tokens, at most 1 / least_share of them, go to every task with their counts; the others are
-    joined to the counts by word, a row for each text and rare word, and no word among them is frequent enough to
-    make a partition large.
+    Counts and the tree are learned from the rows where ``train`` holds. Words are told apart by a 64-bit hash.
 
     Nulls: a null text is empty (the end alone); a null ``train`` counts as true; null ids keep their rows. Repeated
-    rows are counted and scored each. An empty table gives an empty result. Other columns are ignored.
+    rows are counted and scored each. Long texts are cut into pieces whose scores are summed; what a task holds does not
+    grow with a text beyond its bytes. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix-tree")
+    scratch = Scratch(docs.sparkSession, "suffix-tree")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("string").alias("text"))
-    words = scratch.write(count_words(rows.where("train").select("text")), "words")
-    sums = words.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    counts = Counts(sums.n or 0, sums.kinds, rows.where("train").count(), min(0.95, max(0.3, sums.once / max(1, sums.once + 2 * sums.twice))))
-    tree = learn(words, scratch, least_share)
-    often = max(2, int(least_share * (counts.words + counts.texts)))
-    frequent = words.where(F.col("n") >= often).toArrow()
-    known = dict(zip((w.encode() for w in frequent.column(0).to_pylist()), frequent.column(1).to_pylist()))
-    shared = spark.sparkContext.broadcast((tree, known, scratch.root))
-    rare_type = "rare array<struct<word: string, times: int, log_tree: double>>"
-    schema = T.StructType([*rows.select("id", "train").schema.fields, *T._parse_datatype_string(f"n_tokens long, n_known long, base double, score double, {rare_type}").fields])
-    rare_arrow = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32()), ("log_tree", pa.float64())]))
+    table = scratch.write(chunks(rows, depth, chunk), "chunks")
+    sums = table.agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
+    words, texts = sums.tokens or 0, sums.texts or 0
+    bits = max(1, int(np.ceil(np.log2(max(2, words / bucket)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, name = shared.value
-        memory = _memory(name)
-        end_base, end_score = float(counts.base(float(counts.texts))), float(np.log10(counts.end))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                counted = [Counter(tokens(t.as_py())) for t in part.column(2)]
-                new = list({w for c in counted for w in c if w not in memory})
-                if len(memory) + len(new) > WORDS_HELD:
-                    memory.clear()
-                    new = list({w for c in counted for w in c})
-                memory.update(zip(new, tree.score(new).tolist()))
-                out: list[list] = [[] for _ in range(5)]
-                for c in counted:
-                    seen = [(n, known[w], memory[w]) for w, n in c.items() if w in known]
-                    times, n, log_tree = np.array(seen, float).reshape(-1, 3).T
-                    rare = [{"word": w.decode(), "times": k, "log_tree": memory[w]} for w, k in c.items() if w not in known]
-                    base, score = float(times @ counts.base(n)) + end_base, float(times @ counts.score(n, log_tree)) + end_score
-                    for column, v in zip(out, (sum(c.values()) + 1, int(times.sum()) + (counts.texts > 0), base, score, rare)):
-                        column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_arrow)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))], names=schema.names)
-
-    table = scratch.write(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "texts")
-    pairs = table.select("row", F.explode("rare").alias("x")).select("row", "x.*")
-    joined = pairs.join(words.where(F.col("n") < often), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
-    score = counts.score(F.col("n"), F.col("log_tree"), F.log10, lambda x: F.pow(F.lit(10.0), x), lambda x: F.greatest(x, F.lit(0.0)))
-    sums_ = [F.sum(F.col("times") * x).alias(a) for x, a in ((counts.base(F.col("n"), F.log10), "b"), (score, "s"), ((F.col("n") > 0).cast("long"), "k"))]
-    out = table.select("row", "id", "train", "n_tokens", "n_known", "base", "score").join(joined.groupBy("row").agg(*sums_), "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select("id", "train", "n_tokens", plus("n_known", "k").cast("long").alias("n_known"), F.lit(counts.words + counts.texts).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))
-
-
-_SCORED: dict[str, dict[bytes, float]] = {}
-
-
-def _memory(name: str) -> dict[bytes, float]:
-    """Scores of words by tree, kept while a worker lives; only of the last tree."""
-    if name not in _SCORED:
-        _SCORED.clear()
-        _SCORED[name] = {}
-    return _SCORED[name]
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c = Chunk(blob.as_py(), depth)
+                counts = np.bincount(c.ids[c.train], minlength=len(c.words)).astype(_U)
+                yield batch_of(list(asked(name, 0, bits, c.words, counts)), ASKED)
+                if depth:
+                    here, index = numbered(c.grams(1, c.words[c.ids])[at := c.hist >= 1])
+                    yield batch_of(list(asked(name, 2, bits, here, np.bincount(index[c.train[at]], minlength=len(here)).astype(_U))), ASKED)
+
+    told = [scratch.write(settle(table.select("chunk", "blob").mapInArrow(first, ASKED), divergence), "told0")]
+    kinds = told[0].where("kind = 0 and chunk = -1").agg(F.sum("known").alias("n")).first().n or 0
+
+    def together(*extra: str) -> DataFrame:
+        out = table.select("chunk", F.lit(-1).cast("int").alias("kind"), F.lit(-1).cast("long").alias("bucket"), "blob", *extra)
+        nothing = [F.lit(None).cast(table.schema[x].dataType).alias(x) for x in extra]
+        for t in told:
+            out = out.unionByName(t.where("chunk >= 0").select("chunk", "kind", "bucket", "blob", *nothing))
+        return out.groupBy("chunk")
+
+    def read(t: pa.Table) -> tuple[int, Chunk, dict[int, np.ndarray]]:
+        parts: dict[int, list] = {}
+        for kind, b, blob in sorted(zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist(), t.column("blob")), key=lambda x: x[:2]):
+            parts.setdefault(kind, []).append(blob.as_py())
+        own = Chunk(parts.pop(-1)[0], depth)
+        return t.column("chunk")[0].as_py(), own, {k: np.concatenate([unpack(x, "u8")[0] for x in v]) for k, v in parts.items()}
+
+    def more(t: pa.Table) -> pa.Table:
+        name, own, answers = read(t)
+        out: list[tuple] = []
+        walk(own, answers, words, kinds, texts, depth, lambda kind, hashes, *values: out.extend(asked(name, kind, bits, hashes, *values)))
+        return pa.Table.from_batches([batch_of(out, ASKED)])
+
+    for k in range(1, depth + 1):
+        told.append(scratch.write(settle(together().applyInArrow(more, ASKED), divergence), f"told{k}"))
+        scratch.sweep()
+
+    numbers = "`row` long, train boolean, n_tokens long, n_known long, base double, score double"
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string(numbers).fields])
+
+    def last(t: pa.Table) -> pa.Table:
+        _, own, answers = read(t)
+        seen, p = walk(own, answers, words, kinds, texts, depth, None)
+        at = np.flatnonzero([x is not None for x in t.column("rows").to_pylist()])[0]
+        add = lambda x: np.add.reduceat(np.where(own.own, x, 0), own.starts)
+        base = np.log10(seen + 1.0) - np.log10(words + kinds + 1)
+        flags = np.add.reduceat(own.train.astype(np.int64), own.starts) > 0
+        cols = [t.column("ids")[at].values, t.column("rows")[at].values, pa.array(flags), pa.array(add(1).astype(np.int64)), pa.array(add(seen > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+        return pa.table(cols, names=schema.names)
+
+    pieces = together("rows", "ids").applyInArrow(last, schema)
+    out = pieces.groupBy("row").agg(F.first("id").alias("id"), F.first("train").alias("train"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return out.select("id", "train", "n_tokens", "n_known", F.lit(words).cast("long").alias("train_tokens"), "base_score", "score")
