@@ -8,10 +8,11 @@ scored in the state of the longest retained suffix of what came before it, whose
 parent's, down to that of no context, which is the base.
 
 Nothing of the tree is broadcast or reaches the driver; it grows with the corpus. Texts are turned into written chunks
-of symbol numbers once. Then, level by level, a chunk asks the owners of its distinct grams (buckets of 64-bit hashes)
-for their counts in all of the corpus, and the owners of its contexts whether they are retained: both are sums of what
-the chunks send. A chunk asks once for a gram, however often it has it, so the most frequent gram adds one entry a chunk
-to its bucket. A chunk makes a row for each bucket that it has a gram of, so no more rows than grams.
+of symbol numbers once. Then, level by level, a chunk asks the buckets of its distinct grams for their counts in all of
+the corpus, and the buckets of its contexts whether they are retained: both are sums of what the chunks send. One of the
+chunks that have a gram is named its owner, which alone sends the gram's part of its context's divergence. A chunk asks
+once for a gram, however often it has it, so the most frequent gram adds one entry a chunk to its bucket. A chunk makes
+a row for each bucket that it has a gram of, so no more rows than grams.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 
 from ravelin.llm._scratch import Scratch
 
-DEPTH = 3  # symbols of the longest context
+DEPTH = 2  # symbols of the longest context
 DIVERGENCE = 4.0  # nats that a context must save over its parent for each of its distinct next symbols
-CHUNK = 600_000  # symbols of a chunk; a longer text is cut into pieces that begin with the symbols before them
+CHUNK = 1_000_000  # symbols of a chunk; a longer text is cut into pieces that begin with the symbols before them
 BUCKET = 400_000  # distinct grams, about, that meet in a bucket
 SLICE = 1 << 20  # bytes that are cut into words at a time
 
@@ -41,6 +42,7 @@ _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BYTES[_SPACE] = 0
 END, BEGIN = np.uint64(0x51ED270B1F3C9A77), np.uint64((1 << 64) - 1)
 _U = np.uint64
+_TOP = _U(0xFFFFFFFFFFFFFF00)  # of a gram's hash, the bits that are sent
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,7 +127,8 @@ class Chunk:
     beginning of its text among them; the first ``lead`` symbols of a piece are known only as what came before."""
 
     def __init__(self, blob: bytes, depth: int):
-        self.words, self.ids, sizes, lead, train = unpack(blob, "u8", "u4", "u4", "u1", "?")
+        gaps, number, ranks, sizes, lead, train = unpack(blob, "u8", "u4", "u4", "u4", "u1", "?")
+        self.words, self.ids = np.cumsum(gaps, dtype=_U), number[ranks].astype(np.int64)
         sizes = sizes.astype(np.int64)
         self.starts = np.cumsum(sizes) - sizes
         place = np.arange(len(self.ids)) - np.repeat(self.starts, sizes)
@@ -136,11 +139,11 @@ class Chunk:
         self.train = np.repeat(train, sizes) & self.own
 
     def grams(self, k: int, before: np.ndarray) -> np.ndarray:
-        """Hashes of every symbol with the k before it, from those with k - 1; right where ``hist`` is k or more."""
+        """56-bit hashes of every symbol with the k before it, from those with k - 1; right where ``hist`` is k or more."""
         shifted = np.concatenate([[BEGIN], before[:-1]])
         if k == 1:
             shifted[self.first] = BEGIN
-        return mixed(shifted * _U(0xD6E8FEB86659FD93) + self.words[self.ids] + _U(k))
+        return mixed(shifted * _U(0xD6E8FEB86659FD93) + self.words[self.ids] + _U(k)) & _TOP
 
     def shifted(self, k: int, values: np.ndarray, begin: int) -> np.ndarray:
         """The value of the context of k symbols before each symbol, where the values are those of grams of k symbols."""
@@ -163,7 +166,10 @@ def chunks(rows: DataFrame, depth: int, size: int) -> DataFrame:
             nonlocal made
             words, ids = numbered(np.concatenate([h[0] for h in held]))
             sizes, lead, train = (np.array(x) for x in zip(*((len(h[0]), h[1], h[2]) for h in held)))
-            blob = pack(words, ids.astype(np.uint32), sizes.astype(np.uint32), lead.astype(np.uint8), train.astype(bool))
+            number = np.argsort(-np.bincount(ids), kind="stable").astype(np.uint32)  # frequent words get small ranks, which pack well
+            ranks = np.empty(len(words), np.uint32)
+            ranks[number] = np.arange(len(words), dtype=np.uint32)
+            blob = pack(np.diff(words, prepend=_U(0)), number, ranks[ids], sizes.astype(np.uint32), lead.astype(np.uint8), train.astype(bool))
             given = pa.concat_arrays([h[3] for h in held])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             cols = [pa.array([(task << 32) + made]), pa.array([blob], pa.binary()), one(pa.array([h[4] for h in held], pa.int64())), pa.array([int(((sizes - lead) * train).sum())]), pa.array([int((train & (lead == 0)).sum())]), one(given)]
@@ -212,25 +218,31 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def settle(requests: DataFrame, divergence: float) -> DataFrame:
-    """What each chunk is told by the buckets that it has asked: of grams (even kinds) their counts in training, of
-    contexts (odd kinds) their distinct next symbols, or 0 if they are not retained."""
+    """What each chunk is told by the buckets that it has asked: of grams (even kinds) twice their counts in training,
+    plus one for their owner; of contexts (odd kinds) their distinct next symbols, or 0 if they are not retained."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         order = np.argsort(table.column("chunk").to_numpy())
         table = table.take(order)
-        parts = [unpack(b.as_py(), "u8", *(("f4", "f4") if kind % 2 else ("u8",))) for b in table.column("blob")]
+        parts = [unpack(b.as_py(), "u8", *(("u4", "f4") if kind % 2 else ("u8",))) for b in table.column("blob")]
         sizes = [len(p[0]) for p in parts]
         hashes = np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts])
         order = np.argsort(hashes, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        starts = np.flatnonzero(new)
-        sums = [np.add.reduceat(np.concatenate([p[i] for p in parts])[order], starts, dtype="f8" if kind % 2 else "u8") for i in range(1, len(parts[0]))]
-        del parts
-        total = np.where(sums[1] >= divergence * sums[0], np.rint(sums[0]), 0).astype(_U) if kind % 2 else sums[0]
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        sent = [np.concatenate([p[i] for p in parts])[order] for i in range(1, len(parts[0]))]
+        del parts, hashes
+        total = np.add.reduceat(sent[0], starts, dtype=_U)
+        if kind % 2:
+            answer = np.where(np.add.reduceat(sent[1], starts, dtype="f8") >= divergence * total, total, _U(0))[group]
+        else:
+            has = sent[0] > 0
+            before = np.cumsum(has) - has
+            answer = (total << _U(1))[group] | (has & (before == before[starts][group])).astype(_U)
         out = np.empty(len(order), _U)
-        out[order] = total[np.cumsum(new) - 1]
+        out[order] = answer
         told = [(c, kind, bucket, pack(x), None) for c, x in zip(table.column("chunk").to_pylist(), np.split(out, np.cumsum(sizes)[:-1]))]
         if kind == 0:
             told.append((-1, 0, bucket, None, int(np.count_nonzero(total))))
@@ -241,39 +253,39 @@ def settle(requests: DataFrame, divergence: float) -> DataFrame:
 
 def walk(chunk: Chunk, told: dict[int, np.ndarray], words: int, kinds: int, texts: int, depth: int, ask: Callable | None) -> tuple[np.ndarray, np.ndarray]:
     """(count of each symbol, its probability), as far as the chunk has been told; ``ask`` gets what it must ask next."""
-    seen = told[0][chunk.ids]
+    n = seen = (told[0] >> _U(1))[chunk.ids]
     p = (seen + 1.0) / (words + kinds + 1)
-    below, number, n = chunk.words[chunk.ids], chunk.ids.astype(np.int64), seen
-    names = chunk.words  # hashes of the distinct grams of one level less
+    below, number, names = chunk.words[chunk.ids], chunk.ids, chunk.words  # names: hashes of the grams of a level less
     for k in range(1, depth + 1):
         of = chunk.shifted(k, n, texts)  # occurrences of the context
-        wanted = chunk.hist >= k if k == 1 else (chunk.hist >= k) & (of >= 2)
         below = chunk.grams(k, below)
-        at = np.flatnonzero(wanted)
+        at = np.flatnonzero((chunk.hist >= k) & ((of >= 2) | (k == 1)))
         here, index = numbered(below[at])
         if 2 * k not in told:
             ask(2 * k, here, np.bincount(index[chunk.train[at]], minlength=len(here)).astype(_U))
             break
+        total = told[2 * k] >> _U(1)
         context = chunk.shifted(k, number, len(names))
-        counts = told[2 * k][index]
-        alive = (of[at] >= 2) & chunk.own[at]
-        on, count = at[alive], counts[alive].astype(np.float64)
-        c, total = context[on], of[on].astype(np.float64)
+        alive = np.flatnonzero((of[at] >= 2) & chunk.own[at])
+        on = at[alive]
         used = np.zeros(len(names) + 1, bool)
-        used[c] = True
+        used[context[on]] = True
         if 2 * k + 1 in told:
             distinct = np.zeros(len(used))
             distinct[used] = told[2 * k + 1]
-            t = distinct[c]
-            p[on] = np.where(t > 0, (count + t * p[on]) / (total + t), p[on])
+            t, before = distinct[context[on]], p[on]
+            p[on] = np.where(t > 0, (total[index[alive]] + t * before) / (of[on] + t), before)
         else:
-            train = chunk.train[on]
-            c, count = c[train], count[train]
-            distinct = np.bincount(c, 1 / count, len(used))
-            saved = np.bincount(c, np.log(count / total[train] / p[on][train]), len(used))
-            ask(2 * k + 1, np.append(names, BEGIN)[used], distinct[used].astype("f4"), saved[used].astype("f4"))
+            place = np.full(len(here), -1)  # one of each gram in training
+            learned = alive[chunk.train[on]]
+            place[index[learned]] = at[learned]
+            mine = np.flatnonzero((told[2 * k] & _U(1)).astype(bool) & (place >= 0))
+            place, many = place[mine], total[mine].astype(np.float64)
+            distinct = np.bincount(context[place], minlength=len(used))
+            saved = np.bincount(context[place], many * np.log(many / of[place] / p[place]), len(used))
+            ask(2 * k + 1, np.append(names, BEGIN)[used], distinct[used].astype("u4"), saved[used].astype("f4"))
         n = np.zeros(len(chunk.ids), _U)
-        n[at] = counts
+        n[at] = total[index]
         number = np.zeros(len(chunk.ids), np.int64)
         number[at] = index
         names = here
@@ -311,6 +323,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                     yield batch_of(list(asked(name, 2, bits, here, np.bincount(index[c.train[at]], minlength=len(here)).astype(_U))), ASKED)
 
     told = [scratch.write(settle(table.select("chunk", "blob").mapInArrow(first, ASKED), divergence), "told0")]
+    scratch.sweep()
     kinds = told[0].where("kind = 0 and chunk = -1").agg(F.sum("known").alias("n")).first().n or 0
 
     def together(*extra: str) -> DataFrame:
