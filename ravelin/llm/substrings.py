@@ -320,7 +320,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Joined by sorted shuffles at every size: their number grows with the input.
     marked = rows.join(scratch.write(again, "again").hint("merge"), "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
     marked = scratch.write(marked.select("id", "copy", F.octet_length("text").cast("long").alias("n"), F.when(~F.col("copy"), F.col("text")).alias("text")), "marked")
-    scratch.sweep()
     blocks = scratch.write(marked.where("NOT copy").select("id", "text").mapInArrow(_blocks(), schema), "blocks")
     copies = scratch.write(marked.where("copy").select("id", "n"), "copies")
     scratch.drop("marked")
@@ -374,9 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent, answer = "bucket int, block long, blob binary", "block long, bucket int, mask binary"
     by_block = lambda df, name: scratch.write(df.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias(name)), name)
     answers = by_block(blocks.mapInArrow(first_pass, sent).groupBy("bucket").applyInArrow(_shared, answer), "answers")
-    scratch.sweep()
     sent_pieces = scratch.write(blocks.join(answers.hint("merge"), "block").mapInArrow(second_pass, sent), "pieces")
-    scratch.sweep()
     runs = by_block(sent_pieces.groupBy("bucket").applyInArrow(_least(length, gram), answer), "runs")
     scratch.drop("pieces")
     whole = blocks.join(answers.hint("merge"), "block", "left").join(runs.hint("merge"), "block", "left")

@@ -323,7 +323,6 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                     yield batch_of(list(asked(name, 2, bits, here, np.bincount(index[c.train[at]], minlength=len(here)).astype(_U))), ASKED)
 
     told = [scratch.write(settle(table.select("chunk", "blob").mapInArrow(first, ASKED), divergence), "told0")]
-    scratch.sweep()
     kinds = told[0].where("kind = 0 and chunk = -1").agg(F.sum("known").alias("n")).first().n or 0
 
     def together(*extra: str) -> DataFrame:
@@ -348,7 +347,6 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     for k in range(1, depth + 1):
         told.append(scratch.write(settle(together().applyInArrow(more, ASKED), divergence), f"told{k}"))
-        scratch.sweep()
 
     numbers = "`row` long, train boolean, n_tokens long, n_known long, base double, score double"
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string(numbers).fields])
