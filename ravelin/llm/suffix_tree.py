@@ -31,7 +31,7 @@ from ravelin.llm._scratch import Scratch
 
 DEPTH = 2  # symbols of the longest context
 DIVERGENCE = 4.0  # nats that a context must save over its parent for each of its distinct next symbols
-CHUNK = 1_000_000  # symbols of a chunk; a longer text is cut into pieces that begin with the symbols before them
+CHUNK = 800_000  # symbols of a chunk; a longer text is cut into pieces that begin with the symbols before them
 BUCKET = 400_000  # distinct grams, about, that meet in a bucket
 SLICE = 1 << 20  # bytes that are cut into words at a time
 

@@ -1,4 +1,12 @@
-"""Main text of web pages: template deduction by equivalence classes of tokens, then extraction of the slots left."""
+"""Main text of web pages: template deduction by equivalence classes of tokens, then extraction of the slots left.
+
+A token is the path of an element (names and classes of what it is in), or of a text with a hash of it. Tokens of a
+host that occur equally often on each of its pages are of one class; classes that are large and frequent are its
+template, nested by their paths. Texts that nearly all pages with their element have are fixed. What is left between
+the template's elements are slots; the element that holds most of their text over the host's pages is where its articles
+are, and its slots are the main text of a page. Only where a host has too few pages for a template, or a page has none of
+it, do the page's own marks (article, main, words in classes) decide alone.
+"""
 
 from __future__ import annotations
 
@@ -39,38 +47,51 @@ _DIGITS = re.compile(r"\d+")
 #: Elements that hold running text; any other block below an article is a part of it that stands by itself.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table thead tbody tr td th".split())
 
-LEAST_PAGES, LEAST_SHARE, LEAST_CLASS = 5, 0.9, 3
+LEAST_PAGES, LEAST_CLASS = 5, 3  # distinct pages that a class is on, tokens that it has
+LEAST_SHARE = 0.05  # of a host's pages, for a class: no host has more than 20 pages' worth of template
+FIXED_SHARE = 0.9  # of the pages that have a text's element, for a fixed text
+DOMINANT = 0.6  # share of an element's text that the element below it must hold to take its place
+MARKED = 3.0  # weight of text in an element that the page marks as its article
 
 
 class Slot:
-    """A run of text between block boundaries, with the path of open elements above it."""
+    """A run of text between block boundaries, with the path of open elements above it, the characters of it in links,
+    and the number of the element that it stands in (running text counts to what it runs in)."""
 
-    __slots__ = ("path", "text", "dropped", "article", "header", "box")
+    __slots__ = ("path", "text", "dropped", "article", "header", "box", "links")
 
-    def __init__(self, path: str, text: str, dropped: bool, article: bool, header: bool, box: str = ""):
-        self.path, self.text, self.dropped, self.article, self.header, self.box = path, text, dropped, article, header, box
+    def __init__(self, path: str, text: str, dropped: bool, article: bool, header: bool, box: int = 0, links: int = 0):
+        self.path, self.text, self.dropped, self.article, self.header, self.box, self.links = path, text, dropped, article, header, box, links
 
     @property
     def token(self) -> str:
-        return f"{self.path}={self.text}" if len(self.text) <= 200 else f"{self.path}#{xxhash.xxh64_hexdigest(self.text)}"
+        return f"{self.path}#{xxhash.xxh64_hexdigest(self.text)}"
+
+    @property
+    def chars(self) -> int:
+        """Characters that speak for an article: none in links and in what is no running text by the page's marks."""
+        return 0 if self.dropped or (self.header and not self.article) else max(0, len(self.text) - self.links)
 
 
-def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
-    """(tokens, slots) of a page. A token is the path of an opening tag, or of a slot with its text; slots come in page
-    order, their text decoded, white space turned into single spaces and trimmed; empty ones are left out."""
-    out: list[tuple[str, str]] = []
+def parse(source: str | None) -> tuple[list[tuple[str, str, str, int]], list[Slot]]:
+    """(tokens, slots) of a page. A token is (kind, path, token, characters), of an opening tag or a slot; slots come in
+    page order, their text decoded, white space turned into single spaces and trimmed; empty ones are left out."""
+    out: list[tuple[str, str, str, int]] = []
     slots: list[Slot] = []
-    stack: list[tuple[str, str, bool, bool, bool, str]] = [("", "", False, False, False, "")]
+    stack: list[tuple] = [("", "", False, False, False, 0, False)]  # name, path, dropped, article, header, box, link
     parts: list[str] = []
+    links = boxes = 0
 
     def flush() -> None:
+        nonlocal links
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
                 at = next(x for x in reversed(stack) if x[0] not in INLINE)
-                slots.append(Slot(at[1], text, stack[-1][2], at[3], at[4], at[5]))
-                out.append(("text", slots[-1].token))
+                slots.append(Slot(at[1], text, stack[-1][2], at[3], at[4], at[5], links))
+                out.append(("text", at[1], slots[-1].token, slots[-1].chars))
+            links = 0
 
     def close(depth: int) -> None:
         if any(x[0] not in INLINE for x in stack[depth:]):
@@ -80,8 +101,9 @@ def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
     end = 0
     source = source or ""
     for m in _TOKEN.finditer(source):
-        if m.start() > end and not stack[-1][2]:
+        if m.start() > end:
             parts.append(source[end : m.start()])
+            links += stack[-1][6] * (m.start() - end)
         end = m.end()
         name = (m[4] or "").lower()
         if not name:
@@ -105,7 +127,7 @@ def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
         attributes = {a.lower(): (b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(m[5])} if m[5] and m[5] != "/" else {}
         label = " ".join(attributes.get(k, "") for k in ("class", "id", "role") if attributes.get(k))
         parent = stack[-1]
-        path = parent[1] if name in INLINE else f"{parent[1]}/{name}" + (f".{_DIGITS.sub('0', label)}" if label else "")
+        path = parent[1] if name in INLINE else f"{parent[1]}/{name}" + (f".{_DIGITS.sub('0', label)}".replace("/", "|") if label else "")
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         body = parent[3] or name in ("article", "main")
         dropped = parent[2] or name in DROPPED or hidden or (bool(label) and name not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(label)))
@@ -113,11 +135,13 @@ def parse(source: str | None) -> tuple[list[tuple[str, str]], list[Slot]]:
         if dropped and not parent[2]:
             flush()
         if name not in INLINE:
-            out.append(("tag", path))
+            out.append(("tag", path, path, 0))
         if name not in VOID and not m[5].endswith("/"):
-            box = "" if not body or name in ("article", "main") else parent[5] if name in INLINE or name in RUNNING else path
-            stack.append((name, path, dropped, body, header, box))
-    if end < len(source) and not stack[-1][2]:
+            box = parent[5]
+            if name not in INLINE and name not in RUNNING:
+                boxes = box = boxes + 1
+            stack.append((name, path, dropped, body, header, box, parent[6] or name == "a"))
+    if end < len(source):
         parts.append(source[end:])
     flush()
     return out, slots
@@ -128,58 +152,101 @@ def host_of(url: str) -> F.Column:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, kind, token, page, n) for each distinct token of each page of (page, host, html)."""
+    """(host, kind, path, token, chars, page, n) for each distinct token of each page of (page, host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                rows = [(h, k, t, p, n) for p, h, s in zip(*(batch.column(i).slice(lo, 500).to_pylist() for i in range(3))) for (k, t), n in Counter(parse(s)[0]).items()]
+                rows = [(h, *t, p, n) for p, h, s in zip(*(batch.column(i).slice(lo, 500).to_pylist() for i in range(3))) for t, n in Counter(parse(s)[0]).items()]
                 if rows:
-                    types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["host", "kind", "token", "page", "n"])
+                    types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["host", "kind", "path", "token", "chars", "page", "n"])
 
-    return pages.mapInArrow(run, "host string, kind string, token string, page long, n long")
+    return pages.mapInArrow(run, "host string, kind string, path string, token string, chars long, page long, n long")
 
 
-def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_class: int = LEAST_CLASS) -> DataFrame:
-    """(host, class, parent, tokens array<struct<kind, token>>): the template of each host, from (page, host, html) with a unique page number.
+def vectors(pages: DataFrame) -> DataFrame:
+    """(host, kind, path, token, support, total, vector, weight): the occurrence vectors of tokens, from (host, html).
 
-    Two tokens have the same occurrence vector if they occur equally often on each page; the vectors are compared by
-    their support, their sum and a 64-bit sum of page hashes times counts, so no vector is ever gathered and a host
-    with most of the pages costs its tasks no more than their own pages. A class is valid if it is on
-    ``least_pages`` pages and a share of ``least_share`` of its host, and has ``least_class`` tokens. Its place is
-    its shortest path; it nests in the class (``parent``) whose place is the longest path above that. What a host's
-    pages share is no longer than a page, so a host's classes fit in a row. Copies of a page count once.
+    Two tokens have the same vector if they occur equally often on each page; vectors are compared by their support,
+    their sum and a 64-bit sum of page hashes times counts, so none is ever gathered and a host with most of the pages
+    costs its tasks no more than their own pages. ``weight``: characters of a text, over all pages. Copies of a page
+    count once.
     """
     pages = pages.select("host", "html").distinct().withColumn("page", F.monotonically_increasing_id()).select("page", "host", "html")
-    found = occurrences(pages)
-    weight = (F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.least("n", F.lit(1 << 20))).cast("decimal(38,0)")
-    vectors = found.groupBy("host", "kind", "token").agg(F.count("*").alias("support"), F.sum("n").alias("total"), F.sum(weight).alias("vector"))
-    size = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    common = vectors.join(size, "host").where((F.col("support") >= least_pages) & (F.col("support") >= least_share * F.col("pages")))
-    place = F.regexp_extract("token", "^([^=#]*)", 1)
-    classes = common.groupBy("host", F.xxhash64("support", "total", "vector").alias("class")).agg(F.array_sort(F.collect_list(F.struct("kind", "token"))).alias("tokens"), F.min(F.struct(F.length(place), place.alias("at"))).alias("place"))
-    classes = classes.where(F.size("tokens") >= least_class).select("host", F.struct("class", F.col("place.at").alias("at"), "tokens").alias("c"))
-    hosts = classes.groupBy("host").agg(F.collect_list("c").alias("cs"))
+    part = (F.xxhash64("page").bitwiseAND(F.lit((1 << 40) - 1)) * F.col("n")).cast("decimal(38,0)")
+    return occurrences(pages).groupBy("host", "kind", "path", "token").agg(F.count("*").alias("support"), F.sum("n").alias("total"), F.sum(part).alias("vector"), F.sum(F.col("chars") * F.col("n")).alias("weight"))
+
+
+def classes(found: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_class: int = LEAST_CLASS) -> DataFrame:
+    """(host, class, parent, support, tokens): the valid classes of each host from its vectors, as a nested template.
+
+    A class is valid if it is on ``least_pages`` pages and a share of ``least_share`` of its host's, and has
+    ``least_class`` tokens. Its place is its shortest path; it nests in the class (``parent``) whose place is the
+    longest path above that. The share bounds what a host's classes can hold, so they fit in a row.
+    """
+    pages = found.where("kind = 'tag'").groupBy("host").agg(F.max("support").alias("pages"))
+    common = found.where(F.col("support") >= least_pages).join(pages, "host").where(F.col("support") >= least_share * F.col("pages"))
+    grouped = common.groupBy("host", F.xxhash64("support", "total", "vector").alias("class")).agg(F.first("support").alias("support"), F.array_sort(F.collect_list(F.struct("kind", "token"))).alias("tokens"), F.min(F.struct(F.length("path"), F.col("path").alias("at"))).alias("place"))
+    grouped = grouped.where(F.size("tokens") >= least_class).select("host", F.struct("class", F.col("place.at").alias("at"), "support", "tokens").alias("c"))
+    hosts = grouped.groupBy("host").agg(F.collect_list("c").alias("cs"))
     above = lambda c: F.array_max(F.transform(F.filter("cs", lambda x: F.startswith(c["at"], F.concat(x["at"], F.lit("/")))), lambda x: F.struct(F.length(x["at"]).alias("n"), x["class"].alias("class"))))
-    nested = F.transform("cs", lambda c: F.struct(c["class"].alias("class"), above(c)["class"].alias("parent"), c["tokens"].alias("tokens")))
+    nested = F.transform("cs", lambda c: F.struct(c["class"].alias("class"), above(c)["class"].alias("parent"), c["support"].alias("support"), c["tokens"].alias("tokens")))
     return hosts.select("host", F.explode(nested).alias("c")).select("host", "c.*")
 
 
-def extract(source: str | None, template: frozenset[str] | set[str]) -> str:
-    """The main text: slots that the template leaves, of the article where the page marks one.
+def deduce(found: DataFrame, fixed_share: float = FIXED_SHARE, **limits) -> DataFrame:
+    """(host, elements array<struct<path, weight>>, fixed array<string>): a row for each host with a template.
 
-    Slots in dropped elements, and those whose very text is in the template outside the article, go. Inside, an element
-    that stands by itself goes where the template has every slot of it; running text of the article stays. A header
-    inside the article is part of it; one outside is not.
+    Elements are those of the template, with the characters of unfixed text below them over the host's pages; fixed
+    are the texts that a share of ``fixed_share`` of the pages with their element have.
+    """
+    template = classes(found, **limits).select("host", F.explode("tokens").alias("t")).where("t.kind = 'tag'").select("host", F.col("t.token").alias("path"))
+    tags = found.where("kind = 'tag'").select("host", "path", F.col("support").alias("pages"))
+    texts = found.where("kind = 'text'")
+    often = texts.where(F.col("support") >= limits.get("least_pages", LEAST_PAGES)).join(tags, ["host", "path"])
+    fixed = often.where(F.col("support") >= fixed_share * F.col("pages")).select("host", "path", "token", "weight")
+    unfixed = texts.groupBy("host", "path").agg(F.sum("weight").alias("weight")).unionByName(fixed.select("host", "path", (-F.col("weight")).alias("weight")))
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    weights = unfixed.groupBy("host", "path").agg(F.sum("weight").alias("weight")).select("host", F.explode(above).alias("path"), "weight").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
+    elements = template.join(weights, ["host", "path"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", F.col("weight").cast("long").alias("weight")))).alias("elements"))
+    return elements.join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed")), "host", "left").select("host", "elements", F.coalesce("fixed", F.array()).alias("fixed"))
+
+
+def article_of(elements: dict[str, float]) -> str | None:
+    """The path of the template's element that holds the articles: from the outermost, down to the element below it as
+    long as that holds most of the text (as the page marks articles, an article or main weighs more). Elements of running
+    text end the way."""
+    above: dict[str | None, list[str]] = {}
+    for path in sorted(elements):
+        step = path
+        while step and (step := step.rpartition("/")[0]) not in elements:
+            pass
+        above.setdefault(step or None, []).append(path)
+    at = None
+    name = lambda path: path.rpartition("/")[2].partition(".")[0]
+    heavy = lambda path: elements[path] * (MARKED if name(path) in ("article", "main") else 1.0)
+    while below := [x for x in above.get(at, ()) if name(x) not in RUNNING and elements[x] > 0]:
+        best = max(below, key=lambda x: (heavy(x), x))
+        if at is not None and heavy(best) < DOMINANT * (elements[at] - elements[best] + heavy(best)):
+            break
+        at = best
+    return at
+
+
+def extract(source: str | None, article: str | None = None, fixed: frozenset[str] | set[str] = frozenset()) -> str:
+    """The main text: the slots below the template's article, or, where there is none, those of the page's own.
+
+    An element all of whose texts are fixed goes; fixed text among other running text stays, as does all of an article
+    that has no other. A header inside the page's article is part of it; one outside is not.
     """
     _, slots = parse(source)
-    kept = [s for s in slots if not s.dropped]
-    inside = [s for s in kept if s.article]
-    if inside:
-        own = {s.box for s in inside if s.token not in template} | {""}
-        return " ".join(s.text for s in inside if s.box in own)
-    return " ".join(s.text for s in kept if not s.header and s.token not in template)
+    kept = [s for s in slots if not s.dropped and (s.article or not s.header)]
+    inside = [s for s in kept if s.path == article or s.path.startswith(f"{article}/")] if article else []
+    inside = inside or [s for s in kept if s.article] or kept
+    own = {s.box for s in inside if s.token not in fixed}
+    return " ".join(s.text for s in inside if s.box in own or not own)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **limits) -> DataFrame:
@@ -194,15 +261,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     scratch = Scratch(spark, "templates")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    template = deduce(rows.select(F.monotonically_increasing_id().alias("page"), "host", "html"), **limits)
-    fixed = F.transform(F.filter("tokens", lambda t: t["kind"] == "text"), lambda t: t["token"])
-    texts = template.groupBy("host").agg(F.flatten(F.collect_list(fixed)).alias("template"))
-    joined = rows.join(scratch.write(texts, "texts"), "host", "left")
+    found = scratch.write(vectors(rows.select("host", "html")), "vectors")
+    joined = rows.join(scratch.write(deduce(found, **limits), "templates"), "host", "left")
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
         for batch in batches:
-            out = [extract(s, frozenset(t or ())) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            out = []
+            for host, source, elements, fixed in zip(*(batch.column(i) for i in range(2, 6))):
+                if (h := host.as_py()) not in known:
+                    if len(known) > 100:
+                        known.clear()
+                    known[h] = article_of({e["path"]: e["weight"] for e in elements.as_py() or ()}), frozenset(fixed.as_py() or ())
+                out.append(extract(source.as_py(), *known[h]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
-    return joined.select("id", "url", "html", "template").mapInArrow(run, schema)
+    return joined.select("id", "url", "host", "html", "elements", "fixed").mapInArrow(run, schema)
