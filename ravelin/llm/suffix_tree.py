@@ -251,8 +251,10 @@ def settle(requests: DataFrame, divergence: float) -> DataFrame:
     return requests.groupBy("kind", "bucket").applyInArrow(run, TOLD)
 
 
-def walk(chunk: Chunk, told: dict[int, np.ndarray], words: int, kinds: int, texts: int, depth: int, ask: Callable | None) -> tuple[np.ndarray, np.ndarray]:
-    """(count of each symbol, its probability), as far as the chunk has been told; ``ask`` gets what it must ask next."""
+def walk(chunk: Chunk, told: dict[int, np.ndarray], level: int, words: int, kinds: int, texts: int, depth: int, ask: Callable | None) -> tuple[np.ndarray, np.ndarray]:
+    """(count of each symbol, its probability), as far as the chunk has been told: of grams up to ``level`` and of
+    contexts below it, where it had any to ask about. ``ask`` gets what it must ask next."""
+    nothing = np.empty(0, _U)
     n = seen = (told[0] >> _U(1))[chunk.ids]
     p = (seen + 1.0) / (words + kinds + 1)
     below, number, names = chunk.words[chunk.ids], chunk.ids, chunk.words  # names: hashes of the grams of a level less
@@ -261,25 +263,26 @@ def walk(chunk: Chunk, told: dict[int, np.ndarray], words: int, kinds: int, text
         below = chunk.grams(k, below)
         at = np.flatnonzero((chunk.hist >= k) & ((of >= 2) | (k == 1)))
         here, index = numbered(below[at])
-        if 2 * k not in told:
+        if k > level:
             ask(2 * k, here, np.bincount(index[chunk.train[at]], minlength=len(here)).astype(_U))
             break
-        total = told[2 * k] >> _U(1)
+        answer = told.get(2 * k, nothing)
+        total = answer >> _U(1)
         context = chunk.shifted(k, number, len(names))
         alive = np.flatnonzero((of[at] >= 2) & chunk.own[at])
         on = at[alive]
         used = np.zeros(len(names) + 1, bool)
         used[context[on]] = True
-        if 2 * k + 1 in told:
+        if k < level:
             distinct = np.zeros(len(used))
-            distinct[used] = told[2 * k + 1]
+            distinct[used] = told.get(2 * k + 1, nothing)
             t, before = distinct[context[on]], p[on]
             p[on] = np.where(t > 0, (total[index[alive]] + t * before) / (of[on] + t), before)
         else:
             place = np.full(len(here), -1)  # one of each gram in training
             learned = alive[chunk.train[on]]
             place[index[learned]] = at[learned]
-            mine = np.flatnonzero((told[2 * k] & _U(1)).astype(bool) & (place >= 0))
+            mine = np.flatnonzero((answer & _U(1)).astype(bool) & (place >= 0))
             place, many = place[mine], total[mine].astype(np.float64)
             distinct = np.bincount(context[place], minlength=len(used))
             saved = np.bincount(context[place], many * np.log(many / of[place] / p[place]), len(used))
@@ -339,21 +342,24 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         own = Chunk(parts.pop(-1)[0], depth)
         return t.column("chunk")[0].as_py(), own, {k: np.concatenate([unpack(x, "u8")[0] for x in v]) for k, v in parts.items()}
 
-    def more(t: pa.Table) -> pa.Table:
-        name, own, answers = read(t)
-        out: list[tuple] = []
-        walk(own, answers, words, kinds, texts, depth, lambda kind, hashes, *values: out.extend(asked(name, kind, bits, hashes, *values)))
-        return pa.Table.from_batches([batch_of(out, ASKED)])
+    def more(level: int) -> Callable[[pa.Table], pa.Table]:
+        def run(t: pa.Table) -> pa.Table:
+            name, own, answers = read(t)
+            out: list[tuple] = []
+            walk(own, answers, level, words, kinds, texts, depth, lambda kind, hashes, *values: out.extend(asked(name, kind, bits, hashes, *values)))
+            return pa.Table.from_batches([batch_of(out, ASKED)])
+
+        return run
 
     for k in range(1, depth + 1):
-        told.append(scratch.write(settle(together().applyInArrow(more, ASKED), divergence), f"told{k}"))
+        told.append(scratch.write(settle(together().applyInArrow(more(k), ASKED), divergence), f"told{k}"))
 
     numbers = "`row` long, train boolean, n_tokens long, n_known long, base double, score double"
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string(numbers).fields])
 
     def last(t: pa.Table) -> pa.Table:
         _, own, answers = read(t)
-        seen, p = walk(own, answers, words, kinds, texts, depth, None)
+        seen, p = walk(own, answers, depth + 1, words, kinds, texts, depth, None)
         at = np.flatnonzero([x is not None for x in t.column("rows").to_pylist()])[0]
         add = lambda x: np.add.reduceat(np.where(own.own, x, 0), own.starts)
         base = np.log10(seen + 1.0) - np.log10(words + kinds + 1)

@@ -108,9 +108,18 @@ def plain_alike(x, y):
     return x == y or 5 * len(x & y) >= 4 * len(x | y)
 
 
-def test_near_dedup_stage_keeps_one_of_all_that_are_similar(spark, real, small):
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    expected = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[8:]] for x in sets[:12]]
+    assert similar.shared(sets[:12], sets[8:], width=7).astype(int).tolist() == expected
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_dedup_stage_keeps_one_of_all_that_are_similar(spark, monkeypatch, real, small, block):
     import corpus_pipeline
 
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
 
@@ -123,7 +132,7 @@ def test_near_dedup_stage_keeps_one_of_all_that_are_similar(spark, real, small):
     bases = [[word() for _ in range(200)] for _ in range(12)]
     texts = [*real[:100], None, "", "a", "A", *(" ".join(b) for b in bases)]
     texts += [edited(b, k) for b in bases for k in (1, 2, 3, 4, 5, 8)]
-    texts += [edited(bases[0], rng.randint(2, 5)) for _ in range(40)]  # more than are compared pair by pair
+    texts += [edited(bases[0], rng.randint(2, 7)) for _ in range(90)]  # more than are compared pair by pair
     ids = rng.sample(range(10_000), len(texts))
     sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
 
@@ -343,45 +352,67 @@ def test_no_document_is_cut_while_a_sequence_has_room():
 # --- op7 -------------------------------------------------------------------------------------------------------------
 
 
-def test_suffix_tree(spark, real):
-    texts = [*real, *ODD, "the THE the", "never-seen-word"]
+def plain_tree(train, depth, least):
+    """(count, probability) functions of a tree that is learned from lists of symbols, context by context."""
+    counts = collections.defaultdict(collections.Counter)
+    for text in train:
+        whole = ["<", *text]
+        for j in range(1, len(whole)):
+            for k in range(min(depth, j) + 1):
+                counts[tuple(whole[j - k : j])][whole[j]] += 1
+    root, retained = counts[()], set()
+
+    def probability(context, symbol):
+        if not context:
+            return (root[symbol] + 1) / (sum(root.values()) + len(root) + 1)
+        above = probability(context[1:], symbol)
+        if context not in retained:
+            return above
+        own = counts[context]
+        return (own[symbol] + len(own) * above) / (sum(own.values()) + len(own))
+
+    for k in range(1, depth + 1):
+        for context in [c for c in counts if len(c) == k]:
+            own, n = counts[context], sum(counts[context].values())
+            if n >= 2 and sum(c * math.log(c / n / probability(context[1:], s)) for s, c in own.items()) >= least * len(own):
+                retained.add(context)
+    return root, probability, retained
+
+
+@pytest.mark.parametrize("depth,chunk,bucket", [(2, 800_000, 400_000), (3, 700, 500), (1, 5000, 100)])
+def test_suffix_tree(spark, monkeypatch, real, depth, chunk, bucket):
+    monkeypatch.setattr(suffix_tree, "SLICE", 999)
+    texts = [*real[:60], *(ODD if chunk > 1000 else [x and x[:3000] for x in ODD]), "the THE the", "never-seen-word", *real[10:13], "a b c a b c a b d " * 9]
     held = F.coalesce(suffix_tree.fold(F.col("doc_id")) == 2, F.lit(False))
-    rows = suffix_tree.score_texts(documents(spark, texts), ~held).collect()
+    rows = suffix_tree.score_texts(documents(spark, texts), ~held, depth=depth, chunk=chunk, bucket=bucket).collect()
     split = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
-    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
-    counts = collections.Counter(w for t in train for w in split(t))
+    train = [split(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, probability, retained = plain_tree(train, depth, suffix_tree.DIVERGENCE)
     total = sum(counts.values())
+    assert sorted(r.id for r in rows) == list(range(len(texts))) and any(len(c) == depth for c in retained)
     for r in rows:
         words = split(texts[r.id])
+        whole = ["<", *words]
         assert r.train == (zlib.crc32(str(r.id).encode()) % 7 != 2) and r.train_tokens == total
         assert (r.n_tokens, r.n_known) == (len(words), sum(counts[w] > 0 for w in words))
-        expected = sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in words)
-        assert math.isclose(r.base_score, expected, rel_tol=1e-9) and r.score < 0
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in words), rel_tol=1e-9)
+        expected = sum(math.log10(probability(tuple(whole[max(0, j - depth) : j]), whole[j])) for j in range(1, len(whole)))
+        assert math.isclose(r.score, expected, rel_tol=1e-9)
+    for context in [(), *list(retained)[:20]]:  # all symbols and an unseen one
+        assert math.isclose(sum(probability(context, s) for s in [*counts, object()]), 1.0, rel_tol=1e-9)
     assert suffix_tree.score_texts(documents(spark, texts).limit(0), F.lit(True)).count() == 0
 
 
-def test_tree_is_a_distribution(spark):
-    words = spark.createDataFrame([(w, 1) for w in ("banana", "bandana", "ananas", "cabana", "band", "bans", "bandanas", "bananas")], "word string, n long")
-    tree = suffix_tree.learn(words, Scratch(spark, "test"))
-    listed = [dict(zip(g.tolist(), p.tolist())) for g, p in zip(tree.grams, tree.log_p)]
-    back = [dict(zip(c.tolist(), p.tolist())) for c, p in zip(tree.contexts, tree.back)]
-
-    def probability(context: bytes, symbol: int) -> float:
-        out = 0.0
-        for k in range(len(context), -1, -1):
-            number = int.from_bytes(context[len(context) - k :], "big")
-            if k and number not in back[k]:
-                continue
-            if (found := listed[k].get(number << 8 | symbol)) is not None:
-                return 10 ** (out + found)
-            out += back[k][number]
-        raise AssertionError
+def test_words_of_slices(monkeypatch):
+    import pyarrow as pa
 
-    for context in (b"", b" ", b" b", b"an", b" ban", b"anan", b"zz"):
-        assert math.isclose(sum(probability(context, s) for s in range(256)), 1.0, rel_tol=1e-9)
-    expected = sum(math.log10(probability((b" band"[: i + 1])[-6:], c)) for i, c in enumerate(b"band "))
-    assert math.isclose(tree.score([b"band"])[0], expected)
-    assert any(len(c) for c in tree.contexts[1:]) and tree.score([b"banana"])[0] > tree.score([b"bnaaan"])[0]
+    monkeypatch.setattr(suffix_tree, "SLICE", 64)
+    texts = ["One  two\tTHREE", None, "", "x" * 500 + " two", " two ", "é two" + "\u00a0y " * 40, "y" * 70_000, "y" * 69_999 + "z"]
+    found, sizes = suffix_tree.symbols(pa.array(texts))
+    words = [w for t in texts for w in [*(t or "").encode().lower().split(), None]]
+    assert sizes.tolist() == [len((t or "").encode().split()) + 1 for t in texts] and len(found) == len(words)
+    by = dict(zip(words, found.tolist()))
+    assert [by[w] for w in words] == found.tolist() and len(set(by.values())) == len(by)
 
 
 # --- op10 ------------------------------------------------------------------------------------------------------------
@@ -471,6 +502,66 @@ def test_template_inside_articles_long_slots_and_copies(spark):
     assert "The same article in two parts" in out[20] and len(out) == len(rows)
 
 
+def test_classes_are_those_of_plain_vectors(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select(templates.host_of("url").alias("host"), "html")
+    extra = [("two", f"<div class='l{'a' if i % 2 else 'b'}'><ul><li>Home</li></ul><h2>T {i}</h2><p>x{i}</p><p>Fixed foot</p><i>{i}</i></div>") for i in range(14)]
+    pages = pages.unionByName(spark.createDataFrame([*extra, extra[0], ("two", None)], "host string, html string"))
+    found = {}
+    for host, html in {(r.host, r.html) for r in pages.collect()}:
+        for (kind, path, token, _), n in collections.Counter(templates.parse(html)[0]).items():
+            found.setdefault(host, {}).setdefault((kind, token, path), {})[html] = n
+    expected, nests = {}, {}
+    for host, vectors in found.items():
+        most = max(len(v) for (kind, _, _), v in vectors.items() if kind == "tag")
+        by = collections.defaultdict(list)
+        for key, v in vectors.items():
+            if len(v) >= 3 and len(v) >= 0.05 * most:
+                by[frozenset(v.items())].append(key)
+        valid = [sorted(k[:2] for k in keys) for keys in by.values() if len(keys) >= 3]
+        places = {tuple(sorted(k[:2] for k in keys)): min((len(k[2]), k[2]) for k in keys)[1] for keys in by.values() if len(keys) >= 3}
+        expected[host] = sorted(valid)
+        for own, at in places.items():
+            above = [(len(p), o) for o, p in places.items() if at.startswith(p + "/")]
+            nests[host, own] = {o for n, o in above if n == max(above)[0]} if above else {None}
+    rows = templates.classes(templates.vectors(pages), least_pages=3).collect()
+    out, name = collections.defaultdict(list), {}
+    for r in rows:
+        tokens = tuple((t.kind, t.token) for t in r.tokens)
+        out[r.host].append(list(tokens))
+        name[r.host, r["class"]] = tokens
+    assert {h: sorted(v) for h, v in out.items()} == {h: v for h, v in expected.items() if v} and out["two"]
+    assert all(name.get((r.host, r.parent)) in nests[r.host, name[r.host, r["class"]]] for r in rows)
+
+
+def test_main_text_without_marks(spark, monkeypatch):
+    """The template alone finds the articles of real pages: no article element, no word list."""
+    monkeypatch.setattr(templates, "BOILERPLATE", re.compile("(?!)"))
+    monkeypatch.setattr(templates, "MARKED", 1.0)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", templates.host_of("url").alias("host"), "html").collect()
+    bare = lambda x: re.sub("<(/?)article>", r"<\1div>", x).replace("<footer>", "<div class='f'>").replace("</footer>", "</div>")
+    found = {}
+    for r in pages:
+        for (kind, path, token, chars), n in collections.Counter(templates.parse(bare(r.html))[0]).items():
+            v = found.setdefault((r.host, kind, path, token), [0, 0, 0, 0])
+            v[:] = v[0] + 1, v[1] + n, v[2] + n * zlib.crc32(str(r.page_id).encode()), v[3] + n * chars
+    rows = spark.createDataFrame([(*k, *v) for k, v in found.items()], "host string, kind string, path string, token string, support long, total long, vector long, weight long")
+    known = {r.host: (templates.article_of({e.path: e.weight for e in r.elements}), frozenset(r.fixed)) for r in templates.deduce(rows).collect()}
+    checked = 0
+    for r in pages:
+        if r.host in known:
+            plain = templates.extract(re.search("<article>.*</article>", r.html, re.S)[0])
+            checked += 1
+            assert templates.extract(bare(r.html), *known[r.host]) == plain
+    assert checked > 100
+
+
+def test_odd_pages(spark):
+    rows = [(1, "http://h/a", "<div><p>Same</p></div>", 1), (1, "http://h/a", "<div><p>Same</p></div>", 2), (2, "http://h/b", "<p>" + "long words " * 200_000, 3), (3, "http://h/c", "</p></div><<p", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host long").withColumns({"text": F.lit(1), "template": F.lit(2), "id": F.lit(3)})
+    out = sorted((r.id, r.text) for r in templates.main_text(df).collect())
+    assert [t for i, t in out if i == 1] == ["Same", "Same"] and out[2][1] == ("long words " * 200_000).strip() and len(out) == 4
+
+
 # --- op1 -------------------------------------------------------------------------------------------------------------
 
 
