@@ -45,9 +45,29 @@ def _byte_letters() -> str:
     return "".join(letters)
 
 
+#: How the tokenizer files that can be read word by word normalise and cut.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(parts: dict) -> bool:
+    """Whether a tokenizer file is one whose ids can be remembered word by word."""
+    normal, cuts, model = ((parts.get(k) or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+    cuts = cuts.get("pretokenizers") or [{}, {}]
+    return (
+        normal.get("normalizers") == NORMALIZERS
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": WORD_CUT}, "Removed", True)
+        and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in parts.get("added_tokens") or ())
+    )
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list[bytes]]:
-    """Token ids, as little-endian unsigned 32-bit bytes, of texts, by a tokenizer file that cuts at white space.
+    """Token ids, as little-endian unsigned 32-bit bytes, of texts: those of the tokenizer file, special tokens that
+    stand in a text included. Files that cut otherwise than by words go through the tokenizer as they are.
 
     No pre-token crosses white space, so ids are remembered by what stands between it, and below that by pre-token
     (the first ``held`` of either, later ones for one call only); a worker keeps both while it lives. New pre-tokens go to
@@ -58,9 +78,11 @@ def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
+    if not by_words(parts):
+        return lambda texts: [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    added = [t["content"] for t in parts["added_tokens"]]
     parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
     bare = Tokenizer.from_str(json.dumps(parts))
     chunks: dict[bytes, bytes] = {}
@@ -86,8 +108,8 @@ def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list
 
     def learn(new: list[bytes]) -> list[str]:
         lines = b"\n".join(new).decode()
-        if not plain.fullmatch(lines):
-            odd = [c for c in new if not plain.fullmatch(c.decode())]
+        if not plain.fullmatch(lines) or any(a in lines for a in added):
+            odd = [c for c in new if not plain.fullmatch(t := c.decode()) or any(a in t for a in added)]
             chunks.update((c, ids(c.decode())) for c in odd)
             new = list(set(new).difference(odd))
             lines = b"\n".join(new).decode()
