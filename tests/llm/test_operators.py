@@ -299,8 +299,7 @@ def test_packing(spark, real):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     plain = tokenizers.Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [*real[:60], *ODD, "<|endoftext|> it's İstanbul \x1c é ½ 中文", "don't"]
+    texts = [*real[:60], *ODD, "<|endoftext|> it's İstanbul \x1c é ½ 中文", "don't", "a<|endoftext|>b c<|startoftext|>", "x <|ENDOFTEXT|> é<|endoftext|>é"]
     rows = packing.pack(documents(spark, texts), path, block_tokens=20_000, keep_ids=True).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -319,6 +318,14 @@ def test_packing(spark, real):
     assert packing.pack(documents(spark, texts).limit(0), path).count() == 0
 
 
+def test_other_tokenizer_files():
+    tokenizers, paths = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    plain = tokenizers.Tokenizer.from_file(paths.path("byte_bpe_50k.json"))
+    texts = ["Hello  there\nagain", "", "é <|endoftext|> x"]
+    ids = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.word_tokenizer(paths.path("byte_bpe_50k.json"))(texts) == ids
+
+
 def test_block_costs_are_balanced():
     rng = random.Random(4)
     lengths = [rng.randint(10, 1500) for _ in range(2000)]
@@ -419,7 +426,7 @@ def test_words_of_slices(monkeypatch):
 
 
 def plain_tiles(text, item, least):
-    in_text, in_item, out = [False] * len(text), [False] * len(item), 0
+    in_text, in_item, out = [False] * len(text), [False] * len(item), []
     while True:
         best = (least - 1, 0, 0)
         for x in range(len(text)):
@@ -434,14 +441,39 @@ def plain_tiles(text, item, least):
             return out
         for k in range(n):
             in_text[x + k] = in_item[y + k] = True
-        out += n
+        out.append((x, y, n))
 
 
 def test_tiling_equals_plain_greedy():
     rng = random.Random(9)
     for _ in range(300):
         text, item = [np.array([rng.randint(1, 4) for _ in range(rng.randint(0, 30))], np.int64) for _ in range(2)]
-        assert sum(n for *_, n in tiling.tile(text, item, 3)) == plain_tiles(text.tolist(), item.tolist(), 3)
+        assert tiling.tile(text, item, 3) == plain_tiles(text.tolist(), item.tolist(), 3)
+
+
+def test_tiling_of_long_repetitive_texts():
+    words = np.ones(200_000, np.int64)
+    assert tiling.tile(words, np.ones(500, np.int64)) == [(0, 0, 500)]
+    item = np.concatenate([np.ones(300, np.int64), [2], np.ones(250, np.int64)])
+    assert tiling.tile(words, item) == [(0, 0, 300), (300, 301, 250)]
+
+
+def test_every_item_that_is_covered_is_found(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefghij")
+    items = [" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["a b c " * 20_000]
+    expected = []
+    for i, t in enumerate(texts):
+        for j, x in enumerate(items):
+            ids = {w: k for k, w in enumerate("abcdefghij", 1)}
+            tiles = tiling.tile(*(np.array([ids[w] for w in y.split()], np.int64) for y in (t, x))) if i == 40 else plain_tiles(t.split(), x.split(), 3)
+            if sum(n for *_, n in tiles) >= 0.8 * len(x.split()) and tiles:
+                expected.append((i, j, sum(n for *_, n in tiles)))
+    bench = spark.createDataFrame([(j, x, "clash") for j, x in enumerate([*items, items[0]])], "item_id int, text string, hash string")
+    found = tiling.find_contamination(documents(spark, texts), bench, block_bytes=200).collect()
+    expected += [(i, 30, n) for i, j, n in expected if j == 0]
+    assert sorted((r.id, r.item, r.words) for r in found) == sorted(expected) and len(expected) >= 10
 
 
 def test_contamination(spark):
@@ -450,10 +482,10 @@ def test_contamination(spark):
     texts = ["before " + item.upper() + " after", f"x {halves[1]} y {halves[0]} z", halves[0] + " other words stand here", None, "", item, item]
     bench = spark.createDataFrame([(5, item, 1), (6, "too short", 1), (None, None, 1)], "item_id int, text string, doc_id int")
     docs = documents(spark, texts)
-    for block_words in (tiling.BLOCK_WORDS, 3):
-        rows = tiling.find_contamination(docs, bench, block_words=block_words).collect()
+    for block_bytes in (tiling.BLOCK_BYTES, 60):
+        rows = tiling.find_contamination(docs, bench, block_bytes=block_bytes).collect()
         assert sorted((r.id, r.item, r.coverage) for r in rows) == [(0, 5, 1.0), (1, 5, 1.0), (5, 5, 1.0), (6, 5, 1.0)]
-        assert sorted(r.doc_id for r in tiling.without_contaminated(docs, bench, block_words=block_words).collect()) == [2, 3, 4]
+        assert sorted(r.doc_id for r in tiling.without_contaminated(docs, bench, block_bytes=block_bytes).collect()) == [2, 3, 4]
     assert tiling.find_contamination(docs, bench.limit(0)).count() == 0 and tiling.find_contamination(docs.limit(0), bench).count() == 0
 
 
