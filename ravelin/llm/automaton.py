@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import length_hint
+
 import numpy as np
 
 ALL = (1 << 256) - 1
@@ -23,9 +25,10 @@ def _mask(chars: str) -> int:
 class _Nfa:
     """Thompson fragments. States are numbered; ``step[s]`` is (mask, target) or None, ``free[s]`` the empty moves."""
 
-    def __init__(self):
+    def __init__(self, backward: bool = False):
         self.step: list[tuple[int, int] | None] = []
         self.free: list[list[int]] = []
+        self.backward = backward
 
     def state(self) -> int:
         self.step.append(None), self.free.append([])
@@ -126,7 +129,7 @@ class _Nfa:
                 self.free[a].append(p), self.free[q].append(b)
         elif tree[0] == "cat":
             end = a
-            for x in tree[1]:
+            for x in reversed(tree[1]) if self.backward else tree[1]:
                 p, q = self._build(x)
                 self.free[end].append(p)
                 end = q
@@ -160,6 +163,8 @@ class Automaton:
     def __init__(self, classes: bytes, moves: np.ndarray, rules: np.ndarray, start: int):
         self.classes, self.moves, self.rules, self.start = classes, moves, rules, start
         self._rows: list[list] | None = None
+        self.table, self.accepts = moves.tolist(), [bool(r) for r in rules.tolist()]
+        self.dead = next((i for i, row in enumerate(self.table) if not self.accepts[i] and set(row) == {i}), -1)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_rows": None}
@@ -175,11 +180,11 @@ class Automaton:
             row.extend(ends[i] for i in after)
         return rows
 
-    def scan(self, data: bytes) -> int:
-        """The bit set of rules that match somewhere in ``data``: one pass, one array look-up a byte."""
+    def ends(self, data: bytes) -> list[tuple[int, int]]:
+        """(end, bit set of rules) of every byte of ``data`` at which a match ends: one pass, one array look-up a byte."""
         if self._rows is None:
             self._rows = self._linked()
-        rows, found = self._rows, 0
+        rows, rules, size, found = self._rows, self.rules, len(data), []
         row = rows[self.start]
         left = iter(data.translate(self.classes))
         while True:
@@ -187,15 +192,31 @@ class Automaton:
                 for c in left:
                     row = row[c]
                 break
-            except TypeError:  # row was the number of an accepting state
-                found |= int(self.rules[row])
+            except TypeError:  # row was the number of an accepting state, c is what follows it
+                found.append((size - length_hint(left) - 1, int(rules[row])))
                 row = rows[row][c]
-        return found | (int(self.rules[row]) if isinstance(row, int) else 0)
+        if isinstance(row, int):
+            found.append((size, int(rules[row])))
+        return found
+
+    def longest(self, data: bytes, end: int, least: int) -> int | None:
+        """Where the longest match that ends at ``end`` begins, not before ``least``; of an automaton that reads backward."""
+        state, found = self.start, None
+        for at in range(end - 1, least - 1, -1):
+            state = self.table[state][self.classes[data[at]]]
+            if state == self.dead:
+                break
+            if self.accepts[state]:
+                found = at
+        return found
+
 
+def compile_rules(patterns: list[tuple[str, bool]], backward: bool = False) -> Automaton:
+    """Subset construction over all ``(pattern, ignore ASCII case)`` at once, then minimisation by refinement.
 
-def compile_rules(patterns: list[tuple[str, bool]]) -> Automaton:
-    """Subset construction over all ``(pattern, ignore ASCII case)`` at once, then minimisation by refinement."""
-    nfa, starts, ends = _Nfa(), [], {}
+    Forward, a match can begin at any byte; ``backward``, the patterns are reversed and a match begins at the first.
+    """
+    nfa, starts, ends = _Nfa(backward), [], {}
     for i, (pattern, fold) in enumerate(patterns):
         a, b = nfa.add(pattern, fold)
         starts.append(a)
@@ -223,7 +244,7 @@ def compile_rules(patterns: list[tuple[str, bool]]) -> Automaton:
             todo.remove(now)
             row = []
             for b in sample:
-                after = set(origin)  # a match can begin at any byte
+                after = set() if backward else set(origin)
                 for s in now:
                     if (x := nfa.step[s]) and x[0] >> b & 1:
                         after |= closure(x[1])

@@ -1,4 +1,8 @@
-"""Secret scans: all rules in one pass of a combined automaton, exact spans where it has found something."""
+"""Secret scans: all rules in one pass of a combined automaton, which finds where their matches end.
+
+A match begins where the longest reversed match from there does, and reaches as far as the rule's pattern goes on from
+its beginning; no pattern is searched for in a text.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,9 @@ from ravelin.llm.automaton import Automaton, compile_rules
 
 @dataclass(frozen=True)
 class Rule:
-    """``trigger`` goes into the automaton and holds somewhere in every text with a valid match; ``exact`` and the
-    least length of its group ``group`` say which leftmost, non-overlapping matches are kept."""
+    """``trigger`` goes into the automaton and matches the beginning of every match, whether it is long enough or not
+    (unless a shorter one cannot hide another): a trigger that begins earlier also ends earlier. ``exact`` says how far
+    the match goes on, and the least length of its group ``group`` which leftmost, non-overlapping ones are kept."""
 
     kind: str
     trigger: str
@@ -38,7 +43,7 @@ _ARMOUR = (
     rf"(?:(?:{_BREAK}*+[A-Za-z0-9+/]{{20,}}+={{0,2}})++(?:{_BREAK}++(?:[A-Za-z0-9+/]++={{1,2}}|(?<=[\nnr])[A-Za-z0-9+/]++(?=\s*?(?:[\r\n]|\\[nr]|\Z))))?)?)"
 )
 RULES = (
-    Rule("assign", rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?[{_VALUE}]{{6}}", rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([{_VALUE}]+)", 6, 2, True),
+    Rule("assign", rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?[{_VALUE}]", rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([{_VALUE}]+)", 6, 2, True),
     Rule("access", "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]+", 20),
     Rule("hex", "[0-9a-f]{24}", "[0-9a-f]+", 24),
     # Added to the base: prefixes that services give their keys, and armoured private keys.
@@ -50,8 +55,9 @@ BASE = ("assign", "access", "hex")
 
 
 @lru_cache(maxsize=4)
-def automaton(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    return compile_rules([(r.trigger, r.fold) for r in rules])
+def automaton(rules: tuple[Rule, ...] = RULES) -> tuple[Automaton, ...]:
+    """One for all rules, then one a rule that reads backward."""
+    return compile_rules([(r.trigger, r.fold) for r in rules]), *(compile_rules([(r.trigger, r.fold)], backward=True) for r in rules)
 
 
 @lru_cache(maxsize=64)
@@ -59,13 +65,36 @@ def _exact(rule: Rule) -> re.Pattern:
     return re.compile(rule.exact, re.ASCII | re.IGNORECASE if rule.fold else re.ASCII)
 
 
-def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES, machine: Automaton | None = None) -> list[tuple[int, int, int]]:
+def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES, machines: tuple[Automaton, ...] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, index of the rule) in code points, by start, then as the rules are listed."""
-    hit = (machine or automaton(rules)).scan((text or "").encode())
-    found = []
-    for i, rule in enumerate(rules):
-        if hit >> i & 1:
-            found += [(m.start(), m.end(), i) for m in _exact(rule).finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    data = (text or "").encode()
+    whole, *back = machines or automaton(rules)
+    ends = whole.ends(data)
+    if not ends:
+        return []
+    found, taken = [], [0] * len(rules)  # taken: the byte up to which matches of a rule reach
+    wide = len(data) != len(text)
+    byte = point = 0  # the code points before a byte
+
+    def point_of(at: int) -> int:
+        nonlocal byte, point
+        if not wide:
+            return at
+        point += len(data[byte:at].decode()) if at >= byte else -len(data[at:byte].decode())
+        byte = at
+        return point
+
+    for end, hit in ends:
+        for i, rule in enumerate(rules):
+            if not hit >> i & 1 or end <= taken[i]:
+                continue
+            start = back[i].longest(data, end, taken[i])
+            if start is None:  # it would begin inside the match before
+                continue
+            m = _exact(rule).match(text, a := point_of(start))
+            taken[i] = start + (len(text[a : m.end()].encode()) if wide else m.end() - a)
+            if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                found.append((a, m.end(), i))
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
@@ -77,12 +106,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(span))])
-    machine = automaton(rules)  # compiled once, sent with the tasks
+    machines = automaton(rules)  # compiled once, sent with the tasks
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": rules[i].kind, "start": a, "end": b} for a, b, i in find_spans(t.as_py(), rules, machine)] for t in batch.column(1)]
+            spans = [[{"kind": rules[i].kind, "start": a, "end": b} for a, b, i in find_spans(t.as_py(), rules, machines)] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(spans, pa.list_(kind))], names=["id", "spans"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
@@ -100,12 +129,12 @@ def count_of(spans: str, kind: str) -> F.Column:
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span in ``text_col`` replaced by ``mark``; overlapping spans become one. Nulls stay null."""
-    machine = automaton(rules)
+    machines = automaton(rules)
     field = [i for i, f in enumerate(docs.schema.fields) if f.name == text_col][0]
 
     def clean(text: str) -> str:
         out, end = [], 0
-        spans = find_spans(text, rules, machine)
+        spans = find_spans(text, rules, machines)
         if not spans:
             return text
         merged: list[list[int]] = []

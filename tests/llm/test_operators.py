@@ -168,7 +168,7 @@ def plain_spans(text, rules):
 
 def test_secrets(spark):
     rng = random.Random(1)
-    parts = ["password", "Token", "api_key", "apikey", "SECRET", "=", ": ", '"', "'", " ", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "\n", "xyz", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "a" * 36, "ſecret", "/+.=-_"]
+    parts = ["password", "Token", "api_key", "apikey", "SECRET", "=", ": ", '"', "'", " ", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "\n", "xyz", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "gho_", "xoxb-", "token", "passwd", "x", "a" * 36, "ſecret", "/+.=-_", "  "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     for t in texts:
         assert secrets.find_spans(t) == plain_spans(t, secrets.RULES), t
@@ -204,7 +204,16 @@ def test_automaton_is_minimal_and_right():
     assert machine.states <= 12
     for t in ("zabbbc", "12a345", "Y", "q", "ac", "", "12"):
         expected = sum(1 << i for i, p in enumerate(("ab+c", "[0-9]{3}", "(?i)x|yz?")) if re.search(p, t))
-        assert machine.scan(t.encode()) == expected
+        got = machine.ends(t.encode())
+        assert sum(1 << i for i in range(3) if any(bits >> i & 1 for _, bits in got)) == expected
+        for i, p in enumerate(("ab+c", "[0-9]{3}", "(?i:x|yz?)")):
+            assert [e for e, bits in got if bits >> i & 1] == [e for e in range(len(t) + 1) if re.search(f"(?:{p})\\Z", t[:e])]
+
+
+def test_backward_automaton():
+    machine = automaton.compile_rules([("ab*c|bc", False)], backward=True)
+    for t, least, expected in (("xabbbc", 0, 1), ("xabbbc", 2, 4), ("bc", 0, 0), ("c", 0, None), ("abbc", 3, None)):
+        assert machine.longest(t.encode(), len(t), least) == expected
 
 
 # --- op3 -------------------------------------------------------------------------------------------------------------
