@@ -23,8 +23,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_and_read(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
-    note = lambda key: F.col("metadata.notes")[key].cast("long")
-    return found.select(note("captureId").alias("page_id"), note("payloadLength").alias("payload_bytes"), F.col("main.digest").alias("payload_digest"), "main.record_type", note("refersToCapture").alias("refers_to"), F.col("main.target_uri").alias("url"))
+    key = F.col("metadata.notes")["captureId"].cast("long")
+    return found.select(key.alias("page_id"), "payload_bytes", F.col("main.digest").alias("payload_digest"), "main.record_type", "refers_to", F.col("main.target_uri").alias("url"))
 
 
 def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

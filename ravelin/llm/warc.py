@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ BREAK = "\r\n\r\n"  # what ends a record, and so what the text writer puts after
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_A_FILE = 6000
+CHUNK = 1 << 20  # bytes of an archive that are unpacked at a time
 
 
 def digest_of(payload: bytes) -> str:
@@ -29,24 +31,34 @@ def record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in head.items() if v is not None), "", ""]).encode() + block
 
 
-def capture(key: object, url: str | None, payload: bytes, revisit_of: object) -> list[bytes]:
-    """The response (or revisit), request and metadata records of a capture, linked by WARC-Concurrent-To.
+def asked_for(url: str | None) -> bytes:
+    """The request for a URL: its path and query, and the host; a URL that cannot be read asks for the root."""
+    try:
+        parts = urlsplit(url or "")
+        path, host = (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), parts.netloc.rpartition("@")[2]
+    except ValueError:
+        path, host = "/", ""
+    return (f"GET {path.replace(' ', '%20')} HTTP/1.1\r\n" + (f"Host: {host}\r\n" if host else "") + "\r\n").encode()
+
+
+def capture(key: object, url: str | None, payload: bytes, first: bool, target: str | None) -> list[bytes]:
+    """The response (or, of what is not the first of its payload, revisit), request and metadata records of a capture,
+    linked by WARC-Concurrent-To. ``target``: the URL that a revisit refers to.
 
     Line breaks in a URL would end its header: they are written as %0A and %0D.
     """
-    url = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+    clean = lambda x: None if x is None else x.replace("\r", "%0D").replace("\n", "%0A")
     name = lambda: f"<urn:uuid:{uuid.uuid4()}>"
-    me, digest = name(), digest_of(payload)
+    me, digest, url = name(), digest_of(payload), clean(url)
     both = {"WARC-Date": DATE, "WARC-Target-URI": url}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     more = {"WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
-    if revisit_of is None:
+    if first:
         main = record("response", {"WARC-Record-ID": me, **both, **more}, http + payload)
     else:
-        main = record("revisit", {"WARC-Record-ID": me, **both, "WARC-Profile": PROFILE, **more}, http)
-    asked = record("request", {"WARC-Record-ID": name(), **both, "WARC-Concurrent-To": me, "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n")
-    notes = {"captureId": key, "payloadLength": len(payload), "refersToCapture": revisit_of}
-    about = "".join(f"{k}: {v}\r\n" for k, v in notes.items() if v is not None).encode()
+        main = record("revisit", {"WARC-Record-ID": me, **both, "WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": clean(target), "WARC-Refers-To-Date": DATE, **more}, http)
+    asked = record("request", {"WARC-Record-ID": name(), **both, "WARC-Concurrent-To": me, "Content-Type": "application/http; msgtype=request"}, asked_for(url))
+    about = b"" if key is None else f"captureId: {key}\r\n".encode()
     return [main, asked, record("metadata", {"WARC-Record-ID": name(), **both, "WARC-Concurrent-To": me, "Content-Type": "application/warc-fields"}, about)]
 
 
@@ -60,29 +72,50 @@ def write_archives(captures: DataFrame, path: str, scratch, id_col: str, url_col
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = captures.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
-    again = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.count("*").alias("n"), F.max("key").alias("first")).where("n > 1").select("sha", "first")
+    again = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("key", "url")).alias("first")).where("n > 1").select("sha", "first")
     again = scratch.write(again, "again")
-    linked = rows.join(again, "sha", "left").select("key", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("first")).alias("of"))
+    linked = rows.join(again, "sha", "left").select("key", "url", "payload", (F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first.key"))).alias("is_first"), F.col("first.url").alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                rows_ = zip(*(batch.column(i).slice(lo, 500).to_pylist() for i in range(4)))
+                rows_ = zip(*(batch.column(i).slice(lo, 500).to_pylist() for i in range(5)))
                 yield pa.record_batch([pa.array([r for x in rows_ for r in capture(*x)], pa.binary())], names=["value"])
 
     lines = linked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     lines.write.mode("overwrite").option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record; blocks are cut by Content-Length, so any bytes may be in them."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in data[at:end].decode().split("\r\n")[1:])}
-        start = end + 4
-        at = start + int(head["content-length"])
-        yield head, data[start:at]
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """A gzip file, of any number of members, a part at a time."""
+    while data:
+        member, left = zlib.decompressobj(31), memoryview(data)
+        while not member.eof and (part := member.decompress(left, CHUNK)):
+            yield part
+            left = member.unconsumed_tail
+        data = member.unused_data
+
+
+def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record; blocks are cut by Content-Length, so any bytes may be in them.
+    What is held is one record and a part."""
+    held, head, need, at = bytearray(), None, 0, 0
+    for part in parts:
+        held += part
+        while True:
+            if head is None:
+                start = held.find(b"WARC/1.", at)
+                end = held.find(b"\r\n\r\n", start) if start >= 0 else -1
+                if end < 0:
+                    break
+                head = {k.lower(): v for k, _, v in (x.partition(": ") for x in held[start:end].decode().split("\r\n")[1:])}
+                at, need = end + 4, int(head["content-length"])
+            if len(held) < at + need:
+                break
+            yield head, bytes(held[at : at + need])
+            head, at = None, at + need
+        del held[:at]
+        at = 0
 
 
 RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, digest string, payload_bytes long, notes map<string,string>"
@@ -95,7 +128,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = False) ->
     raises. A revisit has the digest of its header and no length. The payload itself only with ``keep_payload``.
     """
     def rows(data: bytes):
-        for head, block in parse(data):
+        for head, block in parse(unpacked(data)):
             kind, digest, size, notes, payload = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, None
             if kind == "response":
                 payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -112,9 +145,16 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                found = list(rows(gzip.decompress(content.as_py())))
-                for lo in range(0, len(found), 1000):
-                    yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*found[lo : lo + 1000]), types, names)], names=names)
+                found: list[tuple] = []
+                size = 0
+                for row in rows(content.as_py()):
+                    found.append(row)
+                    size += len(row[-1] or b"") if keep_payload else 0
+                    if len(found) == 1000 or size > CHUNK:
+                        yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*found), types, names)], names=names)
+                        found, size = [], 0
+                if found:
+                    yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*found), types, names)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, RECORD + (", payload binary" if keep_payload else ""))
@@ -133,11 +173,25 @@ def assemble(records: DataFrame) -> DataFrame:
     return main.join(asked, "record_id", "left").join(about, "record_id", "left")
 
 
+def resolve(found: DataFrame) -> DataFrame:
+    """``found`` (of ``assemble``) with ``refers_to`` and ``payload_bytes``: a revisit has those of the response of its
+    payload digest, of which it takes the largest captureId should there be several."""
+    key = F.col("metadata.notes")["captureId"].cast("long")
+    of = found.where("main.record_type = 'response'").groupBy(F.col("main.digest").alias("digest")).agg(F.max(key).alias("first"), F.max("main.payload_bytes").alias("size"))
+    revisits = found.where("main.record_type = 'revisit'").join(of, F.col("main.digest") == of["digest"], "left")
+    rest = found.where("main.record_type = 'response'").select("*", F.lit(None).cast("long").alias("refers_to"), F.col("main.payload_bytes").alias("payload_bytes"))
+    return rest.unionByName(revisits.select(*(found[c] for c in found.columns), F.col("first").alias("refers_to"), F.col("size").alias("payload_bytes")))
+
+
 def archive_and_read(captures: DataFrame, scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write ``captures`` to archives in the shared folder, read them back and return one nested row per capture.
 
+    What the archives say of records is read once and written without payloads. A task holds a packed archive (about
+    2,000 captures), of which it unpacks a record at a time.
+
     Nulls: a null payload is empty, a null URL has no header, a null id no captureId; empty payloads repeat like any
     other. Rows that repeat an id and its payload are responses or revisits alike. No rows, no records.
     """
     write_archives(captures, scratch.path("warc"), scratch, id_col, url_col, payload_col, least_bytes)
-    return assemble(read_records(captures.sparkSession, scratch.path("warc")))
+    records = scratch.write(read_records(captures.sparkSession, scratch.path("warc")), "records")
+    return resolve(scratch.write(assemble(records), "captures"))
