@@ -71,26 +71,38 @@ def retrieve(planned: DataFrame, routes: dict[str, Callable[[DataFrame], DataFra
     return fusion.fuse(found, k)
 
 
-def with_retry(questions: DataFrame, search: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], rewrite: Column, query_col: str = "query", retries: int = 1) -> tuple[DataFrame, DataFrame]:
+NO_EVIDENCE = "no evidence was found"
+
+
+def with_retry(questions: DataFrame, search: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], rewrite: Column, query_col: str = "query", retries: int = 1, rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, outcome) after at most ``retries`` further rounds.
 
-    ``search`` gives (q, id, ...) for questions (q, query, ...); ``judge`` gives (q, sufficient) for (q, question,
-    hits). Every round judges the original question. Insufficient questions whose plan has a judge are searched again
-    with ``rewrite``, a column over question, current query and round; a blank rewriting or one that was asked before
-    stops. A later round's hits replace the earlier ones.
+    ``search`` gives (q, id, ...) for questions (q, query, ...), ``rerank`` what stays of the hits of a round, ``judge``
+    (q, sufficient[, missing]) for (questions, hits). Every round judges the original question. A question without hits
+    is insufficient; one with hits of which the judge says nothing is not. Insufficient questions whose plan has a
+    judge are searched again with ``rewrite``, a column over question, current query, missing points and round; a
+    blank rewriting or one that was asked before stops. A later round's hits replace the earlier ones.
     """
     state = questions.withColumns({"question": F.col(query_col), "current": F.col(query_col), "asked": F.array(F.trim(query_col)), "retry_count": F.lit(0)})
     live, done_hits, done = state, None, None
+    none = F.array().cast("array<string>")
     for round_ in range(retries + 1):
-        hits = search(live.withColumn(query_col, F.col("current")))
-        judged = live.join(judge(live, hits), "q", "left").withColumn("sufficient", F.coalesce("sufficient", F.lit(True)) | ~F.col("use_evidence_judge"))
+        now = live.withColumn(query_col, F.col("current"))
+        hits = search(now)
+        hits = rerank(now, hits) if rerank else hits
+        said = judge(live, hits)
+        said = said if "missing" in said.columns else said.withColumn("missing", none)
+        found = hits.groupBy("q").agg(F.lit(True).alias("found"))
+        judged = live.join(said.select("q", "sufficient", "missing"), "q", "left").join(found, "q", "left")
+        has, ruled = F.coalesce("found", F.lit(False)), F.coalesce("sufficient", F.lit(True))
+        judged = judged.withColumns({"sufficient": (has & ruled) | ~F.col("use_evidence_judge"), "missing": F.when(has, F.coalesce("missing", none)).otherwise(F.array(F.lit(NO_EVIDENCE)))}).drop("found")
         fresh = F.nullif(F.trim(rewrite), F.lit(""))
         judged = judged.withColumn("next", F.when(~F.col("sufficient") & (F.lit(round_) < retries), fresh))
         judged = judged.withColumn("again", F.coalesce(~F.array_contains("asked", F.col("next")), F.lit(False)))
         ended = judged.where(~F.col("again")).drop("next", "again")
         kept = hits.join(ended.select("q"), "q", "left_semi")
         done, done_hits = (ended, kept) if done is None else (done.unionByName(ended), done_hits.unionByName(kept))
-        live = judged.where("again").withColumns({"current": F.col("next"), "asked": F.array_append("asked", F.col("next")), "retry_count": F.col("retry_count") + 1}).drop("next", "again", "sufficient")
+        live = judged.where("again").withColumns({"current": F.col("next"), "asked": F.array_append("asked", F.col("next")), "retry_count": F.col("retry_count") + 1}).drop("next", "again", "sufficient", "missing")
     return done_hits, done.withColumn("rounds", F.col("retry_count") + 1)
 
 

@@ -114,13 +114,16 @@ def test_judgement(spark):
 
 
 def test_retry(spark):
-    asked = routing.with_plan(spark.createDataFrame([(1, "good", "hybrid"), (2, "bad", "hybrid"), (3, "same", "hybrid"), (4, "bad", "naive"), (5, "worse", "hybrid")], "q long, query string, query_mode string"))
-    found = {"good": "h1", "better": "h2", "bad": "h3", "same": "h4", "worse": "h5"}
+    asked = routing.with_plan(spark.createDataFrame([(1, "good", "hybrid"), (2, "bad", "hybrid"), (3, "same", "hybrid"), (4, "bad", "naive"), (5, "worse", "hybrid"), (6, "nothing", "local"), (7, "unsaid", "global"), (8, "nothing", "naive")], "q long, query string, query_mode string"))
+    found = {"good": "h1", "better": "h2", "bad": "h3", "same": "h4", "worse": "h5", "unsaid": "h6"}
     names = F.create_map(*[F.lit(x) for p in found.items() for x in p])
-    search = lambda qs: qs.select("q", names[F.col("query")].alias("id"))
-    judge = lambda qs, hits: hits.select("q", F.col("id").isin("h1", "h2").alias("sufficient"))
-    rewrite = F.when(F.col("question") == "bad", "better").when(F.col("question") == "same", "same").otherwise("")
-    hits, outcome = routing.with_retry(asked, search, judge, rewrite)
+    search = lambda qs: qs.select("q", names[F.col("query")].alias("id")).where("id IS NOT NULL").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    rerank = lambda qs, hits: hits.where("copy = 2")
+    judge = lambda qs, hits: hits.where("id <> 'h6'").select("q", F.col("id").isin("h1", "h2").alias("sufficient"), F.array(F.lit("point")).alias("missing"))
+    rewrite = F.when((F.col("question") == "bad") & (F.col("missing")[0] == "point"), "better").when(F.col("question") == "same", "same")
+    rewrite = rewrite.when(F.col("missing")[0] == routing.NO_EVIDENCE, "better").otherwise("")
+    hits, outcome = routing.with_retry(asked, search, judge, rewrite, rerank=rerank)
     rows = {r.q: r for r in outcome.collect()}
-    assert {q: (r.retry_count, r.sufficient) for q, r in rows.items()} == {1: (0, True), 2: (1, True), 3: (0, False), 4: (0, True), 5: (0, False)}
-    assert {r.q: r.id for r in hits.collect()} == {1: "h1", 2: "h2", 3: "h4", 4: "h3", 5: "h5"}
+    assert {q: (r.retry_count, r.sufficient) for q, r in rows.items()} == {1: (0, True), 2: (1, True), 3: (0, False), 4: (0, True), 5: (0, False), 6: (1, True), 7: (0, True), 8: (0, True)}
+    assert {r.q: r.id for r in hits.collect()} == {1: "h1", 2: "h2", 3: "h4", 4: "h3", 5: "h5", 6: "h2", 7: "h6"} and hits.count() == 7
+    assert rows[3].missing == ["point"] and rows[7].missing == [] and rows[8].missing == [routing.NO_EVIDENCE]
