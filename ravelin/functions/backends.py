@@ -102,11 +102,16 @@ def embed(text: Column, backend: Callable[[], Backend], batch_size: int = 32) ->
 
 
 def rerank_score(query: Column, text: Column, backend: Callable[[], Backend], most_chars: int = 512) -> Column:
+    """A model's score of each text for its query: one call for all texts of a query in an Arrow batch."""
+
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = backend()
         for q, t in batches:
-            yield pd.Series([model.rerank(a, [b])[0] for a, b in zip(q, t)], dtype=float)
+            out = pd.Series(index=t.index, dtype=float)
+            for one, texts in t.fillna("").groupby(q.fillna("")):
+                out[texts.index] = model.rerank(one, texts.tolist())
+            yield out
 
     return run(query, F.substring(text, 1, most_chars))
 

@@ -104,10 +104,7 @@ def chunk_id(book: Column, chapter: Column, chunk: Column) -> Column:
 
 
 def register(spark) -> None:
-    """The functions that SQL users can call by name."""
-    pattern = re.compile(f"[^{L.SENTENCE_ENDS}]*[{L.SENTENCE_ENDS}]|[^{L.SENTENCE_ENDS}]+$")
-
-    def sentences(texts):
-        return texts.map(lambda t: None if t is None else [s for s in (x.strip() for x in pattern.findall(t)) if s])
-
-    spark.udf.register("ravelin_sentences", F.pandas_udf(sentences, "array<string>", F.PandasUDFType.SCALAR))
+    """The functions that SQL users can call by name, as SQL functions."""
+    pattern = f"[^{L.SENTENCE_ENDS}]*[{L.SENTENCE_ENDS}]|[^{L.SENTENCE_ENDS}]+$"
+    each = r"transform(regexp_extract_all(t, '%s', 0), s -> regexp_replace(s, r'(?U)^\s+|\s+$', ''))" % pattern
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ravelin_sentences(t STRING) RETURNS ARRAY<STRING> RETURN filter({each}, s -> s <> '')")

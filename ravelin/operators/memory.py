@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions.order import numbered
+
 RECENT, TITLE_CHARS, LINE_CHARS = 6, 30, 300
 
 
 def session_list(messages: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
     """(session, message_count, last, place): the latest first."""
     out = messages.groupBy(session).agg(F.count("*").alias("message_count"), F.max(order).alias("last"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last"), session)).cast("long"))
+    return numbered(out, [F.desc("last"), F.col(session)], "place").withColumn("place", F.col("place") + 1)
+
+
+def message_list(messages: DataFrame, sessions: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The messages of the given sessions, each with its place from 1; sorted by it within a session's partition."""
+    place = F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("long")
+    return messages.join(sessions.select(session).distinct(), session, "left_semi").withColumn("place", place)
 
 
 def session_titles(messages: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:

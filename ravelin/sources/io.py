@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions.order import numbered
+
 CHUNK_SCHEMA = "chunk_id string, book string, chapter string, chapter_idx int, chunk_idx int, text string, char_count int"
 
 
@@ -96,14 +98,8 @@ def graph_edges(relations: DataFrame) -> DataFrame:
 
 
 def vector_collection(df: DataFrame, order: list[str], prefix: str, id_col: str | None = None, text_col: str | None = None, most_chars: int = 4096) -> DataFrame:
-    """Rows as a vector store takes them: a number from 0 as key, an id where there is none, texts within 4096.
-
-    Numbers need one order over all rows: partitions are sorted by range and counted, so no task sees all rows.
-    """
-    ranged = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_mono").alias("low"))
-    before = counts.select("_part", "low", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    out = ranged.join(F.broadcast(before), "_part").withColumn("pk", F.col("offset") + F.col("_mono") - F.col("low")).drop("_part", "_mono", "low", "offset")
+    """Rows as a vector store takes them: a number from 0 as key, an id where there is none, texts within 4096."""
+    out = numbered(df, order, "pk")
     fallback = F.concat(F.lit(f"{prefix}_"), F.col("pk").cast("string"))
     out = out.withColumn("ext_id", F.coalesce(F.col(id_col).cast("string"), fallback) if id_col else fallback)
     return out.withColumn(text_col, F.substring(text_col, 1, most_chars)) if text_col else out

@@ -84,13 +84,43 @@ def test_body_start(spark):
     assert column(spark, ["\n".join(book), "\n".join(plain), "a\nb", ""], chunking.body_start) == [180, 175, 0, 0]
 
 
-def test_packing_limits():
+def packed(spark, sentences, **limits):
+    df = spark.createDataFrame([(s,) for s in sentences], "s array<string>")
+    return [r.c for r in df.select(chunking.pack_sentences(F.col("s"), **limits).alias("c")).collect()]
+
+
+def plain_chunks(sentences, most, overlap, least):
+    """By recursion: the chunk that begins with a text and some carried sentences, then what follows it."""
+
+    def chunk(head, carried, at):
+        end = at + 1 if at < len(sentences) and not head else at
+        while end < len(sentences) and len(head) + sum(map(len, sentences[at:end])) + len(sentences[end]) <= most:
+            end += 1
+        end = max(end, min(at + 1, len(sentences)))  # a chunk has one sentence of its own
+        text = (head + "".join(sentences[at:end])).strip()
+        if end == len(sentences):
+            return [text] if len(text) >= least else []
+        parts = carried + sentences[at:end]
+        n = max(k for k in range(len(parts) + 1) if sum(map(len, parts[len(parts) - k :])) <= overlap)
+        again = "".join(parts[len(parts) - n :])
+        return [text, *chunk(again, [p for p in parts if again and p in again], end)]
+
+    return chunk("", [], 0)
+
+
+def test_packing_limits(spark):
     sentences = ["甲" * n + "。" for n in (300, 300, 70, 300, 900, 20, 30, 99)]
-    chunks = chunking.pack_sentences(sentences)
+    chunks, short = packed(spark, [sentences, ["甲" * 50]])
     assert chunks[0] == sentences[0] + sentences[1] + sentences[2]
     assert chunks[1].startswith(sentences[2])
-    assert any(len(c) > 800 for c in chunks)
-    assert chunking.pack_sentences(["甲" * 50]) == []
+    assert any(len(c) > 800 for c in chunks) and short == []
+
+
+def test_packing_equals_recursion(spark):
+    rng = random.Random(3)
+    rows = [["abc"[rng.randrange(3)] * rng.choice([1, 2, 3, 5, 9, 30]) + rng.choice([".", "!"]) for _ in range(rng.randint(0, 25))] for _ in range(200)]
+    for most, overlap, least in ((20, 6, 4), (12, 8, 1)):
+        assert packed(spark, rows, most=most, overlap=overlap, least=least) == [plain_chunks(r, most, overlap, least) for r in rows]
 
 
 def test_context_budget(spark):
