@@ -416,8 +416,7 @@ def context_budget(spark, d):
 
 @query(f"""WITH {_BM25}, {_BY_ITEM}, {_POLICY}, {_ROUTED} SELECT q, string_agg('[证据' || rank || '] 《' || source || '》' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM fr JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY q""")
 def evidence_format(spark, d):
-    # Chunks without a body drop out before numbering, as the judge numbers what it is given.
-    return _contexts(spark, d).select("q", F.array_join(F.transform("contexts", lambda c: F.concat(F.lit("[证据"), c["rank"].cast("string"), F.lit("] 《"), c["book"], F.lit("》"), c["chapter"], F.lit("\n"), c["text"])), "\n\n").alias("evidence"))
+    return _contexts(spark, d).select("q", fusion.evidence(F.col("contexts")).alias("evidence"))
 
 
 # Two rounds of every question, under 2q and 2q + 1. One more question has words that no document has.
@@ -500,6 +499,17 @@ def trace_stage_latency(spark, d):
     return trace.stage_latency(t(spark, d, "events"))
 
 
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS b, * FROM events), x AS (SELECT b AS window_start, * FROM w UNION ALL SELECT b - INTERVAL 30 MINUTE, * FROM w)
+  SELECT window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY window_start, event_type""")
+def trace_sliding(spark, d):
+    return trace.sliding(t(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, count(*) AS queries, count(*) FILTER (value > 50) AS retried, round(count(*) FILTER (value > 50) / count(*), 6) AS rate FROM events GROUP BY event_type")
+def trace_retry_rate(spark, d):
+    return trace.retry_rate(t(spark, d, "events"), F.when(F.col("value") > 50, 1).otherwise(0), "event_type")
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def trace_tumbling(spark, d):
     return trace.tumbling(t(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

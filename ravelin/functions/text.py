@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,12 +39,11 @@ def split_sentences(text: Column, ends: str = L.SENTENCE_ENDS) -> Column:
     return F.filter(F.transform(found, strip), lambda s: s != "")
 
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-case runs of letters and digits, longer than one character, that are no stop words.
-
-    This stands where a dictionary segmenter can be plugged in as a pandas UDF of the same shape.
-    """
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) > 1)
+def tokens(text: Column, stop_words: list[str] | None = None, segment: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-case words, longer than one character, that are no stop words: runs of letters and digits, or what
+    ``segment`` (a dictionary segmenter as a pandas UDF, say) makes of the lower-case text."""
+    low = F.lower(text)
+    found = F.filter(segment(low) if segment else F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) > 1)
     return F.filter(found, lambda w: ~w.isin(stop_words)) if stop_words else found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,34 +12,34 @@ from ravelin.functions import text as X
 K1, B = 1.5, 0.75
 
 
-def term_frequencies(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+def term_frequencies(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, term, tf)."""
-    return docs.select(F.col(id_col), F.explode(X.tokens(F.col(text_col), stop_words)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(id_col), F.explode(X.tokens(F.col(text_col), stop_words, segment)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+def document_lengths(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, dl): tokens of each document, 0 included; no shuffle."""
-    return docs.select(id_col, F.coalesce(F.size(X.tokens(F.col(text_col), stop_words)), F.lit(0)).cast("long").alias("dl"))
+    return docs.select(id_col, F.coalesce(F.size(X.tokens(F.col(text_col), stop_words, segment)), F.lit(0)).cast("long").alias("dl"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_weights(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+def term_weights(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """(term, df, idf) of every term."""
-    tf = term_frequencies(docs, id_col, text_col, stop_words)
+    tf = term_frequencies(docs, id_col, text_col, stop_words, segment)
     return tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text_col: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text_col: str = "text", stop_words: list[str] | None = None, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """(query, id, score) for every query and document with a term in common.
 
     Documents are read once and cut once; only the terms of some query leave a task, as (id, length, term, frequency)
     rows. A query's repeated terms count as often as they stand there.
     """
-    wanted = queries.select(F.col(query_col).alias("q"), F.explode(X.tokens(F.col(query_text_col), stop_words)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    cut = docs.select(F.col(id_col).alias("id"), F.coalesce(X.tokens(F.col(text_col), stop_words), F.array().cast("array<string>")).alias("ws"))
+    wanted = queries.select(F.col(query_col).alias("q"), F.explode(X.tokens(F.col(query_text_col), stop_words, segment)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
+    cut = docs.select(F.col(id_col).alias("id"), F.coalesce(X.tokens(F.col(text_col), stop_words, segment), F.array().cast("array<string>")).alias("ws"))
     corpus = cut.agg(F.count("*").alias("n"), (F.sum(F.size("ws")) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     postings = cut.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = postings.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))

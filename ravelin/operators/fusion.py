@@ -12,8 +12,9 @@ from ravelin.functions import text as X
 RRF_K = 60
 
 
-def fuse(routes: list[tuple[str, float, DataFrame]], k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
-    """(q, id, fused_score, rank, sources, first_score) of weighted reciprocal rank fusion.
+def fuse(routes: list[tuple[str, float, DataFrame]], k: int = 10, rrf_k: int = RRF_K, keep_scores: bool = False) -> DataFrame:
+    """(q, id, fused_score, rank, sources, first_score[, scores]) of weighted reciprocal rank fusion; ``scores`` maps
+    every route that found a document to its own score.
 
     ``routes`` are (name, weight, (q, id, score, rank)) in order. Equal scores stand in the order of first appearance:
     route, then rank. ``sources`` are the routes that found a document, ``first_score`` is its score in the first.
@@ -25,9 +26,10 @@ def fuse(routes: list[tuple[str, float, DataFrame]], k: int = 10, rrf_k: int = R
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("route", "source"))), lambda s: s["source"]), ",").alias("sources"),
         F.min(F.struct("route", "rank")).alias("seen"),
         F.min_by("score", "route").alias("first_score"),
+        F.map_from_entries(F.collect_list(F.struct("source", F.col("score").cast("double")))).alias("scores"),
     )
     order = Window.partitionBy("q").orderBy(F.desc("fused_score"), "seen", "id")
-    return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "fused_score", "rank", "sources", "first_score")
+    return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "fused_score", "rank", "sources", "first_score", *(["scores"] if keep_scores else []))
 
 
 def rerank(hits: DataFrame, score: Column, k: int = 5) -> DataFrame:

@@ -76,6 +76,18 @@ def related_chunks(scored: DataFrame, entities: DataFrame, chunks: DataFrame | N
     return _ranked(part, chunks, first, k).join(matched, "q")
 
 
+def graph_search(queries: DataFrame, entities: DataFrame, adjacency: DataFrame, chunks: DataFrame | None = None, vector_hits: DataFrame | None = None, depth: int = 2, first: int = 20, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(hits, expansion) of (q, text): ``hits`` as of ``related_chunks``; ``expansion`` has the matched entities of each
+    query that matched any and the names of the first ``first`` it was expanded to, seeds included."""
+    seeds = match_entities(queries, entities, vector_hits).withColumnRenamed("rank", "ord")
+    scored = expand_weighted(seeds, adjacency, depth)
+    place = F.row_number().over(Window.partitionBy("q").orderBy("ord", "name"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
+    expanded = scored.withColumn("place", place).where(F.col("place") <= first).groupBy("q").agg(names.alias("expanded"))
+    matched = seeds.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("matched"))
+    return related_chunks(scored, entities, chunks, first, k), matched.join(expanded, "q")
+
+
 def relation_chunks(hits: DataFrame, relations: DataFrame, chunks: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(q, id, score, rank): chunks by the summed similarity of the relations (q, head, relation, tail, score, rank)."""
     part = hits.join(relations.select("head", "relation", "tail", F.explode("source_chunks").alias("id")), ["head", "relation", "tail"]).groupBy("q", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.min(F.struct("rank", "id")).alias("seen"))

@@ -77,5 +77,12 @@ def add_message(messages: DataFrame, message: DataFrame) -> DataFrame:
     return messages.unionByName(message, allowMissingColumns=True)
 
 
+def touched(sessions: DataFrame, message: DataFrame, session: str = "session_id", time: str = "created_at") -> DataFrame:
+    """Sessions with ``updated_at`` at their newest message, where there is one; else as it was, or at their making."""
+    last = message.groupBy(session).agg(F.max(time).alias("_last"))
+    old = F.col("updated_at") if "updated_at" in sessions.columns else F.col("created_at")
+    return sessions.join(last, session, "left").withColumn("updated_at", F.greatest("_last", old)).drop("_last")
+
+
 def delete_session(messages: DataFrame, gone: DataFrame, session: str = "conv_id") -> DataFrame:
     return messages.join(gone.select(session), session, "left_anti")

@@ -26,5 +26,22 @@ def tumbling(events: DataFrame, size: str = "1 hour", time: str = "ts", kind: st
     return events.groupBy(F.window(F.col(time).cast("timestamp"), size), kind).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("window_start"), kind, "n", "total")
 
 
+def sliding(events: DataFrame, size: str = "1 hour", slide: str = "30 minutes", time: str = "ts", kind: str = "event_type", value: str = "value") -> DataFrame:
+    """(window_start, kind, n, total) of windows that begin every ``slide``; each event counts in all that hold it."""
+    return events.groupBy(F.window(F.col(time).cast("timestamp"), size, slide), kind).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("window_start"), kind, "n", "total")
+
+
+def retry_rate(traces: DataFrame, retries: Column, by: str = "query_mode") -> DataFrame:
+    """(by, queries, retried, rate): how many traces were searched again."""
+    again = F.count_if(retries > 0)
+    return traces.groupBy(by).agg(F.count("*").alias("queries"), again.alias("retried"), F.round(again / F.count("*"), 6).alias("rate"))
+
+
+def latency_sums(traces: DataFrame, key: str = "query", latency: str = "latency") -> DataFrame:
+    """(key, stage, seconds, rounds): what the rounds of a query took together at each stage."""
+    each = traces.select(key, F.explode(latency).alias("stage", "seconds"))
+    return each.groupBy(key, "stage").agg(F.round(F.sum("seconds"), 4).alias("seconds"), F.count("*").alias("rounds"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", time: str = "ts", who: str = "user_id") -> DataFrame:
     return events.groupBy(F.session_window(F.col(time).cast("timestamp"), gap), who).agg(F.count("*").alias("n")).select(who, F.col("session_window.start").alias("session_start"), "n")

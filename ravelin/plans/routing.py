@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators import fusion
+from ravelin.plans import prompts
 
 STEPS = ("use_dense", "use_bm25", "use_graph", "use_relation", "use_rerank", "use_evidence_judge")
 #: The steps of each mode; a mode that is not listed is taken as hybrid.
@@ -59,6 +60,36 @@ def judgement(raw: Column) -> Column:
     return F.struct(F.coalesce(x["sufficient"], F.lit(True)).alias("sufficient"), missing.alias("missing"), F.coalesce(x["reason"], F.lit("")).alias("reason"))
 
 
+ANALYSIS = "query_mode string, low_level_keywords array<string>, high_level_keywords array<string>, reason string"
+
+
+def analysed(questions: DataFrame, chat: Callable[[Column], Column], query_col: str = "query") -> DataFrame:
+    """Questions with what a model says of them; what it leaves out, or an answer that does not parse, has defaults."""
+    from ravelin.functions.text import lenient_json
+
+    raw = lenient_json(chat(prompts.analyse(F.col(query_col))), ANALYSIS)
+    return with_analysis_defaults(questions.withColumn("_a", raw).select("*", "_a.*").drop("_a"))
+
+
+def relation_query(query: Column, high_level: Column) -> Column:
+    """What the relation route looks for: the topics of a question, or the question where it has none."""
+    from ravelin.functions.text import keywords_or
+
+    return keywords_or(query, high_level)
+
+
+def judged(contexts: DataFrame, questions: DataFrame, chat: Callable[[Column], Column]) -> DataFrame:
+    """(q, sufficient, missing, reason) of (q, contexts) by a model that reads question and numbered evidence."""
+    joined = questions.select("q", "question").join(contexts, "q")
+    raw = chat(prompts.judge(F.col("question"), fusion.evidence(F.col("contexts"))))
+    return joined.select("q", judgement(raw).alias("j")).select("q", "j.*")
+
+
+def rewritten(chat: Callable[[Column], Column]) -> Column:
+    """A rewriting for ``with_retry``, by a model that sees question, current query and missing points."""
+    return F.trim(chat(prompts.rewrite(F.col("question"), F.col("current"), F.col("missing"))))
+
+
 def call_counts(planned: DataFrame, rounds: Column) -> DataFrame:
     """Retriever calls by route and in all: a route of the plan is called once a round, found or not."""
     calls = {f"{route}_calls": F.col(step).cast("long") * rounds for route, step in ROUTE_STEP.items()}

@@ -86,6 +86,18 @@ def write_vectors(df: DataFrame, path: str, vector_col: str, model: str) -> None
     df.agg(F.count("*").alias("count"), F.max(F.size(vector_col)).alias("dim")).withColumn("model", F.lit(model)).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
 
 
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(rows, config) of a written vector index; rows of another number than its config says are refused."""
+    rows, config = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/config").first().asDict()
+    verify_counts(spark, {f"{path}/rows": config["count"]})
+    return rows, config
+
+
+def read_graph(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """Raw graph rows; of rows that repeat a key, the last one in ``order``."""
+    return last_wins(read_json_lines(spark, path, schema, lenient=True, optional=True), key, order)
+
+
 def graph_nodes(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """One node per name of an entity or an end of a relation."""
     ends = relations.select(F.col("head").alias("name")).union(relations.select("tail")).distinct()

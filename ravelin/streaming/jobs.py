@@ -50,6 +50,14 @@ def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.table(name)
 
 
+def extraction_stats(extracted: DataFrame, out: dict[str, int], seconds: float, left: int = 0) -> dict[str, float]:
+    """What a run of ``extract_in_waves`` did: triples of (chunk, ok, triples) rows, chunks a second, seconds to go."""
+    triples = extracted.where("ok").agg(F.sum(F.size("triples")).alias("n")).first().n or 0
+    done = out["success"] + out["failed"]
+    rate = done / seconds if seconds > 0 else 0.0
+    return {**out, "triples": triples, "rate": round(rate, 4), "eta": round(left / rate, 1) if rate else 0.0}
+
+
 def extract_in_waves(chunks: DataFrame, done: DataFrame, wave: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], waves: int = 8, most_failures: int = 20) -> dict[str, int]:
     """Extraction of what is not done, wave after wave. A wave's successes are written, failures are left for the next
     run; once as many calls as ``most_failures`` have failed since the last success of a wave, the rest is skipped."""
