@@ -1,13 +1,14 @@
 """Removing repeated byte strings across documents.
 
-Documents that equal one of a smaller id go first. Every string of ``length`` bytes has an anchor: of the short grams in it, the one of the least hash. Two documents
-that share a string share its anchor, so first only anchors are compared. The text around anchors that several
-documents have is cut into pieces: the strings of one anchor's occurrence, which overlap. Equal pieces are one. Where
-an anchor has unequal pieces, shards of them are Burrows-Wheeler transformed and merged, which gives the strings that
-they share, and with each the least document that has it.
-
-Documents are kept in blocks of a few MB. A block sends what it has, once, to buckets by anchor, and each bucket
-answers block by block; so what one anchor costs a bucket grows with the number of blocks, not of documents.
+Documents that equal one of a smaller id go first. Every string of ``length`` bytes has an anchor: of the short grams in
+it, the one of the least hash. Two documents that share a string share its anchor, so first only anchors are compared.
+The text around anchors that several documents have is cut into pieces: the strings of one anchor's occurrence, which
+overlap. Equal pieces are one. Where an anchor has unequal pieces, shards of them are Burrows-Wheeler transformed and
+merged, which gives the strings that they share, and with each the least document that has it.
+
+Documents are kept in blocks of a few MB. A block sends what it has, once, to those buckets whose anchors it has, and
+each of them answers block by block. Equal pieces of an anchor cost its bucket one entry a block; unequal ones one entry
+each, so an anchor with ever other text around it makes its bucket grow with the documents that have it.
 """
 
 from __future__ import annotations
@@ -115,7 +116,8 @@ def _blocks():
 
 
 class _Cut:
-    """A block's distinct anchors by bucket: both passes over a block must see them in the same order."""
+    """A block's distinct anchors by bucket: both passes over a block must see them in the same order. Buckets that the
+    block has nothing of cost it nothing."""
 
     def __init__(self, data: bytes, sizes: list[int], keys: list, length: int, gram: int, buckets: int):
         self.data, self.ends = np.frombuffer(data, np.uint8), np.cumsum(sizes)
@@ -124,7 +126,7 @@ class _Cut:
         self.buckets = buckets
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct anchors by bucket and value, where each bucket begins, several documents, index of each piece)."""
+        """(distinct anchors by bucket and value, the block's buckets, several documents, index of each piece)."""
         order = np.lexsort((self.key, self.anchor, self.anchor % np.uint64(self.buckets)))
         a, k = self.anchor[order], self.key[order]
         new = np.append(True, a[1:] != a[:-1]) if len(a) else np.empty(0, bool)
@@ -133,14 +135,31 @@ class _Cut:
         index = np.empty(len(a), np.int64)
         index[order] = np.cumsum(new) - 1
         distinct = a[first] if len(a) else a
-        return distinct, np.searchsorted((distinct % np.uint64(self.buckets)).astype(np.int64), np.arange(self.buckets + 1)), k[first] != k[last] if len(a) else new, index
+        return distinct, _Buckets(distinct, self.buckets), k[first] != k[last] if len(a) else new, index
+
+
+class _Buckets:
+    """The buckets that anchors are in, which are sorted by bucket, and where each begins and ends."""
+
+    def __init__(self, anchors: np.ndarray, buckets: int):
+        of = (anchors % np.uint64(buckets)).astype(np.int64)
+        self.lo = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        self.hi = np.append(self.lo[1:], len(of)) if len(of) else self.lo
+        self.names = of[self.lo]
+
+    def __iter__(self) -> Iterator[tuple[int, int, int]]:
+        return zip(self.names.tolist(), self.lo.tolist(), self.hi.tolist())
+
+    def bounds(self, bucket: int) -> tuple[int, int]:
+        at = int(np.searchsorted(self.names, bucket))
+        return int(self.lo[at]), int(self.hi[at])
 
 
 def _send(cut: _Cut, block: int) -> list[tuple[int, int, bytes]]:
     """A row for each bucket: the block's anchors (5 bytes of each), and which of them several of its documents have."""
     distinct, at, several, _ = cut.anchors()
     short = (distinct // np.uint64(cut.buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5] if len(distinct) else np.empty((0, 5), np.uint8)
-    return [(b, block, short[lo:hi].tobytes() + np.packbits(several[lo:hi]).tobytes()) for b, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if hi > lo]
+    return [(b, block, short[lo:hi].tobytes() + np.packbits(several[lo:hi]).tobytes()) for b, lo, hi in at]
 
 
 def _count_of(blob: bytes) -> int:
@@ -177,8 +196,8 @@ class _Pieces:
         distinct, at, _, index = cut.anchors()
         hit = np.zeros(len(distinct), bool)
         for a in answers:
-            lo, hi = at[a["bucket"]], at[a["bucket"] + 1]
-            hit[lo:hi] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=int(hi - lo)).astype(bool)
+            lo, hi = at.bounds(a["bucket"])
+            hit[lo:hi] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=hi - lo).astype(bool)
         chosen = np.flatnonzero(hit[index]) if len(index) else index
         self.anchor, self.start, self.strings, self.key, self.place = (x[chosen] for x in (cut.anchor, cut.start, cut.strings, cut.key, cut.place))
         self.sizes = self.strings + length - 1
@@ -191,16 +210,15 @@ class _Pieces:
         self.first = order[new]
         self.index = np.empty(len(a), np.int64)
         self.index[order] = np.cumsum(new) - 1
-        self.at = np.searchsorted((self.anchor[self.first] % np.uint64(cut.buckets)).astype(np.int64), np.arange(cut.buckets + 1))
+        self.at = _Buckets(self.anchor[self.first], cut.buckets)
 
     def send(self, data: bytes, block: int) -> list[tuple[int, int, bytes]]:
         out = []
-        for b, (lo, hi) in enumerate(zip(self.at[:-1].tolist(), self.at[1:].tolist())):
-            if hi > lo:
-                f = self.first[lo:hi]
-                text = b"".join([data[s : s + n] for s, n in zip(self.start[f].tolist(), self.sizes[f].tolist())])
-                numbers = (self.anchor[f], self.key[f], self.sizes[f].astype("<u2"), (self.place[f] - self.start[f]).astype("<u2"))
-                out.append((b, block, np.int64(hi - lo).tobytes() + b"".join(x.tobytes() for x in numbers) + zlib.compress(text, 1)))
+        for b, lo, hi in self.at:
+            f = self.first[lo:hi]
+            text = b"".join([data[s : s + n] for s, n in zip(self.start[f].tolist(), self.sizes[f].tolist())])
+            numbers = (self.anchor[f], self.key[f], self.sizes[f].astype("<u2"), (self.place[f] - self.start[f]).astype("<u2"))
+            out.append((b, block, np.int64(hi - lo).tobytes() + b"".join(x.tobytes() for x in numbers) + zlib.compress(text, 1)))
         return out
 
 
@@ -304,7 +322,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``length`` bytes that a document of a smaller id holds too, as the input has it.
 
     Nulls: a null text is empty; a null id is larger than any other. Rows that repeat an id leave each other whole.
-    Texts under ``length`` bytes stay whole. An empty table gives an empty result. Other columns are ignored.
+    Texts under ``length`` bytes stay whole. A block holds a long text whole, at some 100 bytes of memory a byte. An
+    empty table gives an empty result. Other columns are ignored.
     ``kept`` is what is left, as bytes, since a cut can fall inside a character.
     """
     if not 16 <= length <= 30_000:
