@@ -414,7 +414,10 @@ def context_budget(spark, d):
     return _contexts(spark, d).select("q", fusion.context_text(F.col("contexts")).alias("context"))
 
 
-@query(f"""WITH {_BM25}, {_BY_ITEM}, {_POLICY}, {_ROUTED} SELECT q, string_agg('[证据' || rank || '] 《' || source || '》' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM fr JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY q""")
+# The judge numbers what it is given: a hit whose chunk is missing leaves no gap.
+@query(f"""WITH {_BM25}, {_BY_ITEM}, {_POLICY}, {_ROUTED},
+  ev AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY rank) AS no, trim('《' || coalesce(source, '') || '》' || coalesce(lang, ''), '《》 ') AS head, coalesce(text, '') AS body FROM fr JOIN documents ON doc_id = id WHERE rank <= 5)
+  SELECT q, string_agg('[证据' || no || ']' || CASE WHEN head = '' THEN '' ELSE ' ' || head END || chr(10) || body, chr(10) || chr(10) ORDER BY no) AS evidence FROM ev GROUP BY q""")
 def evidence_format(spark, d):
     return _contexts(spark, d).select("q", fusion.evidence(F.col("contexts")).alias("evidence"))
 

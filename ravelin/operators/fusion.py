@@ -70,6 +70,14 @@ def references(hits: DataFrame, most: int = 3) -> DataFrame:
 
 
 def evidence(items: Column, most: int = 5) -> Column:
-    """The evidence that a judge reads: numbered, with book and chapter, parted by blank lines."""
-    line = lambda c, i: F.concat(F.lit("[证据"), (i + 1).cast("string"), F.lit("] "), F.trim(F.concat(F.lit("《"), c["book"], F.lit("》"), c["chapter"])), F.lit("\n"), c["text"])
-    return F.array_join(F.transform(F.slice(items, 1, most), line), "\n\n")
+    """The evidence that a judge reads: numbered in the order given, with book and chapter less the marks and spaces at
+    their ends, parted by blank lines; a fixed line where there is none. Null books, chapters and texts are empty."""
+    own = lambda c, name: F.coalesce(c[name], F.lit(""))
+
+    def line(c: Column, i: Column) -> Column:
+        source = F.btrim(F.concat(F.lit("《"), own(c, "book"), F.lit("》"), own(c, "chapter")), F.lit("《》 "))
+        number = F.concat(F.lit("[证据"), (i + 1).cast("string"), F.lit("]"))
+        return F.concat(F.when(source == "", number).otherwise(F.concat(number, F.lit(" "), source)), F.lit("\n"), own(c, "text"))
+
+    lines = F.array_join(F.transform(F.slice(items, 1, most), line), "\n\n")
+    return F.when(F.size(items) > 0, lines).otherwise(F.lit("（未检索到任何证据）"))

@@ -127,3 +127,10 @@ def test_retry(spark):
     assert {q: (r.retry_count, r.sufficient) for q, r in rows.items()} == {1: (0, True), 2: (1, True), 3: (0, False), 4: (0, True), 5: (0, False), 6: (1, True), 7: (0, True), 8: (0, True)}
     assert {r.q: r.id for r in hits.collect()} == {1: "h1", 2: "h2", 3: "h4", 4: "h3", 5: "h5", 6: "h2", 7: "h6"} and hits.count() == 7
     assert rows[3].missing == ["point"] and rows[7].missing == [] and rows[8].missing == [routing.NO_EVIDENCE]
+
+
+def test_evidence_numbers_what_is_given(spark):
+    schema = "q long, contexts array<struct<rank long, id long, book string, chapter string, text string>>"
+    rows = [(1, [(1, 7, "B", "one", "x"), (4, 8, None, "", None), (5, 9, "", " two ", "y")]), (2, [])]
+    found = spark.createDataFrame(rows, schema).select("q", fusion.evidence(F.col("contexts")).alias("e"))
+    assert {r.q: r.e for r in found.collect()} == {1: "[证据1] B》one\nx\n\n[证据2]\n\n\n[证据3] two\ny", 2: "（未检索到任何证据）"}
