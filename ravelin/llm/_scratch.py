@@ -1,62 +1,5 @@
-"""Tables that cut lineage, in the folder that the cluster shares between driver and executors."""
+"""Tables that cut lineage: those of the library."""
 
-from __future__ import annotations
+from ravelin.sources.scratch import CLEANUP, Scratch, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset on one machine, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ravelin-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Spark 4.1: the shuffles of a query go when it has ended. What is written here is read again from its files only.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scratch:
-    """Written tables of one run of an operator.
-
-    ``write`` stores a DataFrame as Parquet and reads it again, so that lost executors cost no more than the stage
-    at hand; the shuffles that made it go with it. ``drop`` removes tables that no later stage reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._delete, self.root)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(self.path(name))
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            if jvm is not None:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: its owner clears the folder
-            pass
+__all__ = ["CLEANUP", "Scratch", "shared_dir"]

@@ -82,3 +82,66 @@ def _weak_rules() -> str:
 
 
 WEAK_RULES = _weak_rules()
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a string's UTF-8 bytes, by its table of 256 remainders."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    raw = f"hex(encode({text}))"
+    steps = f"list_concat([CAST(4294967295 AS BIGINT)], [CAST('0x' || substr({raw}, 2 * i + 1, 2) AS BIGINT) FOR i IN range(length({raw}) // 2)])"
+    return f"xor(4294967295, list_reduce({steps}, lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)])))"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RUNS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_FEATURES = "unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS f"
+
+RESAMPLING = f"""WITH w AS (SELECT doc_id, {_RUNS} AS ws FROM documents), tw AS (SELECT {_RUNS} AS ws FROM benchmark),
+  f AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, {_FEATURES} FROM w) GROUP BY ALL), tf AS (SELECT f, count(*) AS n FROM (SELECT {_FEATURES} FROM tw) GROUP BY f),
+  h AS (SELECT f, {_crc32("f")} % 10000 AS b FROM (SELECT f FROM f UNION SELECT f FROM tf)),
+  s AS (SELECT b, sum(n) AS s FROM f JOIN h USING (f) GROUP BY b), t AS (SELECT b, sum(n) AS t FROM tf JOIN h USING (f) GROUP BY b),
+  n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS ss, (SELECT coalesce(sum(t), 0) FROM t) AS tt),
+  g AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (ss + 10000) / ((CAST(s AS DOUBLE) + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), n),
+  q AS (SELECT doc_id, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM f JOIN h USING (f) JOIN g USING (b) GROUP BY doc_id),
+  d AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS words, CAST(greatest(0, 2 * len(ws) - 1) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN q USING (doc_id)),
+  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM d WHERE words >= 20)
+  SELECT d.doc_id, n_features, weight, score, CASE WHEN k <= (SELECT 25 * count(*) // 100 FROM r) THEN k END AS rank FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def _add(value: str, cost: str, letters: str) -> str:
+    """A way and what it costs, as nine digits before its letters, made longer; none stays none."""
+    return f"lpad(CAST(CAST(substr({value}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({value}, 10) || '{letters}'"
+
+
+def _conversations() -> str:
+    """The repair as the cheapest ways to four places in the order of roles (nothing, a system, a user, an assistant),
+    row by row; what is put in follows on what a row gave."""
+    drop = {x: _add(x, "4", "D") for x in ("z", "s", "u", "a")}
+    keep = lambda x, letter: f"CASE WHEN NOT gone AND l = '{letter}' THEN {_add(x, 'more', 'K')} END"
+    change = lambda x: f"CASE WHEN NOT gone THEN {_add(x, '3 + more', 'R')} END"
+    user = ", ".join([drop["u"], *(f(x) for x in ("z", "s", "a") for f in (lambda x: keep(x, "u"), change))])
+    space = r"\x20\x09-\x0D"
+    return f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+  r AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c FROM k),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i FROM r),
+  m AS (SELECT *, left(role, 1) AS l, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 't' ELSE '' END AS fault,
+    left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) NOT IN ('su', 'ua', 'au') AS odd FROM o),
+  x AS (SELECT *, fault IN ('b', 'd') AS gone, CASE fault WHEN 't' THEN 3 ELSE 0 END AS more FROM m),
+  dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, '000000003I' AS u, '000000006II' AS a FROM conversations UNION ALL
+    SELECT conv_id, i, z, s, least(u, {_add("z", "3", "I")}, {_add("s", "3", "I")}, {_add("a", "3", "I")}), least(a, {_add(f"least(u, {_add('z', '3', 'I')}, {_add('s', '3', 'I')})", "3", "I")})
+    FROM (SELECT dp.conv_id, x.i, {drop["z"]} AS z, least({drop["s"]}, {keep("z", "s")}) AS s, least({user}) AS u, least({drop["a"]}, {keep("u", "a")}, {change("u")}) AS a FROM dp JOIN x ON dp.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = dp.i + 1)),
+  e AS (SELECT conv_id, arg_max(least(z, a), i) AS best FROM dp GROUP BY conv_id), v AS (SELECT conv_id, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM e),
+  p AS (SELECT conv_id, substr(audit, j, 1) AS edit, length(replace(substr(audit, 1, j), 'I', '')) AS i, length(replace(substr(audit, 1, j), 'D', '')) AS place FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM v)),
+  y AS (SELECT p.*, x.role, x.text, coalesce(max(CASE WHEN place = 1 AND edit = 'K' AND x.l = 's' THEN 1 END) OVER (PARTITION BY p.conv_id), 0) AS sys FROM p LEFT JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.i = x.i AND edit <> 'I' WHERE edit <> 'D'),
+  t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS body FROM y GROUP BY conv_id),
+  c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (odd) AS illegal FROM m GROUP BY conv_id)
+  SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+  FROM v LEFT JOIN c ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON v.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
+CONVERSATIONS = _conversations()

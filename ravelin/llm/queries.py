@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import oracles, packing, quality, secrets, simhash, substrings, suffix_tree, templates, tiling, warc, weak_rules
+from ravelin.llm import conversations, importance, oracles, packing, quality, secrets, simhash, substrings, suffix_tree, templates, tiling, token_counts, warc, weak_rules
 from ravelin.llm._scratch import Scratch
 
+TOKEN_LIMIT = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,5 +72,21 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles", "words")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op4_substrings": op4_substrings, "op5_templates": op5_templates, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling}
-ORACLE_SQL = {"op2_warc": oracles.WARC, "op3_weak_rules": oracles.WEAK_RULES, "op4_substrings": oracles.SUBSTRINGS, "op8_secrets": oracles.SECRETS}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "resampling"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_reports(conversations.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_weak_rules": op3_weak_rules, "op4_substrings": op4_substrings, "op5_templates": op5_templates, "op6_packing": op6_packing, "op7_suffix_tree": op7_suffix_tree, "op8_secrets": op8_secrets, "op9_simhash": op9_simhash, "op10_tiling": op10_tiling, "op11_resampling": op11_resampling, "op12_conversations": op12_conversations, "op13_token_counts": op13_token_counts}
+ORACLE_SQL = {"op2_warc": oracles.WARC, "op3_weak_rules": oracles.WEAK_RULES, "op4_substrings": oracles.SUBSTRINGS, "op8_secrets": oracles.SECRETS, "op11_resampling": oracles.RESAMPLING, "op12_conversations": oracles.CONVERSATIONS}

@@ -651,7 +651,7 @@ def test_quality(spark):
 def test_queries_and_pipeline(spark, small):
     import corpus_pipeline
 
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, small)
