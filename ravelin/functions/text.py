@@ -57,7 +57,7 @@ def entity_name(name: Column) -> Column:
 
 
 def entity_type(kind: Column) -> Column:
-    pairs = [F.lit(x) for standard, names in L.ENTITY_TYPES.items() for name in names for x in (name, standard)]
+    pairs = [F.lit(x) for pair in L.ENTITY_TYPES.items() for x in pair]
     known, upper = F.create_map(*pairs), F.upper(strip(kind))
     return F.coalesce(known[upper], known[F.lower(upper)], F.lit("OTHER"))
 
