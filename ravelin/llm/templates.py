@@ -4,8 +4,13 @@ A token is the path of an element (names and classes of what it is in), or of a
 host that occur equally often on each of its pages are of one class; classes that are large and frequent are its
 template, nested by their paths. Texts that nearly all pages with their element have are fixed. What is left between
 the template's elements are slots; the element that holds most of their text over the host's pages is where its articles
-are, and its slots are the main text of a page. Only where a host has too few pages for a template, or a page has none of
-it, do the page's own marks (article, main, words in classes) decide alone.
+are, and its slots are the main text of a page. Where a host has too few pages for a template, or a page has none of it,
+the page's own article or main element takes that place, if it has one.
+
+Marks of a page (elements like nav or form, words in classes) are weights: marked text counts a part of what other text
+does when the element is chosen. Below the chosen element a marked one is left out, unless it holds so much text that it
+outweighs all that is not marked; marks on it or above it say nothing. Only what is never text (scripts, styles, buttons,
+what is hidden) is left out whatever the weights.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ from ravelin.llm._scratch import Scratch
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
-DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video form button select option textarea input nav footer aside menu dialog".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas math audio video button select option textarea input".split())
+#: Elements that are rarely what holds an article, and words in classes of such.
+SELDOM = frozenset("nav footer aside menu dialog".split())
+SELDOM_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|cookies?|consent|gdpr|menu|nav|navbar|navigation|footer|sidebar)(?:$|[\s_-])", re.I)
 #: Elements that an opening tag of the same kind ends.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -52,25 +60,36 @@ LEAST_SHARE = 0.05  # of a host's pages, for a class: no host has more than 20 p
 FIXED_SHARE = 0.9  # of the pages that have a text's element, for a fixed text
 DOMINANT = 0.6  # share of an element's text that the element below it must hold to take its place
 MARKED = 3.0  # weight of text in an element that the page marks as its article
+DOWN, SELDOM_DOWN = 8, 50  # marked text counts one part in so many
 
 
 class Slot:
-    """A run of text between block boundaries, with the path of open elements above it, the characters of it in links,
-    and the number of the element that it stands in (running text counts to what it runs in)."""
+    """A run of text between block boundaries, with the path of open elements above it, the path of the page's article
+    above it, the paths of marked elements above it, outermost first, and how little text in them counts, the characters
+    of it in links, and the number of the element that it stands in (running text counts to what it runs in)."""
 
-    __slots__ = ("path", "text", "dropped", "article", "header", "box", "links")
+    __slots__ = ("path", "text", "dropped", "article", "header", "box", "links", "marks", "down")
 
-    def __init__(self, path: str, text: str, dropped: bool, article: bool, header: bool, box: int = 0, links: int = 0):
-        self.path, self.text, self.dropped, self.article, self.header, self.box, self.links = path, text, dropped, article, header, box, links
+    def __init__(self, path: str, text: str, dropped: bool, article: str, header: bool, box: int = 0, links: int = 0, marks: tuple[str, ...] = (), down: int = 1):
+        self.path, self.text, self.dropped, self.article, self.header, self.box, self.links, self.marks, self.down = path, text, dropped, article, header, box, links, marks, down
 
     @property
     def token(self) -> str:
         return f"{self.path}#{xxhash.xxh64_hexdigest(self.text)}"
 
+    @property
+    def own(self) -> int:
+        """Characters outside links."""
+        return max(0, len(self.text) - self.links)
+
     @property
     def chars(self) -> int:
-        """Characters that speak for an article: none in links and in what is no running text by the page's marks."""
-        return 0 if self.dropped or (self.header and not self.article) else max(0, len(self.text) - self.links)
+        """What speaks for an article: characters outside links, fewer where the page marks it as something else."""
+        return 0 if self.dropped or (self.header and not self.article) else self.own // self.down
+
+    def mark_below(self, root: str) -> str | None:
+        """The outermost marked element above it that is below ``root``."""
+        return next((m for m in self.marks if len(m) > len(root) and m.startswith(f"{root}/")), None)
 
 
 def parse(source: str | None) -> tuple[list[tuple[str, str, str, int]], list[Slot]]:
@@ -78,7 +97,7 @@ def parse(source: str | None) -> tuple[list[tuple[str, str, str, int]], list[Slo
     page order, their text decoded, white space turned into single spaces and trimmed; empty ones are left out."""
     out: list[tuple[str, str, str, int]] = []
     slots: list[Slot] = []
-    stack: list[tuple] = [("", "", False, False, False, 0, False)]  # name, path, dropped, article, header, box, link
+    stack: list[tuple] = [("", "", False, "", False, 0, False, (), 1)]  # name, path, dropped, article, header, box, link, marks, down
     parts: list[str] = []
     links = boxes = 0
 
@@ -89,12 +108,13 @@ def parse(source: str | None) -> tuple[list[tuple[str, str, str, int]], list[Slo
             parts.clear()
             if text:
                 at = next(x for x in reversed(stack) if x[0] not in INLINE)
-                slots.append(Slot(at[1], text, stack[-1][2], at[3], at[4], at[5], links))
+                slots.append(Slot(at[1], text, stack[-1][2], at[3], at[4], at[5], links, *stack[-1][7:]))
                 out.append(("text", at[1], slots[-1].token, slots[-1].chars))
             links = 0
 
     def close(depth: int) -> None:
-        if any(x[0] not in INLINE for x in stack[depth:]):
+        last, before = stack[-1], stack[depth - 1]
+        if last[2] != before[2] or last[7] != before[7] or any(x[0] not in INLINE for x in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -129,10 +149,14 @@ def parse(source: str | None) -> tuple[list[tuple[str, str, str, int]], list[Slo
         parent = stack[-1]
         path = parent[1] if name in INLINE else f"{parent[1]}/{name}" + (f".{_DIGITS.sub('0', label)}".replace("/", "|") if label else "")
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        body = parent[3] or name in ("article", "main")
-        dropped = parent[2] or name in DROPPED or hidden or (bool(label) and name not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(label)))
+        body = parent[3] or (path if name in ("article", "main") else "")
+        dropped = parent[2] or name in DROPPED or hidden
         header = parent[4] or name == "header"
-        if dropped and not parent[2]:
+        marks, down = parent[7], parent[8]
+        if name in SELDOM or name == "form" or (label and name not in ("html", "body", "article", "main") and BOILERPLATE.search(label)):
+            marks += (path if name not in INLINE else f"{path}/{name}",)
+            down = max(down, SELDOM_DOWN if name in SELDOM or (label and SELDOM_WORDS.search(label)) else DOWN)
+        if dropped != parent[2] or marks != parent[7]:
             flush()
         if name not in INLINE:
             out.append(("tag", path, path, 0))
@@ -140,7 +164,7 @@ def parse(source: str | None) -> tuple[list[tuple[str, str, str, int]], list[Slo
             box = parent[5]
             if name not in INLINE and name not in RUNNING:
                 boxes = box = boxes + 1
-            stack.append((name, path, dropped, body, header, box, parent[6] or name == "a"))
+            stack.append((name, path, dropped, body, header, box, parent[6] or name == "a", marks, down))
     if end < len(source):
         parts.append(source[end:])
     flush()
@@ -235,6 +259,26 @@ def article_of(elements: dict[str, float]) -> str | None:
     return at
 
 
+def _without_marked(slots: list[Slot], root: str, fixed: frozenset[str] | set[str]) -> list[Slot]:
+    """The slots below ``root`` that are in no marked element below it; or, where one such element outweighs them all,
+    those below that in the same way."""
+    while True:
+        marked: dict[str, float] = {}
+        weight = 0
+        for s in slots:
+            m = s.mark_below(root)
+            if s.token in fixed:
+                continue
+            if m is None:
+                weight += s.own
+            else:
+                marked[m] = marked.get(m, 0) + s.own / s.down
+        best = max(marked, key=lambda m: (marked[m], m), default=None)
+        if best is None or marked[best] <= weight:
+            return [s for s in slots if s.mark_below(root) is None]
+        slots, root = [s for s in slots if s.mark_below(root) == best], best
+
+
 def extract(source: str | None, article: str | None = None, fixed: frozenset[str] | set[str] = frozenset()) -> str:
     """The main text: the slots below the template's article, or, where there is none, those of the page's own.
 
@@ -244,7 +288,13 @@ def extract(source: str | None, article: str | None = None, fixed: frozenset[str
     _, slots = parse(source)
     kept = [s for s in slots if not s.dropped and (s.article or not s.header)]
     inside = [s for s in kept if s.path == article or s.path.startswith(f"{article}/")] if article else []
-    inside = inside or [s for s in kept if s.article] or kept
+    if inside:
+        inside = _without_marked(inside, article, fixed)
+    elif any(s.article for s in kept):
+        inside = [s for s in kept if s.article]
+        inside = [s for root in dict.fromkeys(s.article for s in inside) for s in _without_marked([s for s in inside if s.article == root], root, fixed)]
+    else:
+        inside = _without_marked(kept, "", fixed)
     own = {s.box for s in inside if s.token not in fixed}
     return " ".join(s.text for s in inside if s.box in own or not own)
 

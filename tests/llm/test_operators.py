@@ -565,6 +565,25 @@ def test_template_inside_articles_long_slots_and_copies(spark):
     assert "The same article in two parts" in out[20] and len(out) == len(rows)
 
 
+@pytest.mark.parametrize("wrap", ["<div class='text-widget'>{}</div>", "<form id='aspnetForm' method='post'>{}</form>", "<form class='share'><div class='related-banner'>{}</div></form>", "<aside>{}</aside>", "<div>{}</div>"])
+@pytest.mark.parametrize("pages", [8, 2])
+def test_marks_do_not_hide_an_article(spark, wrap, pages):
+    """An article inside what usually holds none, on hosts with a template and without; what is around it stays out."""
+    article = lambda i: f"<h1>Title {i}</h1><p>{f'The article of page {i} has many words that no other page has. ' * 40}</p>"
+    around = lambda i: f"<nav><a href='/'>Home {i}</a></nav>{wrap.format(article(i))}<div class='comments'><p>{f'Reader {i} says something. ' * 20}</p></div><div class='share'>Share {i}</div><footer>Foot</footer>"
+    rows = [(i, f"http://h/{i}", f"<html><body><div>Top</div>{around(i)}<div>Foot line</div></body></html>") for i in range(pages)]
+    out = {r.id: r.text for r in templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(pages):
+        text = f"Title {i} " + f"The article of page {i} has many words that no other page has. " * 40
+        assert text.strip() in out[i] and "Reader" not in out[i] and "Share" not in out[i] and "Home" not in out[i]
+        assert pages == 2 or out[i] == text.strip()
+
+
+def test_marked_inline_text_ends_with_its_element():
+    assert templates.extract("<p>One <span class='share'>tweet</span> two</p>") == "One two"
+    assert templates.extract("<p>One <span hidden>x</span>two</p><!-- <p>no</p> --><button>b</button>") == "One two"
+
+
 def test_classes_are_those_of_plain_vectors(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").select(templates.host_of("url").alias("host"), "html")
     extra = [("two", f"<div class='l{'a' if i % 2 else 'b'}'><ul><li>Home</li></ul><h2>T {i}</h2><p>x{i}</p><p>Fixed foot</p><i>{i}</i></div>") for i in range(14)]
@@ -600,6 +619,7 @@ def test_main_text_without_marks(spark, monkeypatch):
     """The template alone finds the articles of real pages: no article element, no word list."""
     monkeypatch.setattr(templates, "BOILERPLATE", re.compile("(?!)"))
     monkeypatch.setattr(templates, "MARKED", 1.0)
+    monkeypatch.setattr(templates, "SELDOM", frozenset())
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", templates.host_of("url").alias("host"), "html").collect()
     bare = lambda x: re.sub("<(/?)article>", r"<\1div>", x).replace("<footer>", "<div class='f'>").replace("</footer>", "</div>")
     found = {}
