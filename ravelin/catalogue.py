@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions import segment
 from ravelin.functions import text as X
-from ravelin.operators import bm25, chunking, dense, fusion, graph, kg, memory, trace
+from ravelin.operators import bm25, chunking, dense, fusion, graph, inverted_index, kg, memory, trace, vector_index
 from ravelin.plans import routing
 from ravelin.sources import io
+from ravelin.sources.scratch import Scratch
 
 ENDS = "。！？；!?;."  # the driver's texts end sentences with full stops
 
@@ -139,6 +141,31 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("q", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BM25} SELECT q, id, score, rank FROM br WHERE rank <= 20")
+def bm25_indexed_topk(spark, d):
+    index = inverted_index.build_index(t(spark, d, "documents"), Scratch(spark, "bm25").path("index"))
+    return inverted_index.search(index, t(spark, d, "benchmark"))[0].select("q", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(r"""WITH RECURSIVE dic AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) GROUP BY w), tot AS (SELECT sum(n) AS total FROM dic),
+  wt AS MATERIALIZED (SELECT w, CAST(length(w) AS BIGINT) AS l, CAST(floor(1000000 * ln(n / total)) AS BIGINT) AS wt FROM dic, tot), one AS (SELECT CAST(floor(1000000 * ln(1 / total)) AS BIGINT) AS unk FROM tot),
+  t AS MATERIALIZED (SELECT item_id, regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g') AS s FROM benchmark),
+  p AS (SELECT item_id, s, unnest(range(1, length(s) + 1)) AS i FROM t), g AS (SELECT p.*, l, substr(s, i, l) AS w FROM p, (SELECT DISTINCT l FROM wt) WHERE i + l - 1 <= length(s)),
+  e AS (SELECT item_id, i, g.l, wt FROM g JOIN wt USING (w) UNION ALL SELECT item_id, i, 1, unk FROM p, one WHERE substr(s, i, 1) NOT IN (SELECT w FROM wt)),
+  es AS MATERIALIZED (SELECT item_id, i, list({'l': l, 'w': wt}) AS es FROM e GROUP BY ALL),
+  r AS (SELECT item_id, CAST(length(s) + 1 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS best, CAST([] AS BIGINT[]) AS step FROM t UNION ALL
+    SELECT item_id, i, list_concat([x.w], best), list_concat([x.l], step) FROM (SELECT r.item_id, es.i, best, step, list_max([{'w': y.w + best[y.l], 'l': y.l} FOR y IN es.es]) AS x FROM r JOIN es ON r.item_id = es.item_id AND es.i = r.i - 1)),
+  b AS MATERIALIZED (SELECT * FROM r WHERE i = 1),
+  k AS (SELECT t.item_id, s, step, 1 AS pos, CAST([] AS VARCHAR[]) AS ws FROM b JOIN t USING (item_id) UNION ALL SELECT item_id, s, step, pos + step[pos], list_append(ws, substr(s, pos, step[pos])) FROM k WHERE pos <= length(s))
+  SELECT item_id, CAST(len(ws) AS BIGINT) AS n_words, array_to_string(ws, ' ') AS words FROM k WHERE pos > length(s)""")
+def dictionary_segments(spark, d):
+    counts = t(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    cut = segment.segmenter(segment.of_counts(counts, runs=False))
+    joined = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", "")
+    found = t(spark, d, "benchmark").select("item_id", cut(joined).alias("ws"))
+    return found.select("item_id", F.size("ws").cast("long").alias("n_words"), F.array_join("ws", " ").alias("words"))
+
+
 # --- dense retrieval and fusion --------------------------------------------------------------------------------------
 
 _DENSE = """ds AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE {0}),
@@ -157,6 +184,22 @@ def dense_topk(spark, d):
     return _every_50th(spark, d).select("q", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _vector_index(spark, d):
+    return vector_index.build_index(t(spark, d, "embeddings"), Scratch(spark, "vectors").path("index"))
+
+
+@query(f"WITH {_EVERY_50TH} SELECT q, id, score, rank FROM dr WHERE rank <= 20")
+def dense_ivf_topk(spark, d):
+    asked = t(spark, d, "embeddings").where("vec_id % 50 = 0")
+    return vector_index.search(_vector_index(spark, d), asked, exact=True).select("q", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def dense_ivf_recall(spark, d):
+    asked = t(spark, d, "embeddings").where("vec_id % 50 = 0")
+    return vector_index.recall(vector_index.search(_vector_index(spark, d), asked), _every_50th(spark, d))
+
+
 @query(f"""WITH {_EVERY_50TH} SELECT q, round(avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END), 6) AS precision FROM dr JOIN embeddings x ON x.vec_id = q JOIN embeddings y ON y.vec_id = id WHERE rank <= 10 GROUP BY q""")
 def dense_label_precision(spark, d):
     labels = t(spark, d, "embeddings").select("vec_id", "label")
@@ -223,25 +266,26 @@ def _triples(spark, d):
 
 
 def _entities(spark, d):
-    """Entities as a build would have stored them: kept on disk or in memory once a query has made them."""
-    return kg.entities(_mentions(spark, d), _triples(spark, d)).persist()
+    return kg.entity_table(_mentions(spark, d), _triples(spark, d))
 
 
 def _relations(spark, d):
-    return kg.relations(_triples(spark, d)).persist()
+    return kg.relation_table(_triples(spark, d))
 
 
-_ends = lambda: (F.array_min("source_chunks").alias("first_chunk"), F.array_max("source_chunks").alias("last_chunk"))
+def _graph(spark, d):
+    """The graph as a build stores it, written once for a query that reads it more than once."""
+    return kg.build(_mentions(spark, d), _triples(spark, d), Scratch(spark, "graph"))
 
 
 @query(f"WITH {_KG} SELECT name, type, description, chunk_count, first_chunk, last_chunk FROM ents JOIN descs USING (name)")
 def kg_entities(spark, d):
-    return _entities(spark, d).select("name", "type", "description", "chunk_count", *_ends())
+    return _entities(spark, d).select("name", "type", "description", "chunk_count", "first_chunk", "last_chunk")
 
 
 @query(f"WITH {_KG} SELECT head, relation, tail, description, chunk_count, first_chunk, last_chunk FROM rels JOIN rdesc USING (head, relation, tail)")
 def kg_relations(spark, d):
-    return _relations(spark, d).select("head", "relation", "tail", "description", "chunk_count", *_ends())
+    return _relations(spark, d).select("head", "relation", "tail", "description", "chunk_count", "first_chunk", "last_chunk")
 
 
 @query(f"WITH {_KG} SELECT type, count(*) AS n FROM ents GROUP BY type")
@@ -252,7 +296,8 @@ def kg_type_hist(spark, d):
 @query(f"""WITH {_KG} SELECT count(*) AS total_entities, (SELECT count(*) FROM rels) AS total_relations, count(*) FILTER (WHERE type = 'OTHER') AS other_type_count, count(*) FILTER (WHERE description <> '') AS entities_with_description,
   round(count(*) FILTER (WHERE description <> '') / count(*), 4) AS description_coverage, CAST(14 AS BIGINT) AS alias_count FROM ents JOIN descs USING (name)""")
 def kg_stats(spark, d):
-    out = kg.stats(_entities(spark, d), _relations(spark, d))
+    g = _graph(spark, d)
+    out = kg.stats(g.entities, g.relations)
     return out.select("total_entities", "total_relations", "other_type_count", "entities_with_description", "description_coverage", "alias_count")
 
 
@@ -298,8 +343,10 @@ _HOPS = """h0 AS (SELECT q, name, score, rank AS ord FROM mat WHERE rank <= 5),
   hop AS (SELECT q, name, score, ord FROM h0 UNION ALL SELECT q, name, score, ord + 4294967296 FROM h1 UNION ALL SELECT q, name, score, ord + 8589934592 FROM h2)"""
 
 
-def _expanded(spark, d):
-    return graph.expand_weighted(_matched(spark, d).select("q", "name", "score", F.col("rank").cast("long").alias("ord")), _edges(spark, d))
+def _expanded(spark, d, g=None):
+    g = g or _graph(spark, d)
+    seeds = graph.match_entities(_ask(spark, d), g.entities)
+    return graph.expand_weighted(seeds.select("q", "name", "score", F.col("rank").cast("long").alias("ord")), graph.edges(g.relations))
 
 
 @query(f"WITH {_KG}, {_EDGES}, {_ASK}, {_MATCH}, {_HOPS} SELECT q, name, CAST(score AS DOUBLE) AS score, ord FROM hop")
@@ -309,13 +356,15 @@ def bfs_weighted(spark, d):
 
 @query(f"WITH {_KG}, {_EDGES}, {_ASK}, {_MATCH}, {_HOPS} SELECT q, name, CAST(CASE score WHEN 1.0 THEN 0 WHEN 0.5 THEN 1 ELSE 2 END AS BIGINT) AS hops FROM hop")
 def bfs_two_hop(spark, d):
-    return graph.reachable(_matched(spark, d).select("q", "name"), _edges(spark, d)).withColumn("hops", F.col("hops").cast("long"))
+    g = _graph(spark, d)
+    return graph.reachable(graph.match_entities(_ask(spark, d), g.entities).select("q", "name"), graph.edges(g.relations)).withColumn("hops", F.col("hops").cast("long"))
 
 
 @query(f"""WITH {_KG}, {_EDGES}, {_ASK}, {_MATCH}, {_HOPS}, cs AS (SELECT q, chunk AS id, round(sum(score), 6) AS score, min(ord) AS o FROM hop h JOIN (SELECT DISTINCT name, chunk FROM allm) c ON c.name = h.name GROUP BY q, chunk),
   cr AS (SELECT q, id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, o, id) AS rank FROM cs) SELECT cr.*, m.n AS matched_entities FROM cr JOIN (SELECT q, count(*) AS n FROM hop GROUP BY q) m USING (q) WHERE rank <= 10""")
 def graph_chunk_recall(spark, d):
-    found = graph.related_chunks(_expanded(spark, d), _entities(spark, d))
+    g = _graph(spark, d)
+    found = graph.related_chunks(_expanded(spark, d, g), g.entity_links)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -325,11 +374,12 @@ _RELATED = """rv AS (SELECT n_name AS head, 'IN_REGION' AS relation, r_name AS t
 
 def _relation_hits(spark, d):
     nations = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("vec_id"), F.col("n_name").alias("head"))
-    rels = _relations(spark, d).where("relation = 'IN_REGION'").join(nations, "head")
+    links = kg.relation_links(_triples(spark, d).where("relation = 'IN_REGION'"))
+    rels = links.select("head", "relation", "tail").distinct().join(nations, "head")
     vectors = t(spark, d, "embeddings")
     hits = dense.top_k(vectors.join(F.broadcast(nations.select("vec_id")), "vec_id", "left_semi"), vectors.where("vec_id % 50 = 0"), 10)
     scored = hits.join(rels.select("vec_id", "head", "relation", "tail"), hits.id == rels.vec_id).select("q", "head", "relation", "tail", "score")
-    return graph.relation_search(scored, 10, 0.0), rels
+    return graph.relation_search(scored, 10, 0.0), links
 
 
 @query(f"WITH {_EVERY_50TH}, {_RELATED} SELECT q, head, relation, tail, score, rank FROM rs WHERE rank <= 10 AND score >= 0")
@@ -349,6 +399,34 @@ def graph_view(spark, d):
     return graph.paths(_edges(spark, d), t(spark, d, "region").select(F.col("r_name").alias("name")))
 
 
+_PATHS = """st AS (SELECT DISTINCT source, target, edge_ord // 2 AS e FROM edg), pa AS (SELECT r_name AS centre, r_name AS here, CAST([] AS BIGINT[]) AS es FROM region UNION ALL
+  SELECT centre, target, list_append(es, e) FROM pa JOIN st ON source = here WHERE len(es) < 2 AND NOT list_contains(es, e)),
+  pn AS (SELECT centre, here AS target, es, len(es) AS hops, row_number() OVER (PARTITION BY centre ORDER BY len(es), es) AS path_no FROM pa WHERE len(es) > 0)"""
+
+
+def _region_paths(spark, d):
+    g = _graph(spark, d)
+    return graph.simple_paths(graph.edges(g.relations), t(spark, d, "region").select(F.col("r_name").alias("name"))), g
+
+
+@query(f"WITH RECURSIVE {_KG}, {_EDGES}, {_PATHS} SELECT centre, path_no, target, CAST(hops AS BIGINT) AS hops, array_to_string(es, ',') AS edges FROM pn WHERE path_no <= 200")
+def graph_paths(spark, d):
+    return _region_paths(spark, d)[0].withColumn("edges", F.array_join(F.col("edges").cast("array<string>"), ","))
+
+
+@query(f"""WITH RECURSIVE {_KG}, {_EDGES}, {_PATHS}, no AS (SELECT r_name AS centre, r_name AS name, 0 AS p FROM region WHERE r_name IN (SELECT centre FROM pn) UNION ALL SELECT centre, target, path_no FROM pn WHERE path_no <= 200),
+  fi AS (SELECT centre, name, min(p) AS p FROM no GROUP BY ALL) SELECT centre, row_number() OVER (PARTITION BY centre ORDER BY p) AS place, name, coalesce(type, 'OTHER') AS type FROM fi LEFT JOIN ents USING (name)""")
+def graph_nodes(spark, d):
+    found, g = _region_paths(spark, d)
+    return graph.view_nodes(found, g.entities)
+
+
+@query(f"""WITH RECURSIVE {_KG}, {_EDGES}, {_PATHS}, fi AS (SELECT centre, target, min(path_no) AS p FROM pn WHERE path_no <= 200 GROUP BY ALL)
+  SELECT centre, row_number() OVER (PARTITION BY centre ORDER BY p) AS place, centre AS source, target FROM fi""")
+def graph_view_edges(spark, d):
+    return graph.view_edges(_region_paths(spark, d)[0])
+
+
 # --- plans -----------------------------------------------------------------------------------------------------------
 
 _MODES = "CASE item_id % 5 WHEN 0 THEN 'naive' WHEN 1 THEN 'local' WHEN 2 THEN 'global' WHEN 3 THEN 'hybrid' ELSE 'other' END"

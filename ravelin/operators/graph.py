@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions.order import numbered
+from ravelin.operators.spread import spread, to_parts
+from ravelin.sources.scratch import Scratch
+
 DECAY = 0.5
 
 
@@ -48,35 +52,49 @@ def reachable(seeds: DataFrame, adjacency: DataFrame, depth: int = 2) -> DataFra
     return seen
 
 
-def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, decay: float = DECAY) -> DataFrame:
+def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, decay: float = DECAY, scratch: Scratch | None = None) -> DataFrame:
     """(q, name, score, ord) of the seeds (q, name, score, ord) and what they lead to, each step worth ``decay``.
 
     The first discovery counts, in the order of the frontier and then of its edges, and is never raised later; so
-    survivors are numbered in that order, and their numbers order the next frontier. Frontiers are persisted: every
-    hop reads the earlier ones.
+    survivors are numbered in that order, and their numbers order the next frontier. Each frontier is written once, sorted
+    over ranges: no task numbers the whole frontier of a query. Names of many edges are dealt over parts.
     """
-    first = Window.partitionBy("q", "name").orderBy("ord")
-    seen = seeds.select("q", "name", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord")).withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    scratch = scratch or Scratch(seeds.sparkSession, "expansion")
+    first = seeds.groupBy("q", "name").agg(F.min(F.struct(F.col("ord").cast("long").alias("ord"), F.col("score").cast("double").alias("score"))).alias("x"))
+    seen = scratch.write(first.select("q", "name", "x.score", "x.ord"), "seeds")
+    dealt, hubs = spread(adjacency.select("source", "target", "edge_ord"), "source", ["target", "edge_ord"])
+    dealt, hubs = scratch.write(dealt, "adjacency"), scratch.write(hubs, "hubs")
     front, base = seen, 1 << 32
-    for _ in range(depth):
-        near = front.withColumnRenamed("ord", "parent_ord").join(adjacency, front.name == adjacency.source)
-        near = near.select("q", F.col("target").alias("name"), (F.col("score") * decay).alias("score"), "parent_ord", "edge_ord").join(seen.select("q", "name"), ["q", "name"], "left_anti")
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("q", "name").orderBy("parent_ord", "edge_ord", "name"))).where("r = 1")
-        front = near.withColumn("ord", (F.lit(base) + F.row_number().over(Window.partitionBy("q").orderBy("parent_ord", "edge_ord", "name"))).cast("long")).select("q", "name", "score", "ord").persist()
+    for hop in range(1, depth + 1):
+        asked = to_parts(front.select("q", F.col("name").alias("source"), "score", F.col("ord").alias("parent_ord")), "source", hubs, "source")
+        near = asked.join(dealt, ["source", "part"]).groupBy("q", F.col("target").alias("name")).agg(F.min(F.struct("parent_ord", "edge_ord", "score")).alias("x"))
+        near = near.join(seen.select("q", "name"), ["q", "name"], "left_anti").select("q", "name", "x.*")
+        placed = numbered(near, ["q", "parent_ord", "edge_ord", "name"], f"hop{hop}", scratch)
+        low = placed.groupBy("q").agg(F.min(f"hop{hop}").alias("low"))
+        front = placed.join(low, "q").select("q", "name", (F.col("score") * decay).alias("score"), (F.lit(base) + 1 + F.col(f"hop{hop}") - F.col("low")).cast("long").alias("ord"))
+        front = scratch.write(front, f"front{hop}")
         seen, base = seen.unionByName(front), base << 1
     return seen
 
 
+def chunk_links(entities: DataFrame, key: list[str]) -> DataFrame:
+    """(key…, id): the chunks of rows that have them in a list, or of a link table (key…, chunk) as it is."""
+    return entities.select(*key, F.explode("source_chunks").alias("id") if "source_chunks" in entities.columns else F.col("chunk").alias("id"))
+
+
 def related_chunks(scored: DataFrame, entities: DataFrame, chunks: DataFrame | None = None, first: int = 20, k: int = 10) -> DataFrame:
-    """(q, id, score, rank, matched_entities): chunks by the summed score of their entities. Of the first ``first``,
-    those whose body is missing go, and ``k`` of the others stay."""
+    """(q, id, score, rank, matched_entities): chunks by the summed score of their entities, which are a link table
+    (name, chunk) or rows with lists of chunks. Of the first ``first``, those whose body is missing go, and ``k`` of the
+    others stay. Names of many chunks are dealt over parts."""
     named = scored.select("q", "name", "score", "ord")
     matched = named.groupBy("q").agg(F.count("*").alias("matched_entities"))
-    part = named.join(entities.select("name", F.explode("source_chunks").alias("id")), "name").groupBy("q", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.min(F.struct("ord", "id")).alias("seen"))
+    links, hubs = spread(chunk_links(entities, ["name"]), "name", ["id"])
+    joined = to_parts(named, "name", hubs, "name").join(links, ["name", "part"])
+    part = joined.groupBy("q", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.min(F.struct("ord", "id")).alias("seen"))
     return _ranked(part, chunks, first, k).join(matched, "q")
 
 
-def graph_search(queries: DataFrame, entities: DataFrame, adjacency: DataFrame, chunks: DataFrame | None = None, vector_hits: DataFrame | None = None, depth: int = 2, first: int = 20, k: int = 10) -> tuple[DataFrame, DataFrame]:
+def graph_search(queries: DataFrame, entities: DataFrame, adjacency: DataFrame, chunks: DataFrame | None = None, vector_hits: DataFrame | None = None, depth: int = 2, first: int = 20, k: int = 10, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, expansion) of (q, text): ``hits`` as of ``related_chunks``; ``expansion`` has the matched entities of each
     query that matched any and the names of the first ``first`` it was expanded to, seeds included."""
     seeds = match_entities(queries, entities, vector_hits).withColumnRenamed("rank", "ord")
@@ -85,12 +103,12 @@ def graph_search(queries: DataFrame, entities: DataFrame, adjacency: DataFrame,
     names = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
     expanded = scored.withColumn("place", place).where(F.col("place") <= first).groupBy("q").agg(names.alias("expanded"))
     matched = seeds.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("matched"))
-    return related_chunks(scored, entities, chunks, first, k), matched.join(expanded, "q")
+    return related_chunks(scored, entities if links is None else links, chunks, first, k), matched.join(expanded, "q")
 
 
 def relation_chunks(hits: DataFrame, relations: DataFrame, chunks: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(q, id, score, rank): chunks by the summed similarity of the relations (q, head, relation, tail, score, rank)."""
-    part = hits.join(relations.select("head", "relation", "tail", F.explode("source_chunks").alias("id")), ["head", "relation", "tail"]).groupBy("q", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.min(F.struct("rank", "id")).alias("seen"))
+    part = hits.join(chunk_links(relations, ["head", "relation", "tail"]), ["head", "relation", "tail"]).groupBy("q", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.min(F.struct("rank", "id")).alias("seen"))
     return _ranked(part, chunks, k, k)
 
 
@@ -114,3 +132,40 @@ def paths(adjacency: DataFrame, centre: DataFrame, most: int = 200) -> DataFrame
     one = adjacency.join(centre.select(F.col("name").alias("source")), "source", "left_semi").select("source", "target")
     two = one.select(F.col("target").alias("source")).distinct().join(adjacency.select("source", "target"), "source")
     return one.unionByName(two).distinct().orderBy("source", "target").limit(most)
+
+
+def simple_paths(adjacency: DataFrame, centres: DataFrame, most: int = 200) -> DataFrame:
+    """(centre, path_no, target, hops, edges): the first ``most`` undirected paths of one or two relations from each
+    (name), none of which has a relation twice; ``edges`` are the relations' numbers, shorter paths and lower numbers
+    first. A path may lead back to its centre by another relation.
+
+    Only as many first steps are carried on as there can be paths, and of those only the ones that lead on, so the two
+    steps of a hub do not meet.
+    """
+    steps = adjacency.select("source", "target", F.floor(F.col("edge_ord") / 2).alias("edge"))
+    # A loop stands there from both of its ends, but is one step.
+    steps = steps.dropDuplicates(["source", "target", "edge"])
+    nth = lambda *order: F.row_number().over(Window.partitionBy("centre").orderBy(*order))
+    one = centres.select(F.col("name").alias("centre")).distinct().join(steps, F.col("centre") == F.col("source")).select("centre", "target", F.col("edge").alias("e1"))
+    degree = steps.join(one.select(F.col("target").alias("source")).distinct(), "source", "left_semi").groupBy("source").agg(F.count("*").alias("degree")).where("degree > 1")
+    leads = one.join(degree.select(F.col("source").alias("target")), "target", "left_semi").withColumn("n", nth("e1")).where(F.col("n") <= most)
+    second = steps.select(F.col("source").alias("via"), F.col("target").alias("end"), F.col("edge").alias("e2"))
+    two = leads.withColumnRenamed("target", "via").join(second, "via").where("e1 <> e2").select("centre", F.col("end").alias("target"), F.array("e1", "e2").alias("edges"))
+    every = one.select("centre", "target", F.array("e1").alias("edges")).unionByName(two).withColumn("hops", F.size("edges").cast("long"))
+    return every.withColumn("path_no", nth("hops", "edges").cast("long")).where(F.col("path_no") <= most).select("centre", "path_no", "target", "hops", "edges")
+
+
+def view_nodes(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """(centre, place, name, type) of the ends of paths: the centre first, then each where it first ends a path. A name
+    that is no entity has the type OTHER."""
+    ends = found.groupBy("centre", F.col("target").alias("name")).agg(F.min("path_no").alias("place"))
+    own = found.select("centre", F.col("centre").alias("name"), F.lit(0).cast("long").alias("place")).distinct()
+    first = own.unionByName(ends).groupBy("centre", "name").agg(F.min("place").alias("place"))
+    typed = first.join(entities.select("name", "type"), "name", "left").withColumn("type", F.coalesce("type", F.lit("OTHER")))
+    return typed.withColumn("place", F.row_number().over(Window.partitionBy("centre").orderBy("place")).cast("long")).select("centre", "place", "name", "type")
+
+
+def view_edges(found: DataFrame) -> DataFrame:
+    """(centre, place, source, target) of the view: one edge for each end of the paths, where it came first."""
+    pairs = found.groupBy("centre", "target").agg(F.min("path_no").alias("place"))
+    return pairs.select("centre", F.row_number().over(Window.partitionBy("centre").orderBy("place")).cast("long").alias("place"), F.col("centre").alias("source"), "target")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions import lexicons as L
 from ravelin.functions import text as X
+from ravelin.sources.scratch import Scratch
 
 EXTRACTION = "entities array<struct<name: string, type: string, description: string>>, relations array<struct<head: string, relation: string, tail: string, description: string>>"
 NAME_CHARS = 30
@@ -58,17 +61,17 @@ def normalise_mentions(mentions: DataFrame) -> DataFrame:
 def entities(mentions: DataFrame, triples: DataFrame) -> DataFrame:
     """Entities of mentions and of the ends of triples, aliases resolved: (name, type, description, aliases,
     source_chunks, chunk_count, ord). ``ord`` carries the order of first appearance; mentions come before triples."""
-    ends = [triples.select(F.col(c).alias("name"), F.col(f"{c}_type").alias("type"), F.lit("").alias("description"), "chunk", (F.col("ord") + (1 << 40) + i).alias("ord")) for i, c in enumerate(("head", "tail"))]
-    known = normalise_mentions(mentions.unionByName(ends[0]).unionByName(ends[1]))
+    known = _known(mentions, triples)
     out = _merged(known.drop("name"), "standard")
     alias = known.where("name <> standard").groupBy("standard").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
     joined = out.join(alias, "standard", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     return joined.select(F.col("standard").alias("name"), "type", "description", "aliases", "source_chunks", F.size("source_chunks").cast("long").alias("chunk_count"), "ord")
 
 
-def relations(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row per (head, relation, tail) after names and aliases are resolved; loops go, and with ``known`` those whose
-    ends are no entities."""
+TRIPLE = ["head", "relation", "tail"]
+
+
+def _relation_rows(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
     names = _let(F.struct(X.entity_name(F.col("head")).alias("h"), X.entity_name(F.col("tail")).alias("t")), lambda s: F.struct(X.standard_name(s["h"]).alias("head"), X.standard_name(s["t"]).alias("tail")))
     kept = _let(names, lambda s: F.struct(s["head"].alias("head"), s["tail"].alias("tail"), ((s["head"] != s["tail"]) & ~X.is_noise(s["head"]) & ~X.is_noise(s["tail"])).alias("keep")))
     rows = triples.select(kept.alias("x"), "relation", F.coalesce("description", F.lit("")).alias("description"), "chunk", "ord").where("x.keep")
@@ -76,6 +79,13 @@ def relations(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is not None:
         for c in ("head", "tail"):
             rows = rows.join(known.select(F.col("name").alias(c)), c, "left_semi")
+    return rows
+
+
+def relations(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per (head, relation, tail) after names and aliases are resolved; loops go, and with ``known`` those whose
+    ends are no entities."""
+    rows = _relation_rows(triples, known)
     return rows.groupBy("head", "relation", "tail").agg(
         F.max_by("description", F.struct(F.length("description"), -F.col("ord"))).alias("description"),
         F.array_sort(F.array_remove(F.collect_set(F.coalesce("chunk", F.lit(""))), "")).alias("source_chunks"),
@@ -83,6 +93,68 @@ def relations(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ).withColumn("chunk_count", F.size("source_chunks").cast("long"))
 
 
+@dataclass(frozen=True)
+class Graph:
+    """A knowledge graph as it is stored: entities and relations without lists of chunks, and which chunks they come
+    from as rows, so that a name that stands everywhere is many rows and not one long one."""
+
+    entities: DataFrame
+    relations: DataFrame
+    entity_links: DataFrame
+    relation_links: DataFrame
+
+
+def _by_chunk(rows: DataFrame, key: list[str], typed: bool) -> DataFrame:
+    """What a merge needs of the rows of one key and chunk. Rows of a hub add up here, over its chunks."""
+    better = F.max(F.struct(F.length("description").alias("n"), (-F.col("ord")).alias("o"), "description")).alias("best")
+    kind = [F.min(F.when(F.col("type") != "OTHER", F.struct("ord", "type"))).alias("kind")] if typed else []
+    return rows.groupBy(*key, F.coalesce("chunk", F.lit("")).alias("chunk")).agg(better, F.min("ord").alias("ord"), *kind)
+
+
+def _over_chunks(parts: DataFrame, key: list[str], typed: bool) -> DataFrame:
+    chunk = F.nullif(F.col("chunk"), F.lit(""))
+    kind = [F.coalesce(F.min("kind")["type"], F.lit("OTHER")).alias("type")] if typed else []
+    return parts.groupBy(*key).agg(*kind, F.max("best")["description"].alias("description"), F.count(chunk).alias("chunk_count"), F.min(chunk).alias("first_chunk"), F.max(chunk).alias("last_chunk"), F.min("ord").alias("ord"))
+
+
+def _known(mentions: DataFrame, triples: DataFrame) -> DataFrame:
+    ends = [triples.select(F.col(c).alias("name"), F.col(f"{c}_type").alias("type"), F.lit("").alias("description"), "chunk", (F.col("ord") + (1 << 40) + i).alias("ord")) for i, c in enumerate(("head", "tail"))]
+    return normalise_mentions(mentions.unionByName(ends[0]).unionByName(ends[1]))
+
+
+def _with_aliases(rows: DataFrame, known: DataFrame) -> DataFrame:
+    alias = known.where("name <> standard").groupBy("standard").agg(F.array_sort(F.collect_set("name")).alias("aliases"))  # names of the lexicon
+    return rows.join(alias.withColumnRenamed("standard", "name"), "name", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def entity_table(mentions: DataFrame, triples: DataFrame) -> DataFrame:
+    """(name, type, description, chunk_count, first_chunk, last_chunk, ord, aliases): what ``entities`` gives, with the
+    number of chunks and the first and last of them in place of all in one list."""
+    known = _known(mentions, triples)
+    parts = _by_chunk(known.drop("name").withColumnRenamed("standard", "name"), ["name"], True)
+    return _with_aliases(_over_chunks(parts, ["name"], True), known)
+
+
+def relation_table(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(head, relation, tail, description, chunk_count, first_chunk, last_chunk, ord) by the rules of ``relations``."""
+    return _over_chunks(_by_chunk(_relation_rows(triples, known), TRIPLE, False), TRIPLE, False)
+
+
+def relation_links(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(head, relation, tail, chunk): the chunks of every relation, each once."""
+    return _relation_rows(triples, known).where("chunk <> ''").select(*TRIPLE, "chunk").distinct()
+
+
+def build(mentions: DataFrame, triples: DataFrame, scratch: Scratch) -> Graph:
+    """The graph of mentions and triples, each part of it written once to the shared folder."""
+    known = _known(mentions, triples)
+    parts = scratch.write(_by_chunk(known.drop("name").withColumnRenamed("standard", "name"), ["name"], True), "entity-chunks")
+    ents = scratch.write(_with_aliases(_over_chunks(parts, ["name"], True), known), "entities")
+    own = scratch.write(_by_chunk(_relation_rows(triples), TRIPLE, False), "relation-chunks")
+    rels = scratch.write(_over_chunks(own, TRIPLE, False), "relations")
+    return Graph(ents, rels, parts.where("chunk <> ''").select("name", "chunk"), own.where("chunk <> ''").select(*TRIPLE, "chunk"))
+
+
 def alias_count() -> int:
     return sum(map(len, L.NAME_ALIASES.values()))
 
