@@ -58,11 +58,11 @@ def _weak_rules() -> str:
     less = "length(translate({0}, '{1}', ''))".format
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {r.ratio} <= {r.good} THEN 1 WHEN {r.ratio} >= {r.bad} THEN -1 ELSE 0 END" for r in w.RULES)
-    weigh = "list_sum([CASE WHEN {v}[r] = 1 THEN greatest(0.0, ln(a[r] / (1 - b[r]))) WHEN {v}[r] = -1 THEN least(0.0, ln((1 - a[r]) / b[r])) ELSE 0.0 END FOR r IN range(1, {n})])".format
+    weigh = "list_sum([CASE WHEN {v}[r] = 1 THEN ln(a[r] / (1 - b[r])) WHEN {v}[r] = -1 THEN ln((1 - a[r]) / b[r]) ELSE 0.0 END FOR r IN range(1, {n})])".format
     odds = lambda v: f"1 / (1 + exp(-(ln(prior / (1 - prior)) + {weigh(v=v, n=len(rules) + 1)})))"
     each = lambda r, test, q, less: f"({less} + list_sum([CASE WHEN ps[i].votes[{r}] {test} THEN ps[i].n * {q} ELSE 0.0 END FOR i IN range(1, len(ps) + 1)]))"
-    a = ", ".join(f"least(0.9999, greatest(0.995, {each(r, '= 1', 'qs[i]', 9.95)} / {each(r, '<> 0', 'qs[i]', 10.0)}))" for r in rules)
-    b = ", ".join(f"least(0.99, greatest(0.1, {each(r, '= -1', '(1 - qs[i])', 3.0)} / {each(r, '<> 0', '(1 - qs[i])', 10.0)}))" for r in rules)
+    a = ", ".join(f"{each(r, '= 1', 'qs[i]', w.BELIEF_A[0])} / {each(r, '<> 0', 'qs[i]', sum(w.BELIEF_A))}" for r in rules)
+    b = ", ".join(f"{each(r, '= -1', '(1 - qs[i])', w.BELIEF_B[0])} / {each(r, '<> 0', '(1 - qs[i])', sum(w.BELIEF_B))}" for r in rules)
     return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
   wl AS (SELECT doc_id, [x FOR x IN string_split(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ') IF x <> ''] AS ws FROM d),
   g AS (SELECT doc_id, i, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM wl)),
@@ -75,7 +75,7 @@ def _weak_rules() -> str:
   v AS (SELECT *, [{votes}] AS votes, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
   pat AS (SELECT list({{'votes': votes, 'n': n}} ORDER BY votes) AS ps FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v WHERE NOT base_failed GROUP BY votes)),
   em AS (SELECT 0 AS k, CAST({w.PRIOR} AS DOUBLE) AS prior, [CAST({w.START[0]} AS DOUBLE) FOR r IN range({len(rules)})] AS a, [CAST({w.START[1]} AS DOUBLE) FOR r IN range({len(rules)})] AS b UNION ALL
-    SELECT k + 1, least(0.98, greatest(0.5, ({w.PRIOR} + list_sum([ps[i].n * qs[i] FOR i IN range(1, len(ps) + 1)])) / (1.0 + list_sum([p.n FOR p IN ps])))), [{a}], [{b}]
+    SELECT k + 1, ({w.BELIEF_PRIOR[0]} + list_sum([ps[i].n * qs[i] FOR i IN range(1, len(ps) + 1)])) / ({sum(w.BELIEF_PRIOR)} + list_sum([p.n FOR p IN ps])), [{a}], [{b}]
     FROM (SELECT em.*, ps, [{odds("p.votes")} FOR p IN ps] AS qs FROM em, pat WHERE k < {w.ROUNDS}))
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept, round(q, 6) AS p_quality
   FROM (SELECT v.*, {odds("votes")} AS q FROM v, (SELECT * FROM em WHERE k = {w.ROUNDS}))"""

@@ -13,7 +13,10 @@ SPACE = " \t\n\x0b\x0c\r"  # the six ASCII white-space characters
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ROUNDS, PRIOR, START = 30, 0.85, (0.995, 0.3)
+#: Rounds of the fit, and where it starts: the share of good texts, how often a vote for a good and against a bad text is right.
+ROUNDS, PRIOR, START = 30, 0.85, (0.9, 0.6)
+#: What is believed before any text is seen, as counts of right and wrong votes (Beta priors) and of good and bad texts.
+BELIEF_A, BELIEF_B, BELIEF_PRIOR = (9.0, 1.0), (1.0, 1.0), (1.0, 1.0)
 
 
 def _let(value: Column, body) -> Column:
@@ -91,14 +94,18 @@ class Rule:
     bad: float
 
 
+#: Rules overlap in what they see, so that they can confirm or deny one another: symbols also make words long and
+#: letters rare, and a text may have few symbols for its words and many for its characters.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0.02, 0.1),
-    Rule("repeats", "n_repeat_words / n_words", 0.2, 0.5),
+    Rule("symbols", "n_symbols / n_words", 0.05, 0.2),
+    Rule("symbol_share", "n_symbols / greatest(word_chars, 1)", 0.02, 0.1),
+    Rule("letters", "1 - (n_upper + n_lower) / greatest(word_chars, 1)", 0.18, 0.3),
+    Rule("word_length", "abs(word_chars / n_words - 5.3)", 1.0, 1.15),
+    Rule("repeats", "n_repeat_words / n_words", 0.15, 0.3),
     Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.3),
-    Rule("capitals", "n_upper / greatest(n_upper + n_lower, 1)", 0.3, 0.6),
-    Rule("shouts", "n_shouts / n_words", 0.1, 0.3),
-    Rule("digits", "n_digits / greatest(word_chars, 1)", 0.15, 0.4),
-    Rule("word_length", "abs(word_chars / n_words - 7)", 3.5, 8.0),
+    Rule("capitals", "n_upper / greatest(n_upper + n_lower, 1)", 0.1, 0.4),
+    Rule("shouts", "n_shouts / n_words", 0.05, 0.2),
+    Rule("digits", "n_digits / greatest(word_chars, 1)", 0.03, 0.15),
 )
 
 
@@ -111,11 +118,11 @@ def votes(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def fit(voted: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
     """One row (prior, rates array of struct<a, b>) from the votes of all rows.
 
-    A rule that votes speaks for a good text with probability a, against a bad one with probability b; an abstention
-    says nothing. Rows count through their vote patterns, at most 3 to the power of the rules, so a round costs the
-    same at every size; the rounds run as one fold inside one expression. All start at ``START`` and ``PRIOR``; a
-    stays within 0.995 and 0.9999 (the thresholds leave at most one false alarm in 200 good texts), b within 0.1 and
-    0.99 and the prior within 0.5 and 0.98, so that good and bad keep their meaning.
+    A rule that votes is right about a good text with probability a, about a bad one with probability b; an abstention
+    says nothing. Both, and the share of good texts, are estimated freely: the priors weigh as ten votes and two texts do,
+    and nothing holds a rate within bounds. That rules are right more often than not is where the rounds start, no more.
+    Rows count through their vote patterns, at most 3 to the power of the rules, so a round costs the same at every size;
+    the rounds run as one fold inside one expression.
     """
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")).agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("ps"))
 
@@ -123,19 +130,16 @@ def fit(voted: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
         scored = _let(weights(state["rates"]), lambda w: F.transform(ps, lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), posterior(p["votes"], w, state["prior"]).alias("q"))))
 
         def update(s: Column) -> Column:
-            def share(r: Column, side: int, less: float, of: float) -> Column:
+            def share(r: Column, side: int, belief: tuple[float, float]) -> Column:
                 part = lambda p: p["n"] * (p["q"] if side > 0 else 1 - p["q"])
-                right = F.aggregate(s, F.lit(less), lambda t, p: t + F.when(F.get(p["votes"], r) == side, part(p)).otherwise(0.0))
-                spoke = F.aggregate(s, F.lit(of), lambda t, p: t + F.when(F.get(p["votes"], r) != 0, part(p)).otherwise(0.0))
+                right = F.aggregate(s, F.lit(belief[0]), lambda t, p: t + F.when(F.get(p["votes"], r) == side, part(p)).otherwise(0.0))
+                spoke = F.aggregate(s, F.lit(sum(belief)), lambda t, p: t + F.when(F.get(p["votes"], r) != 0, part(p)).otherwise(0.0))
                 return right / spoke
 
-            def rate(r: Column) -> Column:
-                a = F.least(F.lit(0.9999), F.greatest(F.lit(0.995), share(r, 1, 9.95, 10.0)))
-                return F.struct(a.alias("a"), F.least(F.lit(0.99), F.greatest(F.lit(0.1), share(r, -1, 3.0, 10.0))).alias("b"))
-
-            good = F.aggregate(s, F.lit(PRIOR), lambda t, p: t + p["n"] * p["q"])
-            total = F.aggregate(s, F.lit(1.0), lambda t, p: t + p["n"])
-            prior = F.least(F.lit(0.98), F.greatest(F.lit(0.5), good / total))
+            rate = lambda r: F.struct(share(r, 1, BELIEF_A).alias("a"), share(r, -1, BELIEF_B).alias("b"))
+            good = F.aggregate(s, F.lit(BELIEF_PRIOR[0]), lambda t, p: t + p["n"] * p["q"])
+            total = F.aggregate(s, F.lit(sum(BELIEF_PRIOR)), lambda t, p: t + p["n"])
+            prior = good / total
             return F.struct(prior.alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), rate).alias("rates"))
 
         return _let(scored, update)
@@ -147,9 +151,9 @@ def fit(voted: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
 
 
 def weights(rates: Column) -> Column:
-    """What a vote for and a vote against add to the log odds of good; never against the vote's own direction."""
-    up = lambda r: F.greatest(F.lit(0.0), F.log(r["a"] / (1 - r["b"])))
-    down = lambda r: F.least(F.lit(0.0), F.log((1 - r["a"]) / r["b"]))
+    """What a vote for and a vote against add to the log odds of good."""
+    up = lambda r: F.log(r["a"] / (1 - r["b"]))
+    down = lambda r: F.log((1 - r["a"]) / r["b"])
     return F.transform(rates, lambda r: F.struct(up(r).alias("up"), down(r).alias("down")))
 
 

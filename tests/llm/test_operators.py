@@ -251,6 +251,32 @@ def test_rules_agree_with_labels(spark, real):
     assert sum(r.kept == (labels[r.id] == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_rates_are_estimated_from_votes_alone(spark):
+    """Votes dealt out with known accuracies, four rules that abstain in part: the fit finds them, without labels."""
+    rnd = random.Random(11)
+    truth = [(0.97, 0.9), (0.9, 0.7), (0.85, 0.8), (0.95, 0.4)]
+    rows = []
+    for _ in range(6000):
+        good = rnd.random() < 0.7
+        rows.append(([0 if rnd.random() < 0.2 else (1 if good else -1) * (1 if rnd.random() < (a if good else b) else -1) for a, b in truth],))
+    model = weak_rules.fit(spark.createDataFrame(rows, "votes array<int>"), 4, 60).first()
+    assert abs(model.prior - 0.7) < 0.05
+    assert all(abs(r.a - a) < 0.05 and abs(r.b - b) < 0.08 for r, (a, b) in zip(model.rates, truth))
+    nothing = weak_rules.fit(spark.createDataFrame([], "votes array<int>"), 4).first()
+    assert nothing is None or all(0 < r.a < 1 and 0 < r.b < 1 for r in nothing.rates or ())
+
+
+def test_fitted_rates_are_those_of_the_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    voted = weak_rules.votes(weak_rules.measures(docs)).where("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words")
+    model = weak_rules.fit(voted, len(weak_rules.RULES)).first()
+    bad = [r.votes for r in voted.join(labels.where("quality = 0"), F.col("id") == F.col("doc_id")).collect()]
+    for k, (rule, rate) in enumerate(zip(weak_rules.RULES, model.rates)):
+        said = [v[k] for v in bad if v[k]]
+        assert abs(rate.b - said.count(-1) / len(said)) < 0.1, rule.name
+        assert 0.9 < rate.a < 1
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 
