@@ -500,6 +500,54 @@ def evidence_format(spark, d):
     return _contexts(spark, d).select("q", fusion.evidence(F.col("contexts")).alias("evidence"))
 
 
+# All four routes. The questions are those of the graph with a benchmark text behind them; a chunk of the graph stands for
+# the document of its number, and one without a number for none.
+_ASKED_ALL = "ask AS (SELECT n_nationkey AS q, 'which suppliers of ' || n_name || ' serve ' || r_name || ' ' || text AS text FROM nation JOIN region ON n_regionkey = r_regionkey JOIN benchmark ON item_id = n_nationkey)"
+_BY_NATION = _DENSE.format("a.vec_id IN (SELECT q FROM ask)")
+_FOUR = _FUSED.format("""SELECT q, id, score, rank, 0 AS route, 'dense' AS source, CAST(0.5 AS DOUBLE) AS w FROM dr WHERE rank <= 20 AND q IN (SELECT q FROM plan WHERE use_dense) UNION ALL
+  SELECT q, id, score, rank, 1, 'bm25', CAST(0.3 AS DOUBLE) FROM br WHERE rank <= 20 AND q IN (SELECT q FROM plan WHERE use_bm25) UNION ALL
+  SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY rank), 2, 'graph', CAST(0.2 AS DOUBLE) FROM gr WHERE rank <= 20 AND id IN (SELECT doc_id FROM documents) AND q IN (SELECT q FROM plan WHERE use_graph) QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank) <= 10 UNION ALL
+  SELECT q, id, score, rank, 3, 'graph_relation', CAST(0.2 AS DOUBLE) FROM rcr WHERE rank <= 10 AND q IN (SELECT q FROM plan WHERE use_relation)""")
+_FOUR_ROUTES = f"""{_KG}, {_EDGES}, {_ASKED_ALL}, {_MATCH}, {_HOPS}, {_BM25.replace("SELECT item_id AS q, unnest", "SELECT q, unnest").replace("FROM benchmark)", "FROM ask)")}, {_BY_NATION},
+  plan AS (SELECT q, pol.* FROM ask JOIN (SELECT * FROM (VALUES ('naive', true, true, false, false), ('local', true, false, true, false), ('global', true, false, true, true), ('hybrid', true, true, true, true)) p(plan_mode, use_dense, use_bm25, use_graph, use_relation)) pol
+    ON plan_mode = CASE q % 5 WHEN 0 THEN 'naive' WHEN 1 THEN 'local' WHEN 2 THEN 'global' ELSE 'hybrid' END),
+  gl AS (SELECT DISTINCT name, CAST(regexp_extract(chunk, '([0-9]+)$', 1) AS BIGINT) AS id FROM allm WHERE regexp_matches(chunk, '[0-9]$')),
+  gs AS (SELECT q, id, CAST(round(sum(score), 6) AS DOUBLE) AS score, min(ord) AS o FROM hop JOIN gl USING (name) GROUP BY q, id), gr AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, o, id) AS rank FROM gs),
+  {_RELATED}, rcs AS (SELECT q, CAST(regexp_extract(chunk, '([0-9]+)$', 1) AS BIGINT) AS id, round(sum(score), 6) AS score, min(rank) AS o FROM rs WHERE rank <= 10 AND score >= 0 GROUP BY ALL),
+  rcr AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, o, id) AS rank FROM rcs), {_FOUR}"""
+
+
+@query(f"WITH {_FOUR_ROUTES} SELECT q, id, fused_score, rank, sources, first_score FROM fr WHERE rank <= 10")
+def four_route_rrf(spark, d):
+    docs, vectors, g = t(spark, d, "documents"), t(spark, d, "embeddings"), _graph(spark, d)
+    texts = t(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("more"))
+    asked = _ask(spark, d).withColumn("q", F.col("q").cast("long")).join(texts, "q").select("q", F.concat_ws(" ", "text", "more").alias("query"), F.expr(_MODES.replace("item_id", "q")).alias("query_mode"))
+    numbered = lambda links, key: links.select(*key, F.regexp_extract("chunk", "([0-9]+)$", 1).try_cast("long").alias("chunk")).where("chunk IS NOT NULL").distinct()
+    bodies = docs.select(F.col("doc_id").alias("id"))
+    own = lambda p: vectors.join(p.select(F.col("q").alias("vec_id")), "vec_id", "left_semi")
+
+    def by_graph(p):
+        seeds = graph.match_entities(p.select("q", F.col("query").alias("text")), g.entities).select("q", "name", "score", F.col("rank").cast("long").alias("ord"))
+        return graph.related_chunks(graph.expand_weighted(seeds, graph.edges(g.relations)), numbered(g.entity_links, ["name"]), bodies)
+
+    def by_relation(p):
+        nations = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("vec_id"), F.col("n_name").alias("head"))
+        rels = g.relations.where("relation = 'IN_REGION'").join(nations, "head").select("vec_id", "head", "relation", "tail")
+        near = dense.top_k(vectors.join(rels.select("vec_id"), "vec_id", "left_semi"), own(p), 10)
+        hits = graph.relation_search(near.join(rels, near.id == rels.vec_id).select("q", "head", "relation", "tail", "score"), 10, 0.0)
+        return graph.relation_chunks(hits, numbered(g.relation_links, kg.TRIPLE))
+
+    routes = {"dense": lambda p: dense.top_k(vectors, own(p), 20), "bm25": lambda p: bm25.top_k(docs, p, 20, query_col="q", query_text_col="query"), "graph": by_graph, "graph_relation": by_relation}
+    return routing.retrieve(routing.with_plan(asked), routes).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_BM25}, {_BY_ITEM}, {_HYBRID}, sc AS (SELECT q, id, max(CASE WHEN source = 'dense' THEN score END) AS dense_score, max(CASE WHEN source = 'bm25' THEN score END) AS bm25_score FROM un GROUP BY q, id)
+  SELECT fr.q, fr.id, fused_score, rank, dense_score, bm25_score FROM fr JOIN sc ON fr.q = sc.q AND fr.id = sc.id WHERE rank <= 30""")
+def hybrid_scores(spark, d):
+    out = fusion.fuse([("dense", 0.5, _by_item(spark, d, 60)), ("bm25", 0.5, _bm25(spark, d, 60))], 30, keep_scores=True)
+    return out.select("q", "id", "fused_score", F.col("rank").cast("long").alias("rank"), F.col("scores")["dense"].alias("dense_score"), F.col("scores")["bm25"].alias("bm25_score"))
+
+
 # Two rounds of every question, under 2q and 2q + 1. One more question has words that no document has.
 _NOWHERE = "zzqqxthe zzqqxof zzqqxand"
 _REWRITTEN = "array_to_string(list_slice(string_split(replace(text, 'zzqqx', ''), ' '), 1, 8), ' ')"

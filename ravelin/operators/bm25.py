@@ -35,8 +35,9 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, stop_words: list[s
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text_col: str = "text", stop_words: list[str] | None = None, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """(query, id, score) for every query and document with a term in common.
 
-    Documents are read once and cut once; only the terms of some query leave a task, as (id, length, term, frequency)
-    rows. A query's repeated terms count as often as they stand there.
+    Only the terms of some query leave a task, as (id, length, term, frequency) rows; the corpus is read for these and
+    for its size. Where many searches are made over one corpus, ``inverted_index`` stores what is cut here each time. A
+    query's repeated terms count as often as they stand there.
     """
     wanted = queries.select(F.col(query_col).alias("q"), F.explode(X.tokens(F.col(query_text_col), stop_words, segment)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     cut = docs.select(F.col(id_col).alias("id"), F.coalesce(X.tokens(F.col(text_col), stop_words, segment), F.array().cast("array<string>")).alias("ws"))

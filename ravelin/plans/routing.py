@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ravelin.operators import fusion
 from ravelin.plans import prompts
+from ravelin.sources.scratch import Scratch
 
 STEPS = ("use_dense", "use_bm25", "use_graph", "use_relation", "use_rerank", "use_evidence_judge")
 #: The steps of each mode; a mode that is not listed is taken as hybrid.
@@ -105,7 +106,7 @@ def retrieve(planned: DataFrame, routes: dict[str, Callable[[DataFrame], DataFra
 NO_EVIDENCE = "no evidence was found"
 
 
-def with_retry(questions: DataFrame, search: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], rewrite: Column, query_col: str = "query", retries: int = 1, rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def with_retry(questions: DataFrame, search: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], rewrite: Column, query_col: str = "query", retries: int = 1, rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, outcome) after at most ``retries`` further rounds.
 
     ``search`` gives (q, id, ...) for questions (q, query, ...), ``rerank`` what stays of the hits of a round, ``judge``
@@ -113,14 +114,18 @@ def with_retry(questions: DataFrame, search: Callable[[DataFrame], DataFrame], j
     is insufficient; one with hits of which the judge says nothing is not. Insufficient questions whose plan has a
     judge are searched again with ``rewrite``, a column over question, current query, missing points and round; a
     blank rewriting or one that was asked before stops. A later round's hits replace the earlier ones.
+
+    A round's hits and what was made of them are written once; later rounds and the result read them from there, so a
+    round searches once however often its hits are used. No round runs without questions.
     """
-    state = questions.withColumns({"question": F.col(query_col), "current": F.col(query_col), "asked": F.array(F.trim(query_col)), "retry_count": F.lit(0)})
+    scratch = scratch or Scratch(questions.sparkSession, "retry")
+    state = scratch.write(questions, "questions").withColumns({"question": F.col(query_col), "current": F.col(query_col), "asked": F.array(F.trim(query_col)), "retry_count": F.lit(0)})
     live, done_hits, done = state, None, None
     none = F.array().cast("array<string>")
     for round_ in range(retries + 1):
         now = live.withColumn(query_col, F.col("current"))
         hits = search(now)
-        hits = rerank(now, hits) if rerank else hits
+        hits = scratch.write(rerank(now, hits) if rerank else hits, f"hits{round_}")
         said = judge(live, hits)
         said = said if "missing" in said.columns else said.withColumn("missing", none)
         found = hits.groupBy("q").agg(F.lit(True).alias("found"))
@@ -130,10 +135,13 @@ def with_retry(questions: DataFrame, search: Callable[[DataFrame], DataFrame], j
         fresh = F.nullif(F.trim(rewrite), F.lit(""))
         judged = judged.withColumn("next", F.when(~F.col("sufficient") & (F.lit(round_) < retries), fresh))
         judged = judged.withColumn("again", F.coalesce(~F.array_contains("asked", F.col("next")), F.lit(False)))
+        judged = scratch.write(judged, f"state{round_}")
         ended = judged.where(~F.col("again")).drop("next", "again")
         kept = hits.join(ended.select("q"), "q", "left_semi")
         done, done_hits = (ended, kept) if done is None else (done.unionByName(ended), done_hits.unionByName(kept))
         live = judged.where("again").withColumns({"current": F.col("next"), "asked": F.array_append("asked", F.col("next")), "retry_count": F.col("retry_count") + 1}).drop("next", "again", "sufficient", "missing")
+        if live.isEmpty():
+            break
     return done_hits, done.withColumn("rounds", F.col("retry_count") + 1)
 
 
