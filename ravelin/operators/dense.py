@@ -1,4 +1,4 @@
-"""Exact dense retrieval: blocks of queries against all vectors, partial top k in every task."""
+"""Exact dense retrieval: blocks of queries against blocks of all vectors, partial top k of every pair."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_QUERIES = 4096
+#: Queries and vectors of one packed row.
+BLOCK_QUERIES, BLOCK_ROWS = 512, 2048
 
 
 def norm(vector: Column) -> Column:
@@ -22,42 +23,62 @@ def normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
+def _packed(vectors: DataFrame, rows: int) -> DataFrame:
+    """(ids, vectors) of (id, v): so many rows as one, their numbers as doubles one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                own = np.asarray(part.column(1).flatten(), "<f8")
+                yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([own.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return vectors.where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(run, "ids array<long>, vectors binary")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "vec_id", block: int = BLOCK_QUERIES) -> DataFrame:
     """(q, id, score, rank) by inner product, in double; ties by the smaller id.
 
-    Queries go to the tasks in blocks of ``block``, so what a task is sent is bounded. Each task keeps its own k best
-    of every query; the window sees tasks times k rows a query.
+    Every query is compared with every vector, as blocks: rows of ``block`` queries meet rows of ``BLOCK_ROWS`` vectors,
+    and each pair is one product of two matrices, of which the k best of each query go on. Neither side passes the
+    driver; a small set of queries goes to every task, by Spark's own measure. Where that is too much to compare,
+    ``vector_index`` looks at the nearest cells first. Rows without id or vector are left out.
     """
-    asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    rows, out = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), None
-    for b in range(blocks):
-        some = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()
-        if not some.num_rows:
-            continue
-        names = some.column("q").to_numpy()
-        matrix = np.array(some.column("v").to_pylist(), np.float64)
-        part = rows.mapInArrow(_partial(names, matrix, k), "q long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.select(F.lit(None).cast("long").alias("q"), F.col("id").cast("long"), F.lit(None).cast("double").alias("score")).limit(0)
+    pack = lambda df, key, rows: _packed(df.select(F.col(key).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")), rows)
+    asked = pack(queries, query_col, block).select(F.col("ids").alias("qs"), F.col("vectors").alias("asked"))
+    pairs = pack(vectors, id_col, BLOCK_ROWS).crossJoin(asked).select("qs", "asked", "ids", "vectors")
+    out = pairs.mapInArrow(best_of_pairs(k, "<f8"), "q long, id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _partial(names: np.ndarray, matrix: np.ndarray, k: int):
+def best_of_pairs(k: int, kind: str):
+    """Of rows (qs, asked, ids, vectors), packed queries and a packed block: the ``k`` best of every query in the block,
+    by inner product in double, rounded to six places; ties by the smaller id. ``kind`` is that of the packed numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = np.zeros((len(names), 0), np.int64)
-        best = np.zeros((len(names), 0))
         for batch in batches:
-            v = batch.column(1)
-            if not batch.num_rows:
-                continue
-            own = np.asarray(v.flatten(), np.float64).reshape(batch.num_rows, -1)
-            best = np.hstack([best, np.round(matrix @ own.T, 6)])
-            best_id = np.hstack([best_id, np.tile(batch.column(0).to_numpy(), (len(names), 1))])
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-        yield pa.record_batch([pa.array(np.repeat(names, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["q", "id", "score"])
+            for row in range(batch.num_rows):
+                qs, ids = (batch.column(c)[row].values.to_numpy() for c in (0, 2))
+                if not len(ids):
+                    continue
+                asked, own = (np.frombuffer(batch.column(c)[row].as_buffer(), kind).reshape(n, -1).astype(np.float64) for c, n in ((1, len(qs)), (3, len(ids))))
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                scores = np.round(asked @ own[order].T, 6)
+                if len(ids) > k:
+                    # All that are as good as the k-th of their query, then of equals the smaller ids.
+                    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                    q, at = np.nonzero(scores >= least[:, None])
+                    value = scores[q, at]
+                    sort = np.lexsort((at, -value, q))
+                    q, at, value = q[sort], at[sort], value[sort]
+                    first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+                    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+                    q, at, value = q[keep], at[keep], value[keep]
+                else:
+                    q, at = np.divmod(np.arange(scores.size), len(ids))
+                    value = scores.ravel()
+                yield pa.record_batch([pa.array(qs[q]), pa.array(ids[at]), pa.array(value)], names=["q", "id", "score"])
 
     return run

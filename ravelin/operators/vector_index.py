@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.operators.dense import best_of_pairs
 from ravelin.sources.scratch import Scratch
 
 #: At most so many cells, so that their centres may go to every task; so many vectors at most are looked at to place
@@ -176,45 +177,13 @@ def _cells_of(centres: np.ndarray, radii: np.ndarray, probes: int | None, start:
     return run
 
 
-def _best(k: int):
-    """The ``k`` best of every query of a packed row among the vectors of a block, by inner product in double; ties by
-    the smaller id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                qs, ids = (batch.column(c)[row].values.to_numpy() for c in (0, 2))
-                if not len(ids):
-                    continue
-                asked, own = (np.frombuffer(batch.column(c)[row].as_buffer(), "<f4").reshape(n, -1).astype(np.float64) for c, n in ((1, len(qs)), (3, len(ids))))
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                scores = np.round(asked @ own[order].T, 6)
-                if len(ids) > k:
-                    # All that are as good as the k-th of their query, then of equals the smaller ids.
-                    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-                    q, at = np.nonzero(scores >= least[:, None])
-                    value = scores[q, at]
-                    sort = np.lexsort((at, -value, q))
-                    q, at, value = q[sort], at[sort], value[sort]
-                    first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-                    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
-                    q, at, value = q[keep], at[keep], value[keep]
-                else:
-                    q, at = np.divmod(np.arange(scores.size), len(ids))
-                    value = scores.ravel()
-                yield pa.record_batch([pa.array(qs[q]), pa.array(ids[at]), pa.array(value)], names=["q", "id", "score"])
-
-    return run
-
-
 def _looked_up(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
     """(q, id, score): the k best of each query in each block of its cells (id, v, cell)."""
     many = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("parts"))
     chunks = asked.join(F.broadcast(many), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts"))).select("cell", "chunk", "id", "v")
     packed = chunks.groupBy("cell", "chunk").applyInArrow(_packed("chunk"), "cell int, chunk long, ids array<long>, vectors binary")
     pairs = packed.select("cell", F.col("ids").alias("qs"), F.col("vectors").alias("asked")).join(index.blocks, "cell")
-    return pairs.select("qs", "asked", "ids", "vectors").mapInArrow(_best(k), "q long, id long, score double")
+    return pairs.select("qs", "asked", "ids", "vectors").mapInArrow(best_of_pairs(k, "<f4"), "q long, id long, score double")
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = 20, probes: int | None = None, exact: bool = False, query_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -17,6 +17,27 @@ def windowed_traces(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return trace.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), size)
 
 
+def distinct_traces(traces: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
+    """A stream of traces (ts, key, ...) without those that repeat a key within ``late``: what a retried writer sends
+    twice counts once, and the state forgets keys that the watermark has passed."""
+    return traces.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def answered(questions: DataFrame, outcomes: DataFrame, key: str = "user_id", within: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(key, asked_at, answered_at, seconds) of a stream of questions (key, ts) and one of outcomes (key, ts): all outcomes
+    of a question's key up to ``within`` after it. A question without one comes out too, once the watermark has passed
+    its time. Neither side is held longer than that."""
+    asked = questions.select(F.col(key), F.col("ts").cast("timestamp").alias("asked_at")).withWatermark("asked_at", late)
+    done = outcomes.select(F.col(key).alias("_key"), F.col("ts").cast("timestamp").alias("answered_at")).withWatermark("answered_at", late)
+    near = (F.col(key) == F.col("_key")) & (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + F.expr(f"INTERVAL {within}"))
+    return asked.join(done, near, "left_outer").select(key, "asked_at", "answered_at", (F.col("answered_at").cast("double") - F.col("asked_at").cast("double")).alias("seconds"))
+
+
+def dropped_as_late(query) -> int:
+    """Rows that a finished query left out because they came behind the watermark."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
 def rolling_summaries(messages: DataFrame, merge: Callable[[str, list[str]], str], recent: int = 6) -> DataFrame:
     """(conv_id, summary, cursor) whenever messages have left a session's recent window.
 
