@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.llm._scratch import Scratch
+
 TILE_WORDS, COVERAGE = 3, 0.8
 BLOCK_BYTES = 16 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -156,40 +158,52 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.withColumn("hash", F.xxhash64("text"))
 
 
-def blocks(items: DataFrame, least: int, block_bytes: int) -> Iterator[Block]:
-    """The distinct texts of the benchmark, under their hashes, in blocks of about ``block_bytes`` bytes.
+def blocks(items: DataFrame, least: int, block_bytes: int, scratch: Scratch) -> Iterator[Callable[[], Block]]:
+    """The distinct texts of the benchmark, under their hashes, in blocks of about ``block_bytes`` bytes; each is read
+    when it is called.
 
-    Which block an item is in follows from its hash, so a block is read by a filter; a longer item is a block by itself.
+    Which block an item is in follows from its hash. The distinct texts are written once, a folder for each block.
     """
     distinct = items.groupBy("hash").agg(F.first("text").alias("text"))
     total = distinct.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    count = -(-total // block_bytes)
+    count = max(1, -(-total // block_bytes))
+    path = scratch.path("items")
+    distinct.withColumn("block", F.pmod("hash", F.lit(count))).write.mode("overwrite").partitionBy("block").parquet(path)
+    stored = items.sparkSession.read.schema("hash long, text string, block long").parquet(path)
+
+    def read(k: int) -> Block:
+        rows = stored.where(F.col("block") == k).collect()
+        return Block([(r.hash, words) for r in rows if len(words := tokens(r.text)) >= least], least)
+
     for k in range(count):
-        rows = distinct.where(F.pmod("hash", F.lit(count)) == k).collect()
-        known = [(r.hash, words) for r in rows if len(words := tokens(r.text)) >= least]
-        if known:
-            yield Block(known, least)
+        yield lambda k=k: read(k)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = TILE_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item, coverage, tiles, words) for every document and item whose tiles cover ``coverage`` of the item.
 
-    Seeds and tiles have ``least`` words or more, so passages that were cut and reordered count in full. The documents
-    are read once for each block of the benchmark and never shuffled. A very long text costs its task some ten numbers
-    a word, whatever it has in common with an item.
+    Seeds and tiles have ``least`` words or more, so passages that were cut and reordered count in full. The benchmark
+    is a set of questions to the corpus: the documents are read once for each block of it and never shuffled, what a
+    block finds is written, and the block leaves the executors before the next one is sent. So one block of
+    ``block_bytes`` is all that a task, or the driver, holds of a benchmark of any size (an item longer than that is
+    held whole). A very long text costs its task some ten numbers a word, whatever it has in common with an item.
 
     Nulls: null texts are empty and match nothing; null ids are kept. Items under ``least`` words have no tile and
     match nothing. Repeated rows and items give a row each; ties of tiles go to the earlier place. Empty tables give an
     empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "tiling")
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("hash long, coverage double, tiles long, words long").fields])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = items_of(benchmark, item_col, item_text_col)
-    out = spark.createDataFrame([], schema)
-    for block in blocks(items, least, block_bytes):
-        out = out.unionByName(rows.mapInArrow(_pairs(spark.sparkContext.broadcast(block), coverage), schema))
-    return out.join(items.select("hash", F.col("key").alias("item")), "hash").select("id", "item", "coverage", "tiles", "words")
+    found = []
+    for k, read in enumerate(blocks(items, least, block_bytes, scratch)):
+        shared = spark.sparkContext.broadcast(read())
+        scratch.write(rows.mapInArrow(_pairs(shared, coverage), schema), f"found/block={k}")
+        shared.destroy()
+        found.append(scratch.path(f"found/block={k}"))
+    return spark.read.schema(schema).parquet(*found).join(items.select("hash", F.col("key").alias("item")), "hash").select("id", "item", "coverage", "tiles", "words")
 
 
 def _pairs(shared, coverage: float) -> Callable:
@@ -207,10 +221,14 @@ def _pairs(shared, coverage: float) -> Callable:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", least: int = TILE_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that cover no item far enough, with all their columns. Nulls, ties and empty tables: as in
-    ``find_contamination``."""
+    """The rows of ``docs`` that cover no item far enough, with all their columns.
+
+    Between blocks of the benchmark the rows that are left are written, so each block meets only what the ones before
+    it left, and one block at a time is with the executors; that of the last stays while the result is read. Nulls,
+    ties and empty tables: as in ``find_contamination``.
+    """
+    spark, out, scratch = docs.sparkSession, docs, Scratch(docs.sparkSession, "tiling")
     field_ = [i for i, f in enumerate(docs.schema.fields) if f.name == text_col][0]
-    spark, out = docs.sparkSession, docs
     item_id = next(f.name for f in benchmark.schema.fields)
 
     def keep(shared):
@@ -220,6 +238,12 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
         return run
 
-    for block in blocks(items_of(benchmark, item_id, item_text_col), least, block_bytes):
-        out = out.mapInArrow(keep(spark.sparkContext.broadcast(block)), docs.schema)
+    todo = list(blocks(items_of(benchmark, item_id, item_text_col), least, block_bytes, scratch))
+    for k, read in enumerate(todo):
+        shared = spark.sparkContext.broadcast(read())
+        out = out.mapInArrow(keep(shared), docs.schema)
+        if k + 1 < len(todo):
+            out = scratch.write(out, f"kept-{k}")
+            shared.destroy()
+            scratch.drop(f"kept-{k - 1}")
     return out

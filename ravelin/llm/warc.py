@@ -5,8 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ BREAK = "\r\n\r\n"  # what ends a record, and so what the text writer puts after
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_A_FILE = 6000
-CHUNK = 1 << 20  # bytes of an archive that are unpacked at a time
+CHUNK = 1 << 20  # bytes of payload in a batch of records, or little more
 
 
 def digest_of(payload: bytes) -> str:
@@ -78,24 +79,20 @@ def write_archives(captures: DataFrame, path: str, scratch, id_col: str, url_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows_ = zip(*(batch.column(i).slice(lo, 500).to_pylist() for i in range(5)))
-                yield pa.record_batch([pa.array([r for x in rows_ for r in capture(*x)], pa.binary())], names=["value"])
+            made, size = [], 0
+            for row in zip(*(batch.column(i) for i in range(5))):
+                made += capture(*(x.as_py() for x in row))
+                size += len(made[-3])
+                if size > CHUNK:
+                    yield pa.record_batch([pa.array(made, pa.binary())], names=["value"])
+                    made, size = [], 0
+            if made:
+                yield pa.record_batch([pa.array(made, pa.binary())], names=["value"])
 
     lines = linked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     lines.write.mode("overwrite").option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    """A gzip file, of any number of members, a part at a time."""
-    while data:
-        member, left = zlib.decompressobj(31), memoryview(data)
-        while not member.eof and (part := member.decompress(left, CHUNK)):
-            yield part
-            left = member.unconsumed_tail
-        data = member.unused_data
-
-
 def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record; blocks are cut by Content-Length, so any bytes may be in them.
     What is held is one record and a part."""
@@ -126,9 +123,13 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = False) ->
 
     The digest and the length of a response are those of the payload that was read; a digest header that disagrees
     raises. A revisit has the digest of its header and no length. The payload itself only with ``keep_payload``.
+
+    Spark's text reader unpacks the archives and cuts them at every two line breaks, wherever these are; what is between
+    comes to a task in the order of the file and is put together again, so no task holds more of an archive than a
+    record and a batch. A record that its archive breaks off is left out.
     """
-    def rows(data: bytes):
-        for head, block in parse(unpacked(data)):
+    def rows(parts: Iterator[bytes]):
+        for head, block in parse(parts):
             kind, digest, size, notes, payload = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, None
             if kind == "response":
                 payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -142,22 +143,26 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = False) ->
     types = [pa.string()] * 5 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
     names = ["record_id", "record_type", "target_uri", "concurrent_to", "digest", "payload_bytes", "notes", "payload"][: 8 if keep_payload else 7]
 
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*found), types, names)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                found: list[tuple] = []
-                size = 0
-                for row in rows(content.as_py()):
-                    found.append(row)
-                    size += len(row[-1] or b"") if keep_payload else 0
-                    if len(found) == 1000 or size > CHUNK:
-                        yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*found), types, names)], names=names)
-                        found, size = [], 0
-                if found:
-                    yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*found), types, names)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORD + (", payload binary" if keep_payload else ""))
+        pieces = ((f, part) for batch in batches for f, part in zip(batch.column(0).to_pylist(), batch.column(1)))
+        found: list[tuple] = []
+        size = 0
+        for _, of in groupby(pieces, itemgetter(0)):
+            for row in rows(chain([next(of)[1].as_py()], (BREAK.encode() + part.as_py() for _, part in of))):
+                found.append(row)
+                size += len(row[-1] or b"") if keep_payload else 0
+                if len(found) == 1000 or size > CHUNK:
+                    yield table(found)
+                    found, size = [], 0
+        if found:
+            yield table(found)
+
+    lines = spark.read.option("lineSep", BREAK).option("pathGlobFilter", "*.gz").text(path)
+    parts = lines.select(F.xxhash64("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("part"))
+    return parts.mapInArrow(run, RECORD + (", payload binary" if keep_payload else ""))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -186,8 +191,8 @@ def resolve(found: DataFrame) -> DataFrame:
 def archive_and_read(captures: DataFrame, scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write ``captures`` to archives in the shared folder, read them back and return one nested row per capture.
 
-    What the archives say of records is read once and written without payloads. A task holds a packed archive (about
-    2,000 captures), of which it unpacks a record at a time.
+    What the archives say of records is read once and written without payloads. An archive has about 2,000 captures, of
+    any size: it is written and read a batch at a time.
 
     Nulls: a null payload is empty, a null URL has no header, a null id no captureId; empty payloads repeat like any
     other. Rows that repeat an id and its payload are responses or revisits alike. No rows, no records.

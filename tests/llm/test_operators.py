@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -521,6 +522,7 @@ def test_contamination(spark):
         rows = tiling.find_contamination(docs, bench, block_bytes=block_bytes).collect()
         assert sorted((r.id, r.item, r.coverage) for r in rows) == [(0, 5, 1.0), (1, 5, 1.0), (5, 5, 1.0), (6, 5, 1.0)]
         assert sorted(r.doc_id for r in tiling.without_contaminated(docs, bench, block_bytes=block_bytes).collect()) == [2, 3, 4]
+    assert tiling.without_contaminated(docs, bench.limit(0)).count() == 7
     assert tiling.find_contamination(docs, bench.limit(0)).count() == 0 and tiling.find_contamination(docs.limit(0), bench).count() == 0
 
 
@@ -551,8 +553,6 @@ def test_long_payloads_and_clashing_columns(spark):
 
 
 def test_records_of_any_parts():
-    import gzip
-
     records = [r for k in range(5) for r in warc.capture(k, f"http://h/{k}", b"WARC/1.1\r\n\r\n" * k, k != 3, "http://h/9")]
     whole = warc.BREAK.encode().join(records) + warc.BREAK.encode()
     expected = list(warc.parse([whole]))
@@ -560,8 +560,18 @@ def test_records_of_any_parts():
     assert [h.get("warc-refers-to-target-uri") for h, _ in expected if h["warc-type"] == "revisit"] == ["http://h/9"]
     for n in (1, 7, 100):
         assert list(warc.parse(whole[i : i + n] for i in range(0, len(whole), n))) == expected
-    packed = gzip.compress(whole[:700]) + gzip.compress(whole[700:])
-    assert b"".join(warc.unpacked(packed)) == whole
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Several gzip members, cut anywhere; bytes that are no UTF-8; line breaks of all kinds; an archive that is cut off."""
+    bodies = [b"\xff\xfe\r\n\r\n\r\r\n\r\n\r\n\x00", b"\r\n\r\n" * 9, b"", b"\r\n\r", "ö\n".encode() * 200_000]
+    whole = warc.BREAK.encode().join(r for k, b in enumerate(bodies) for r in warc.capture(k, f"http://h/{k}", b, True, None)) + warc.BREAK.encode()
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(whole[i : i + 777]) for i in range(0, len(whole), 777)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(warc.capture(8, "u", b"left out", True, None)[0][:-1]))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(warc.BREAK.encode().join(warc.capture(9, "u", b"kept", True, None))))
+    found = warc.read_records(spark, f"file://{tmp_path}", keep_payload=True)
+    assert sorted(bytes(r.payload) for r in found.where("record_type = 'response'").collect()) == sorted([*bodies, b"kept"])
+    assert found.count() == 18 and warc.assemble(found).where("request IS NULL OR metadata IS NULL").count() == 0
 
 
 # --- op5 -------------------------------------------------------------------------------------------------------------
