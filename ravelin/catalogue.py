@@ -54,10 +54,13 @@ def sentence_split(spark, d):
     return cut.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("chars"), F.max(F.length("s")).cast("long").alias("longest"), F.min("s").alias("first_in_order"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents)
-  SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN s = '' OR length(s) > 35 OR regexp_matches(s, '[（(]\s*\d+\s*[)）]|\.{3,}\s*\d+\s*$') OR regexp_matches(s, '^\d+$') THEN NULL
+_LEVEL = r"""CASE WHEN s = '' OR length(s) > 35 OR regexp_matches(s, '[（(]\s*\d+\s*[)）]|\.{3,}\s*\d+\s*$') OR regexp_matches(s, '^\d+$') THEN NULL
     WHEN regexp_matches(s, '^第[一二三四五六七八九十百零\d]+[篇章节卷回部]\s*') THEN 'chapter' WHEN regexp_matches(s, '^[一二三四五六七八九十○零]{1,3}\s+\S') THEN 'section'
-    WHEN regexp_matches(s, '^[一二三四五六七八九十○零]{1,3}、\s*\S') THEN 'section' WHEN regexp_matches(s, '^\d{1,2}\.\s+\S') THEN 'subsection' WHEN regexp_matches(s, '^附[录一二三四五六七八九十\d]') THEN 'appendix' END AS level FROM l""")
+    WHEN regexp_matches(s, '^[一二三四五六七八九十○零]{1,3}、\s*\S') THEN 'section' WHEN regexp_matches(s, '^\d{1,2}\.\s+\S') THEN 'subsection' WHEN regexp_matches(s, '^附[录一二三四五六七八九十\d]') THEN 'appendix' END"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents)
+  SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, {_LEVEL} AS level FROM l""")
 def chapter_title_flags(spark, d):
     return chunking.lines_of(t(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"), X.title_level(F.col("line")).alias("level"))
 
@@ -69,27 +72,51 @@ def line_paragraphs(spark, d):
     return t(spark, d, "documents").select("doc_id", chunking.join_lines(F.col("text")).alias("body"))
 
 
-@query()
+_LINES = rf"""ln AS (SELECT doc_id, i, s, length(s) AS n, TITLE AS level FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents))""".replace("TITLE", _LEVEL)
+
+
+@query(f"""WITH {_LINES}, size AS (SELECT doc_id, count(*) AS lines FROM ln GROUP BY doc_id),
+  part AS (SELECT doc_id, unnest([i // 25 * 25, i // 25 * 25 - 25]) AS s, (n > 0 AND n < 35 AND level IS NOT NULL) AS short_title FROM ln),
+  toc AS (SELECT doc_id, max(s) + 50 AS e FROM (SELECT doc_id, s FROM part JOIN size USING (doc_id) WHERE s >= 0 AND s <= lines - 51 GROUP BY doc_id, s HAVING count(*) FILTER (short_title) / 50.0 > 0.4) GROUP BY doc_id HAVING max(s) + 50 > 100)
+  SELECT doc_id, CAST(coalesce(min(i) FILTER (i >= e AND i < e + 100 AND n > 28), max(e), 0) AS BIGINT) AS body_start FROM ln LEFT JOIN toc USING (doc_id) GROUP BY doc_id""")
 def body_starts(spark, d):
     return t(spark, d, "documents").select("doc_id", chunking.body_start(F.col("text")).cast("long").alias("body_start"))
 
 
-@query()
+# A title counts where fewer than five titles stand between it and the next long line, or the nineteenth.
+@query(f"""WITH {_LINES}, lines AS (SELECT *, lag(n, 1, 0) OVER w AS before, min(i) FILTER (level IS NULL AND n > 35) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  mark AS (SELECT a.doc_id, a.i, any_value(a.s) AS title, any_value(a.level) AS level FROM lines a LEFT JOIN (SELECT doc_id, i FROM ln WHERE level IS NOT NULL) b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 19 AND b.i < coalesce(a.stop, b.i + 1) WHERE a.level IS NOT NULL AND a.before < 20 GROUP BY a.doc_id, a.i HAVING count(b.i) < 5),
+  head AS (SELECT doc_id, 0 AS o, 0 AS i, '前言' AS title, 'preface' AS level FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 1, i, title, level FROM mark),
+  span AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i, o), (SELECT count(*) FROM ln WHERE ln.doc_id = head.doc_id)) - 1 AS e FROM head)
+  SELECT doc_id, title, level, CAST(i AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line FROM span WHERE e > i""")
 def chapter_segments(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(chunking.chapters(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
+# One sentence a step. ``own`` are the sentences since the chunk began, ``carried`` what its overlap holds of those before.
+_CHUNKS = r"""cut AS (SELECT doc_id, [y FOR y IN [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN regexp_extract_all(text, '[^。！？；!?;.]*[。！？；!?;.]|[^。！？；!?;.]+$')] IF y <> ''] AS ss FROM documents WHERE length(text) >= 100),
+  sen AS (SELECT doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS s, len(ss) AS last FROM cut),
+  fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS head, CAST([] AS VARCHAR[]) AS carried, CAST([] AS VARCHAR[]) AS own, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS chunk FROM cut UNION ALL
+    SELECT doc_id, i, CASE WHEN opens THEN h ELSE head END, CASE WHEN opens THEN [x FOR x IN parts IF h <> '' AND contains(h, x)] ELSE carried END, CASE WHEN opens THEN [s] ELSE list_append(own, s) END, CASE WHEN opens THEN length(h) ELSE n END + length(s), CASE WHEN opens THEN head || array_to_string(own, '') END
+    FROM (SELECT *, array_to_string(parts[len(parts) + 1 - len([j FOR j IN range(1, len(parts) + 1) IF length(array_to_string(parts[len(parts) + 1 - j:], '')) <= 80]):], '') AS h
+      FROM (SELECT f.doc_id, e.i, e.s, head, carried, own, n, n > 0 AND n + length(e.s) > 800 AS opens, list_concat(carried, own) AS parts FROM fold f JOIN sen e ON e.doc_id = f.doc_id AND e.i = f.i + 1))),
+  pieces AS (SELECT doc_id, i, false AS final, chunk FROM fold WHERE chunk IS NOT NULL UNION ALL SELECT f.doc_id, f.i, true, head || array_to_string(own, '') FROM fold f JOIN cut c ON f.doc_id = c.doc_id AND f.i = len(ss)),
+  chunks AS (SELECT doc_id, regexp_replace(chunk, '^\s+|\s+$', '', 'g') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY i, final) - 1 AS k FROM pieces WHERE NOT final OR length(regexp_replace(chunk, '^\s+|\s+$', '', 'g')) >= 100)"""
+
+
 def _chunks(spark, d):
     sections = t(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("book"), F.col("source").alias("chapter"), F.lit(0).alias("chapter_idx"), "text")
     return chunking.chunk_books(sections, ENDS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS} SELECT printf('doc%s_ch000_%03d', CAST(doc_id AS VARCHAR), k) AS chunk_id, 'doc' || doc_id AS book, source AS chapter, 0 AS chapter_idx, CAST(k AS INTEGER) AS chunk_idx, c.text, CAST(length(c.text) AS INTEGER) AS char_count
+  FROM chunks c JOIN documents USING (doc_id)""")
 def chunk_documents(spark, d):
     return _chunks(spark, d)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS} SELECT 'doc' || doc_id AS book, count(*) AS chunk_count, sum(length(text)) AS total_chars, CAST(floor(sum(length(text)) / count(*)) AS BIGINT) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars
+  FROM chunks GROUP BY ROLLUP (doc_id)""")
 def chunk_statistics(spark, d):
     return chunking.chunk_stats(_chunks(spark, d))
 
@@ -487,7 +514,18 @@ def _contexts(spark, d):
     return fusion.contexts(_fused(spark, d), bodies)
 
 
-@query()
+_LEFT = "substr(text, 1, 1200 - used)"
+_FULL = f"regexp_extract({_LEFT}, '(?s)^(.*[。！？；!?;' || chr(10) || '])', 1)"
+_SOFT = f"regexp_extract({_LEFT}, '(?s)^(.*[，,、 ])', 1)"
+
+
+@query(rf"""WITH RECURSIVE {_BM25}, {_BY_ITEM}, {_POLICY}, {_ROUTED},
+  c AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY rank) AS no, source, lang, text FROM fr JOIN documents ON doc_id = id WHERE rank <= 5),
+  told AS (SELECT q, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS used, false AS stop, CAST([] AS VARCHAR[]) AS parts FROM c GROUP BY q UNION ALL
+    SELECT q, no, CASE WHEN halt THEN used ELSE used + length(body) END, halt, CASE WHEN halt THEN parts ELSE list_append(parts, body) END
+    FROM (SELECT q, no, used, parts, stop OR (length(text) > 1200 - used AND 1200 - used < 30) AS halt, '[' || no || '] 《' || source || '》' || lang || '：' || CASE WHEN length(text) <= 1200 - used THEN text WHEN {_FULL} <> '' THEN regexp_replace({_FULL}, '\s+$', '') WHEN {_SOFT} <> '' THEN regexp_replace({_SOFT}, '\s+$', '') ELSE regexp_replace({_LEFT}, '\s+$', '') || '...' END AS body
+      FROM (SELECT c.*, used, parts, stop FROM told JOIN c ON c.q = told.q AND c.no = told.no + 1 WHERE c.no <= 3)))
+  SELECT q, array_to_string(parts, chr(10) || chr(10)) AS context FROM told QUALIFY no = max(no) OVER (PARTITION BY q)""")
 def context_budget(spark, d):
     return _contexts(spark, d).select("q", fusion.context_text(F.col("contexts")).alias("context"))
 
