@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions import lexicons as L
 from ravelin.functions import segment
 from ravelin.functions import text as X
 from ravelin.operators import bm25, chunking, dense, fusion, graph, inverted_index, kg, memory, trace, vector_index
@@ -315,6 +316,70 @@ def kg_relations(spark, d):
     return _relations(spark, d).select("head", "relation", "tail", "description", "chunk_count", "first_chunk", "last_chunk")
 
 
+# Names as a model writes them: an order mentions its customer with honorifics, or someone under an alias, or what is noise.
+_ALIASES = {alias: name for name, forms in L.NAME_ALIASES.items() for alias in forms}
+_listed = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "]"
+
+
+def _without_suffixes(table: str) -> str:
+    for suffix in L.NAME_SUFFIXES:
+        table = f"(SELECT * REPLACE (CASE WHEN ends_with(name, '{suffix}') AND length(name) >= {len(suffix) + 2} THEN left(name, length(name) - {len(suffix)}) ELSE name END AS name) FROM {table})"
+    return f"SELECT * REPLACE (trim(name) AS name) FROM {table}"
+
+
+_NAMED = f"""said AS (SELECT o_orderkey AS ord, 'order:' || o_orderkey AS chunk, CASE o_orderkey % 3 WHEN 0 THEN 'OTHER' ELSE 'PERSON' END AS type, o_orderstatus || repeat('!', o_orderkey % 4) AS description, n_name, n_nationkey,
+    CASE o_orderkey % 5 WHEN 0 THEN c_name || '先生' WHEN 1 THEN c_name || '兄公' WHEN 2 THEN c_name WHEN 3 THEN {_listed(_ALIASES)}[1 + (o_orderkey // 5) % {len(_ALIASES)}] ELSE CASE o_orderkey % 2 WHEN 0 THEN {_listed(L.NOISE_NAMES)}[1 + (o_orderkey // 5) % {len(L.NOISE_NAMES)}] ELSE CAST(o_orderkey AS VARCHAR) END END AS name
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  plain AS ({_without_suffixes("said")}), known AS (SELECT *, CASE name {" ".join(f"WHEN '{a}' THEN '{n}'" for a, n in _ALIASES.items())} ELSE name END AS standard FROM plain WHERE length(name) > 1 AND name NOT IN (SELECT unnest({_listed(L.NOISE_NAMES)})) AND NOT regexp_matches(name, '^[0-9]+$')),
+  people AS (SELECT standard AS name, coalesce(arg_min(type, ord) FILTER (WHERE type <> 'OTHER'), 'OTHER') AS type, arg_max(description, (length(description), -ord)) AS description, count(DISTINCT chunk) AS chunk_count, min(chunk) AS first_chunk, max(chunk) AS last_chunk, min(ord) AS ord,
+    coalesce(list_sort(list(DISTINCT name) FILTER (WHERE name <> standard)), []) AS aliases FROM known GROUP BY standard)"""
+
+
+def _said(spark, d):
+    """(name, type, description, chunk, ord, n_name, n_nationkey): one name of an order."""
+    key, name = F.col("o_orderkey"), F.col("c_name")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (F.floor(key / 5) % len(names)).cast("int"))
+    noise = F.when(key % 2 == 0, pick(L.NOISE_NAMES)).otherwise(key.cast("string"))
+    form = F.when(key % 5 == 0, F.concat(F.lit("  "), name, F.lit("先生"))).when(key % 5 == 1, F.concat(name, F.lit("兄公 "))).when(key % 5 == 2, name).when(key % 5 == 3, pick(_ALIASES)).otherwise(noise)
+    kind = F.when(key % 3 == 0, "no such type").when(key % 3 == 1, "人物").otherwise(" person ")
+    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    description = F.concat("o_orderstatus", F.expr("repeat('!', cast(o_orderkey % 4 as int))"))
+    return rows.select(form.alias("name"), kind.alias("type"), description.alias("description"), F.concat(F.lit("order:"), key).alias("chunk"), key.cast("long").alias("ord"), "n_name", "n_nationkey")
+
+
+def _bought(spark, d):
+    """Triples of the names of orders and their nations."""
+    return _said(spark, d).select(F.col("name").alias("head"), F.col("type").alias("head_type"), F.lit("BUYS_IN").alias("relation"), F.col("n_name").alias("tail"), F.lit("loc").alias("tail_type"), F.lit("").alias("description"), "chunk", "ord")
+
+
+def _people(spark, d):
+    no_triples = _bought(spark, d).where(F.lit(False))  # of mentions alone
+    return kg.entity_table(_said(spark, d).drop("n_name", "n_nationkey"), no_triples)
+
+
+@query(f"WITH {_NAMED} SELECT name, type, description, array_to_string(aliases, ',') AS aliases, chunk_count, first_chunk, last_chunk FROM people")
+def kg_named_entities(spark, d):
+    return _people(spark, d).select("name", "type", "description", F.array_join("aliases", ",").alias("aliases"), "chunk_count", "first_chunk", "last_chunk")
+
+
+@query(f"""WITH {_NAMED} SELECT standard AS head, 'BUYS_IN' AS relation, n_name AS tail, count(DISTINCT chunk) AS chunk_count, min(chunk) AS first_chunk, max(chunk) AS last_chunk FROM known WHERE n_nationkey % 2 = 0 GROUP BY standard, n_name""")
+def kg_known_relations(spark, d):
+    """Relations whose ends are both entities: of the nations, only those of even numbers are."""
+    nations = t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"))
+    known = _people(spark, d).select("name").unionByName(nations)
+    return kg.relation_table(_bought(spark, d), known).select("head", "relation", "tail", "chunk_count", "first_chunk", "last_chunk")
+
+
+@query(f"""WITH {_NAMED}, ask AS (SELECT c_custkey AS q, 'what did ' || c_name || ' and ' || {_listed(_ALIASES)}[1 + c_custkey % {len(_ALIASES)}] || ' order' AS text FROM customer),
+  form AS (SELECT name, ord, name AS form, 0 AS kind FROM people UNION ALL SELECT name, ord, unnest(aliases), 1 FROM people), hit AS (SELECT q, name, ord, min(kind) AS kind FROM ask JOIN form ON contains(text, form) GROUP BY q, name, ord)
+  SELECT q, name, CAST(CASE kind WHEN 0 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score, CASE kind WHEN 0 THEN 'exact' ELSE 'alias' END AS match, row_number() OVER (PARTITION BY q ORDER BY kind, ord, name) AS rank FROM hit QUALIFY rank <= 5""")
+def entity_match_aliases(spark, d):
+    """What stands in a question under its own name comes before what stands there under an alias only."""
+    alias = F.get(F.array(*map(F.lit, _ALIASES)), (F.col("c_custkey") % len(_ALIASES)).cast("int"))
+    asked = t(spark, d, "customer").select(F.col("c_custkey").alias("q"), F.concat(F.lit("what did "), "c_name", F.lit(" and "), alias, F.lit(" order")).alias("text"))
+    return graph.match_entities(asked, _people(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"WITH {_KG} SELECT type, count(*) AS n FROM ents GROUP BY type")
 def kg_type_hist(spark, d):
     return _entities(spark, d).groupBy("type").agg(F.count("*").alias("n"))
