@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ravelin.functions.order import numbered
-from ravelin.operators.spread import spread, to_parts
+from ravelin.operators.spread import hubs_of, spread, to_parts, with_parts
 from ravelin.sources.scratch import Scratch
 
 DECAY = 0.5
@@ -40,14 +46,28 @@ def match_entities(queries: DataFrame, entities: DataFrame, vector_hits: DataFra
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("kind", "ord")
 
 
-def reachable(seeds: DataFrame, adjacency: DataFrame, depth: int = 2) -> DataFrame:
-    """(q, name, hops) of everything within ``depth`` steps of (q, name), the seeds included though unknown."""
-    seen = seeds.select("q", "name").distinct().withColumn("hops", F.lit(0))
-    front = seen
-    steps = adjacency.select("source", "target").distinct()
+#: So many names of a frontier go to every task, to leave out edges that start elsewhere before these are shuffled.
+FRONT_NAMES = 500_000
+
+
+def _from(front: DataFrame, edge_rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """The rows of edges that start at a name of the frontier (source, ...), or all where these names are many."""
+    names = scratch.write(front.select("source").distinct(), name)
+    return edge_rows.join(F.broadcast(names), "source", "left_semi") if names.limit(FRONT_NAMES + 1).count() <= FRONT_NAMES else edge_rows
+
+
+def reachable(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, scratch: Scratch | None = None) -> DataFrame:
+    """(q, name, hops) of everything within ``depth`` steps of (q, name), the seeds included though unknown. Each
+    frontier is written once; edges are read as they are, and what they lead to counts once."""
+    scratch = scratch or Scratch(seeds.sparkSession, "reach")
+    steps = adjacency.select("source", "target")
+    hubs = scratch.write(spread(steps, "source", ["target"])[1], "hubs")
+    dealt = with_parts(steps, "source", hubs, ["target"])
+    seen = front = scratch.write(seeds.select("q", "name").distinct().withColumn("hops", F.lit(0)), "seeds")
     for hop in range(1, depth + 1):
-        after = front.join(steps, front.name == steps.source).select("q", F.col("target").alias("name")).distinct()
-        front = after.join(seen, ["q", "name"], "left_anti").withColumn("hops", F.lit(hop))
+        asked = to_parts(front.select("q", F.col("name").alias("source")), "source", hubs, "source")
+        after = asked.join(_from(asked, dealt, f"from{hop}", scratch), ["source", "part"]).select("q", F.col("target").alias("name")).distinct()
+        front = scratch.write(after.join(seen, ["q", "name"], "left_anti").withColumn("hops", F.lit(hop)), f"front{hop}")
         seen = seen.unionByName(front)
     return seen
 
@@ -62,17 +82,17 @@ def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, deca
     scratch = scratch or Scratch(seeds.sparkSession, "expansion")
     first = seeds.groupBy("q", "name").agg(F.min(F.struct(F.col("ord").cast("long").alias("ord"), F.col("score").cast("double").alias("score"))).alias("x"))
     seen = scratch.write(first.select("q", "name", "x.score", "x.ord"), "seeds")
-    dealt, hubs = spread(adjacency.select("source", "target", "edge_ord"), "source", ["target", "edge_ord"])
-    dealt, hubs = scratch.write(dealt, "adjacency"), scratch.write(hubs, "hubs")
+    steps = adjacency.select("source", "target", "edge_ord")
+    hubs = scratch.write(spread(steps, "source", ["target", "edge_ord"])[1], "hubs")
+    dealt = with_parts(steps, "source", hubs, ["target", "edge_ord"])
     front, base = seen, 1 << 32
     for hop in range(1, depth + 1):
         asked = to_parts(front.select("q", F.col("name").alias("source"), "score", F.col("ord").alias("parent_ord")), "source", hubs, "source")
-        near = asked.join(dealt, ["source", "part"]).groupBy("q", F.col("target").alias("name")).agg(F.min(F.struct("parent_ord", "edge_ord", "score")).alias("x"))
+        near = asked.join(_from(asked, dealt, f"from{hop}", scratch), ["source", "part"]).groupBy("q", F.col("target").alias("name")).agg(F.min(F.struct("parent_ord", "edge_ord", "score")).alias("x"))
         near = near.join(seen.select("q", "name"), ["q", "name"], "left_anti").select("q", "name", "x.*")
         placed = numbered(near, ["q", "parent_ord", "edge_ord", "name"], f"hop{hop}", scratch)
-        low = placed.groupBy("q").agg(F.min(f"hop{hop}").alias("low"))
+        low = scratch.write(placed.groupBy("q").agg(F.min(f"hop{hop}").alias("low")), f"low{hop}")
         front = placed.join(low, "q").select("q", "name", (F.col("score") * decay).alias("score"), (F.lit(base) + 1 + F.col(f"hop{hop}") - F.col("low")).cast("long").alias("ord"))
-        front = scratch.write(front, f"front{hop}")
         seen, base = seen.unionByName(front), base << 1
     return seen
 
@@ -82,18 +102,99 @@ def chunk_links(entities: DataFrame, key: list[str]) -> DataFrame:
     return entities.select(*key, F.explode("source_chunks").alias("id") if "source_chunks" in entities.columns else F.col("chunk").alias("id"))
 
 
-def related_chunks(scored: DataFrame, entities: DataFrame, chunks: DataFrame | None = None, first: int = 20, k: int = 10) -> DataFrame:
+#: Queries whose scores are added up side by side: a name says by one bit of a number which of them found it.
+SIDE = 32
+
+
+def related_chunks(scored: DataFrame, entities: DataFrame, chunks: DataFrame | None = None, first: int = 20, k: int = 10, scratch: Scratch | None = None) -> DataFrame:
     """(q, id, score, rank, matched_entities): chunks by the summed score of their entities, which are a link table
-    (name, chunk) or rows with lists of chunks. Of the first ``first``, those whose body is missing go, and ``k`` of the
-    others stay. Names of many chunks are dealt over parts."""
+    (name, chunk), where repeated links count once, or rows with lists of chunks. Of the first ``first``, those whose body
+    is missing go, and ``k`` of the others stay. ``scored`` has a name once a query.
+
+    A link is moved once to its name and once to its chunk, whatever the number of queries: there, ``SIDE`` queries are
+    added up at a time, and only chunks that can be among the first of a query leave the task. The places of their
+    entities, which order equal scores, are looked up for these alone. Names and chunks of many links are dealt over
+    parts; such a chunk's sums are added up once more.
+    """
+    scratch = scratch or Scratch(scored.sparkSession, "related")
     named = scored.select("q", "name", "score", "ord")
     matched = named.groupBy("q").agg(F.count("*").alias("matched_entities"))
-    links, hubs = spread(chunk_links(entities, ["name"]), "name", ["id"])
-    joined = to_parts(named, "name", hubs, "name").join(links, ["name", "part"])
-    part = joined.groupBy("q", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.min(F.struct("ord", "id")).alias("seen"))
+    order = scratch.write(numbered(named.select("q").distinct(), ["q"], "no", scratch), "queries")
+    asked = named.join(order, "q").groupBy("name", F.floor(F.col("no") / SIDE).cast("int").alias("block"), F.col("score").cast("double").alias("score"))
+    asked = asked.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(no % {SIDE} as int))")).alias("bits"))
+    every = chunk_links(entities, ["name"]).where("id IS NOT NULL")
+    links, hubs = spread(every, "name", ["id"])
+    met = to_parts(asked, "name", hubs, "name").join(links, ["name", "part"]).groupBy("name", "part", "id", "block", "score").agg(F.first("bits").alias("bits"))
+    many = scratch.write(hubs_of(every, "id"), "many")
+    met = with_parts(met.drop("part"), "id", many, ["name"]).join(many, "id", "left").select("id", "part", F.col("parts").isNotNull().alias("dealt"), "block", "score", "bits")
+    sums = met.repartition("id", "part").sortWithinPartitions("id", "part", "block").mapInArrow(_sums(first), T.StructType([T.StructField("id", every.schema["id"].dataType), *T._parse_datatype_string("dealt boolean, no long, score double").fields]))
+    sums = scratch.write(sums, "sums")
+    whole = sums.where("NOT dealt").select("id", "no", "score").unionByName(sums.where("dealt").groupBy("id", "no").agg(F.sum("score").alias("score")))
+    best = F.rank().over(Window.partitionBy("no").orderBy(F.desc("score")))
+    near = whole.withColumn("score", F.round("score", 6)).withColumn("best", best).where(F.col("best") <= first).join(order, "no").select("q", "id", "score")
+    near = scratch.write(near, "near")
+    own = every.join(near.select("id").distinct(), "id", "left_semi")
+    seen = named.join(own, "name").join(near.select("q", "id"), ["q", "id"]).groupBy("q", "id").agg(F.min("ord").alias("ord"))
+    part = near.join(seen, ["q", "id"]).select("q", "id", "score", F.struct("ord", "id").alias("seen"))
     return _ranked(part, chunks, first, k).join(matched, "q")
 
 
+def _sums(first: int):
+    """From (id, part, dealt, block, score, bits) sorted by id, part and block to (id, dealt, no, score): the sum of every
+    query of a block that has a bit. Of chunks that are not dealt out, those below the ``first`` best of their query that
+    the task has seen so far are left out; equal ones stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        held: pa.Table | None = None
+
+        def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            starts = np.r_[0, _turns(rows)]
+            bits, block = rows.column("bits").to_numpy(), rows.column("block").to_numpy()
+            dealt = rows.column("dealt").to_numpy()[starts]
+            for lo in range(0, len(starts), 4096):
+                at = starts[lo : lo + 4096]
+                end = starts[lo + 4096] if lo + 4096 < len(starts) else len(bits)
+                mine = bits[at[0] : end, None] >> np.arange(SIDE) & 1
+                total = np.add.reduceat(mine * rows.column("score").to_numpy()[at[0] : end, None], at - at[0], axis=0)
+                has = np.maximum.reduceat(mine, at - at[0], axis=0) > 0
+                for b in np.unique(block[at]):
+                    pick = np.flatnonzero(block[at] == b)
+                    own, there, all_of = total[pick], has[pick], dealt[lo + pick]
+                    cold = np.where(there & ~all_of[:, None], own, -np.inf)
+                    top = np.concatenate([best.get(b, np.full((first, SIDE), -np.inf)), cold])
+                    best[b] = -np.partition(-top, first - 1, axis=0)[:first]
+                    # Sums are rounded later: what falls short by less than that stays.
+                    row, bit = np.nonzero(there & (all_of[:, None] | (own >= best[b].min(axis=0) - 2e-6)))
+                    ids = rows.column("id").take(pa.array(at[pick[row]])).combine_chunks()
+                    yield pa.record_batch([ids, pa.array(all_of[row]), pa.array(int(b) * SIDE + bit), pa.array(own[row, bit])], names=["id", "dealt", "no", "score"])
+
+        for batch in batches:
+            now = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)]).combine_chunks()
+            turns = _turns(now)
+            if not len(turns):
+                held = now
+                continue
+            held = now.slice(turns[-1])
+            yield from work(now.slice(0, turns[-1]))
+        if held is not None and held.num_rows:
+            yield from work(held)
+
+    return run
+
+
+def _turns(rows: pa.Table) -> np.ndarray:
+    """Where a row has another id, part or block than the one before."""
+    n = rows.num_rows
+    if n < 2:
+        return np.empty(0, np.int64)
+    new = np.zeros(n - 1, bool)
+    for c in ("id", "part", "block"):
+        own = rows.column(c).combine_chunks()
+        new |= pc.not_equal(own.slice(1), own.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new) + 1
+
+
 def graph_search(queries: DataFrame, entities: DataFrame, adjacency: DataFrame, chunks: DataFrame | None = None, vector_hits: DataFrame | None = None, depth: int = 2, first: int = 20, k: int = 10, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, expansion) of (q, text): ``hits`` as of ``related_chunks``; ``expansion`` has the matched entities of each
     query that matched any and the names of the first ``first`` it was expanded to, seeds included."""
@@ -129,8 +230,11 @@ def relation_search(scores: DataFrame, k: int = 10, least: float = 0.5) -> DataF
 
 def paths(adjacency: DataFrame, centre: DataFrame, most: int = 200) -> DataFrame:
     """Edges on undirected paths of one or two steps from (name) rows, one per pair of ends, in a fixed order."""
-    one = adjacency.join(centre.select(F.col("name").alias("source")), "source", "left_semi").select("source", "target")
-    two = one.select(F.col("target").alias("source")).distinct().join(adjacency.select("source", "target"), "source")
+    scratch = Scratch(adjacency.sparkSession, "paths")
+    steps = adjacency.select("source", "target")
+    one = scratch.write(steps.join(centre.select(F.col("name").alias("source")), "source", "left_semi").distinct(), "one")
+    ends = one.select(F.col("target").alias("source")).distinct()
+    two = _from(ends, steps, "ends", scratch).join(ends, "source", "left_semi").distinct()
     return one.unionByName(two).distinct().orderBy("source", "target").limit(most)
 
 
@@ -142,15 +246,18 @@ def simple_paths(adjacency: DataFrame, centres: DataFrame, most: int = 200) -> D
     Only as many first steps are carried on as there can be paths, and of those only the ones that lead on, so the two
     steps of a hub do not meet.
     """
+    # A loop stands there from both of its ends, but is one step: what is read of a step twice goes where it is used.
+    scratch = Scratch(adjacency.sparkSession, "paths")
     steps = adjacency.select("source", "target", F.floor(F.col("edge_ord") / 2).alias("edge"))
-    # A loop stands there from both of its ends, but is one step.
-    steps = steps.dropDuplicates(["source", "target", "edge"])
     nth = lambda *order: F.row_number().over(Window.partitionBy("centre").orderBy(*order))
-    one = centres.select(F.col("name").alias("centre")).distinct().join(steps, F.col("centre") == F.col("source")).select("centre", "target", F.col("edge").alias("e1"))
-    degree = steps.join(one.select(F.col("target").alias("source")).distinct(), "source", "left_semi").groupBy("source").agg(F.count("*").alias("degree")).where("degree > 1")
+    one = steps.join(centres.select(F.col("name").alias("source")).distinct(), "source").select(F.col("source").alias("centre"), "target", F.col("edge").alias("e1")).distinct()
+    one = scratch.write(one, "one")
+    from_one = _from(one.select(F.col("target").alias("source")), steps, "vias", scratch)
+    degree = from_one.join(one.select(F.col("target").alias("source")).distinct(), "source", "left_semi").distinct().groupBy("source").agg(F.count("*").alias("degree")).where("degree > 1")
     leads = one.join(degree.select(F.col("source").alias("target")), "target", "left_semi").withColumn("n", nth("e1")).where(F.col("n") <= most)
-    second = steps.select(F.col("source").alias("via"), F.col("target").alias("end"), F.col("edge").alias("e2"))
-    two = leads.withColumnRenamed("target", "via").join(second, "via").where("e1 <> e2").select("centre", F.col("end").alias("target"), F.array("e1", "e2").alias("edges"))
+    leads = scratch.write(leads.select("centre", F.col("target").alias("via"), "e1"), "leads")
+    second = _from(leads.select(F.col("via").alias("source")), steps, "leading", scratch).select(F.col("source").alias("via"), F.col("target").alias("end"), F.col("edge").alias("e2"))
+    two = leads.join(second, "via").where("e1 <> e2").distinct().select("centre", F.col("end").alias("target"), F.array("e1", "e2").alias("edges"))
     every = one.select("centre", "target", F.array("e1").alias("edges")).unionByName(two).withColumn("hops", F.size("edges").cast("long"))
     return every.withColumn("path_no", nth("hops", "edges").cast("long")).where(F.col("path_no") <= most).select("centre", "path_no", "target", "hops", "edges")
 

@@ -214,3 +214,35 @@ def test_stored_graph_is_that_of_the_lists(spark):
     assert {tuple(r) for r in built.relation_links.collect()} == {(r.head, r.relation, r.tail, c) for r in kg.relations(triples).collect() for c in r.source_chunks}
     assert {tuple(r) for r in kg.relation_links(triples).collect()} == {tuple(r) for r in built.relation_links.collect()}
     assert math.isclose(kg.stats(built.entities, built.relations).first().description_coverage, 0.5)
+
+
+def test_names_of_a_graph_are_those_of_the_stored_graph(spark, monkeypatch):
+    mentions = spark.createDataFrame([("嘉庚", "人物", "short", "c1", 1), ("陈嘉庚", "other", "longer text", "c2", 2), ("我们", "人物", "x", "c1", 3), ("厦大", "学校", "", None, 4)], "name string, type string, description string, chunk string, ord long")
+    triples = spark.createDataFrame([("嘉庚", "人物", "founds", "厦门大学", "组织", "d", "c4", 1), ("嘉庚", "人物", "is", "陈嘉庚", "人物", "loop", "c4", 2), ("陈嘉庚先生", "人物", "founds", "厦大", "组织", "longer", "c5", 3), ("12", "人物", "founds", "厦大", "组织", "noise", "c6", 4)], "head string, head_type string, relation string, tail string, tail_type string, description string, chunk string, ord long")
+    stored = kg.build(mentions, triples, Scratch(spark, "t"))
+    for most in (100, 0):
+        monkeypatch.setattr(kg, "CHANGED_NAMES", most)
+        built = kg.build_names(mentions, triples, Scratch(spark, "t"))
+        for table, same in (("entities", ["name", "type", "description", "ord", "aliases"]), ("relations", ["head", "relation", "tail", "ord"])):
+            assert sorted(map(repr, getattr(built, table).select(same).collect())) == sorted(map(repr, getattr(stored, table).select(same).collect()))
+        for table in ("entity_links", "relation_links"):
+            assert {tuple(r) for r in getattr(built, table).collect()} == {tuple(r) for r in getattr(stored, table).collect()}
+
+
+def test_chunk_sums_of_many_queries_and_repeated_links(spark, monkeypatch):
+    from ravelin.operators import graph as g
+
+    scored = [(q, f"n{i}", (i * 7 + q) % 5 / 4, i) for q in range(70) for i in range(12) if (i + q) % 3]
+    links = [(f"n{i}", c) for i in range(12) for c in ("all", f"c{i % 4}", f"c{i % 5}", f"c{i % 4}")]
+    sums = {}
+    for q, n, s, o in scored:
+        for c in {c for m, c in links if m == n}:
+            old = sums.get((q, c), (0.0, 99))
+            sums[q, c] = (old[0] + s, min(old[1], o))
+    expected = {(q, i + 1, c, round(s, 6)) for q in range(70) for i, (s, o, c) in enumerate(sorted(((s, o, c) for (p, c), (s, o) in sums.items() if p == q), key=lambda x: (-x[0], x[1], x[2]))[:3])}
+    rows = spark.createDataFrame(scored, "q long, name string, score double, ord long")
+    table = spark.createDataFrame(links, "name string, chunk string")
+    for part_rows in (50_000, 5):
+        monkeypatch.setattr(g, "spread", lambda r, key, by: spread.spread(r, key, by, part_rows))
+        monkeypatch.setattr(g, "hubs_of", lambda r, key: spread.hubs_of(r, key, part_rows))
+        assert {(r.q, r["rank"], r.id, r.score) for r in g.related_chunks(rows, table, first=4, k=3).collect()} == expected
