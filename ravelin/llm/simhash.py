@@ -35,7 +35,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     starts = (ends - [len(w) + 1 for w in words]).tolist()
     stops = (ends - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :])] or [digest(line, seed)], np.uint64)
+    return of_hashes(np.array([digest(line[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :])] or [digest(line, seed)], np.uint64))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if set in over half of them. None give zero."""
     places = hashes.view(np.uint8).reshape(-1, 8) + _PLACE
     votes = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(_POWER[(2 * votes > len(hashes)).ravel()].sum())

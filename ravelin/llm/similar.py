@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: MinHash bands give pairs, the sets themselves decide."""
+"""Near-duplicates by the Jaccard similarity of shingle sets: SimHash fingerprints in pigeonhole blocks give pairs, MinHash
+bands those whose fingerprints lie further apart, and the sets themselves decide."""
 
 from __future__ import annotations
 
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.llm import simhash
 from ravelin.llm._graph import connected_components
 from ravelin.llm._scratch import Scratch
 from ravelin.llm.simhash import BRUTE
 
 #: A pair of similarity 0.8 agrees on none of the bands with a chance of (1 - 0.8 ** ROWS) ** BANDS, 7 in 100,000.
 BANDS, ROWS = 24, 5
+#: Bits in which fingerprints of candidates differ at most.
+BITS = 4
 BLOCK = 256  # nodes, about, of a key that are compared with as many at a time
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(43).integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,7 +93,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select(F.posexplode("bands").alias("t", "k"), "node")
-    return keyed.repartition("t", "k").sortWithinPartitions("t", "k", "node").mapInArrow(_pairs, "a long, b long").distinct()
+    return keyed.repartition("t", "k").sortWithinPartitions("t", "k", "node").mapInArrow(_pairs, "a long, b long")
+
+
+def _by_fingerprint(nodes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(a, b): the first node of a fingerprint with its others, and the first nodes of fingerprints that share a block and
+    differ in at most ``distance`` bits."""
+    own = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    near = scratch.write(simhash.link_fingerprints(own.select("fp"), distance, own.count()), "near")
+    ends = [own.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+    same = nodes.select("fp", "node").join(own, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    return across.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
@@ -163,15 +178,16 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The row of the smallest id of every component of texts whose shingle sets have a Jaccard similarity of ``least``
     or more, with the columns of ``docs``; among rows that repeat that id, the first that was written.
 
-    Texts of the same set, told apart by a 64-bit hash of it, are one node, so copies add nothing to a band. Pairs are
-    those that agree on a band; every one is decided by its sets. Null texts and those without words are alike. A null
+    Texts of the same set, told apart by a 64-bit hash of it, are one node, so copies add nothing to a band or block. Pairs
+    are those whose SimHash fingerprints, of the set, share a pigeonhole block and differ in at most BITS bits, and those
+    that agree on a MinHash band, since similarity ``least`` reaches further than BITS; every one is decided by its sets. Null texts and those without words are alike. A null
     id is larger than any other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     fields = docs.schema.fields
     field = [i for i, f in enumerate(fields) if f.name == text_col][0]
-    extra = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    extra = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     marked = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + extra)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +195,8 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = [shingle_set(t.as_py(), shingle) for t in batch.column(field)]
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
             bands = [band_keys(x).view(np.int64) for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array(bands, pa.list_(pa.int64()))], names=marked.names)
+            fps = np.fromiter((simhash.of_hashes(x) for x in found), np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))], names=marked.names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +208,9 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.col(f"c{[f.name for f in fields].index(id_col)}")
     order = F.struct(key.isNull().alias("none"), key.alias("id"), "row")
     first = scratch.write(table.groupBy("node").agg(F.min(order).alias("first"), F.min("row").alias("at")), "first")
-    nodes = table.select("row", "bands").join(first.select("node", F.col("at").alias("row")).hint("merge"), "row").select("node", "bands")
+    nodes = table.select("row", "fp", "bands").join(first.select("node", F.col("at").alias("row")).hint("merge"), "row").select("node", "fp", "bands")
     nodes = scratch.write(nodes, "nodes")
-    pairs = scratch.write(_candidates(nodes), "pairs")
+    pairs = scratch.write(_by_fingerprint(nodes, BITS, scratch).unionByName(_candidates(nodes)).distinct(), "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", F.col("at").alias("row")), "node")
     texts = table.select("row", F.col(f"c{field}").cast("string").alias("text")).join(members.hint("merge"), "row")
     sets = scratch.write(texts.select("node", "text").mapInArrow(gather, "node long, hashes binary"), "sets")

@@ -715,3 +715,17 @@ def test_queries_and_pipeline(spark, small):
         docs = spark.createDataFrame(after.collect(), docs.schema)
     packed = corpus_pipeline.run(spark, small)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_near_dedup_stage_takes_pairs_from_fingerprints(spark, monkeypatch):
+    """Without bands, pairs whose fingerprints are near still meet and are decided by their sets."""
+    import corpus_pipeline
+
+    words = [f"w{i * i % 977}x{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join([*words, "more"]), " ".join(f"other{i}" for i in range(300))]
+    fps = [simhash.of_hashes(similar.shingle_set(x)) for x in texts]
+    assert all((fps[0] ^ x).bit_count() <= similar.BITS for x in fps[1:3]) and (fps[0] ^ fps[3]).bit_count() > similar.BITS
+    monkeypatch.setattr(similar, "_candidates", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    docs = documents(spark, texts)
+    ids = sorted(r.doc_id for r in docs.collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [ids[0], ids[3]]
