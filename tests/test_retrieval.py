@@ -134,3 +134,23 @@ def test_evidence_numbers_what_is_given(spark):
     rows = [(1, [(1, 7, "B", "one", "x"), (4, 8, None, "", None), (5, 9, "", " two ", "y")]), (2, [])]
     found = spark.createDataFrame(rows, schema).select("q", fusion.evidence(F.col("contexts")).alias("e"))
     assert {r.q: r.e for r in found.collect()} == {1: "[证据1] B》one\nx\n\n[证据2]\n\n\n[证据3] two\ny", 2: "（未检索到任何证据）"}
+
+
+def test_bm25_cuts_each_text_once(spark):
+    """Texts pass the tokeniser once for both the corpus' size and the postings; repeated and null rows count."""
+    from ravelin.operators import bm25
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        calls.add(1)
+        return (text or "").split()
+
+    seg = F.udf(counted, "array<string>")
+    docs = spark.createDataFrame([(1, "red fox"), (1, "red fox"), (2, "blue fox jumps"), (3, None), (4, "")], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(7, "red fox")], "item_id long, text string").coalesce(1)
+    found = {r.id: r.score for r in bm25.top_k(docs, asked, segment=seg).collect()}
+    n, avgdl = 5, 7 / 5
+    part = lambda df, tf, dl: math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+    assert found == {1: round(part(1, 2, 2) + part(2, 2, 2), 6), 2: round(part(2, 1, 3), 6)}
+    assert calls.value <= 5 + 2  # every document, and the question for its terms and for its scores
