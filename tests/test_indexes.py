@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,28 @@ def test_inverted_index_needs_unique_ids(spark):
     assert inverted_index.search(empty, docs.withColumnRenamed("doc_id", "item_id"))[0].count() == 0
 
 
+def test_inverted_index_cuts_each_text_once(spark, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        cut.add(len(texts))
+        return texts.str.split(" ")
+
+    rnd = random.Random(7)
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"w{rnd.randint(0, 30)}" for _ in range(rnd.choice((1, 9, 90))))) for i in range(300)], "doc_id string, text string").repartition(3)
+    index = inverted_index.build_index(docs, Scratch(spark, "t").path("index"), segment=words, block_docs=8)
+    assert cut.value == 300
+    blocks = index.blocks.collect()
+    assert sorted(i for b in blocks for i in b.ids) == sorted(f"d{i}" for i in range(300)) and max(len(b.ids) for b in blocks) == 8
+    assert sum(b.dls[-1] == b.dls[0] for b in blocks) >= len(blocks) - 9  # of one length, but where one gives way to the next
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 1} w{i}") for i in range(30)], "item_id string, text string")
+    plain = sorted(map(tuple, bm25.top_k(docs, asked, 5).select("q", "id", "score", "rank").collect()))
+    for most in (1024, 7):
+        monkeypatch.setattr(inverted_index, "DEAL_QUERIES", most)
+        assert sorted(map(tuple, inverted_index.search(index, asked, 5)[0].select("q", "id", "score", "rank").collect())) == plain
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 
