@@ -25,17 +25,30 @@ def edges(relations: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
+def name_forms(entities: DataFrame) -> DataFrame:
+    """(name, ord, form, kind): names (0) and aliases (1) as they may stand in a text."""
+    return entities.select("name", "ord", F.col("name").alias("form"), F.lit(0).alias("kind")).unionByName(entities.select("name", "ord", F.explode("aliases").alias("form"), F.lit(1).alias("kind"))).where("form <> ''")
+
+
+def name_cuts(queries: DataFrame, forms: DataFrame) -> DataFrame:
+    """(q, form): substrings of texts that begin as some form of their length does; all forms that stand there among them."""
+    sizes, starts = _beginnings(forms)
+    asked = queries.where("text <> ''").select("q", "text").repartition("q")  # a small file of many queries is one task's
+    places = asked.select("q", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    places = places.select("q", "text", "i", F.explode(F.array(*map(F.lit, sizes))).alias("m")).select("q", "text", "i", F.substr("text", "i", "m").alias("start"))
+    return places.join(starts, "start").where(F.col("i") + F.col("n") - 1 <= F.length("text")).select("q", F.substr("text", "i", "n").alias("form"))
+
+
 def match_entities(queries: DataFrame, entities: DataFrame, vector_hits: DataFrame | None = None, k: int = 5, least: float = 0.5) -> DataFrame:
     """(q, name, score, match, rank): entities whose name stands in the query (1.0), then those with an alias there
     (0.9), then vector hits (q, name, score) above ``least`` that are neither, up to ``k`` in this order.
 
-    Names and aliases are keys of an equality join: a query is cut into all substrings of the lengths that names have,
-    which costs the query's length for each length that occurs, instead of every query with every entity.
+    Names and aliases are keys of an equality join: a query is cut into the substrings that may be one, those that begin
+    as some name of their length does, instead of every query with every entity. Beginnings are as long as their table
+    stays small, so that of a query little more than its names is moved; ``entities`` is read several times.
     """
-    forms = entities.select("name", "ord", F.col("name").alias("form"), F.lit(0).alias("kind")).unionByName(entities.select("name", "ord", F.explode("aliases").alias("form"), F.lit(1).alias("kind"))).where("form <> ''")
-    lengths = forms.select(F.length("form").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("ns"))
-    cut = lambda n: F.transform(F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col("text"), i, n))
-    grams = queries.crossJoin(F.broadcast(lengths)).select("q", F.explode(F.array_distinct(F.flatten(F.transform("ns", cut)))).alias("form"))
+    forms = name_forms(entities)
+    grams = name_cuts(queries, forms)
     found = grams.join(forms, "form").groupBy("q", "name").agg(F.min("kind").alias("kind"), F.min("ord").alias("ord"))
     hits = found.select("q", "name", F.when(F.col("kind") == 0, 1.0).otherwise(0.9).alias("score"), F.when(F.col("kind") == 0, "exact").otherwise("alias").alias("match"), "kind", "ord")
     if vector_hits is not None:
@@ -46,6 +59,23 @@ def match_entities(queries: DataFrame, entities: DataFrame, vector_hits: DataFra
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("kind", "ord")
 
 
+#: Beginnings of names that go to every task, with the lengths of these; the most characters of a beginning.
+NAME_STARTS, START_CHARS = 50_000, 4
+
+
+def _beginnings(forms: DataFrame) -> tuple[list[int], DataFrame]:
+    """(lengths of beginnings, (start, n)): how forms of ``n`` characters begin, by as many characters as keep the rows
+    few; where even one character does not, the rows are not sent to every task. A shorter form is its own beginning."""
+    tries = range(1, START_CHARS + 1)
+    start = lambda m: F.substr("form", F.lit(1), F.lit(m))
+    counts = [F.approx_count_distinct(F.struct(start(m), F.length("form"))) for m in tries]
+    found = forms.agg(F.collect_set(F.least(F.length("form"), F.lit(START_CHARS))).alias("sizes"), *counts).first()
+    few = [m for m in tries if found[m] <= NAME_STARTS]
+    chars = few[-1] if few else 1
+    rows = forms.select(start(chars).alias("start"), F.length("form").alias("n")).distinct()
+    return sorted({min(n, chars) for n in found.sizes}) or [1], F.broadcast(rows) if few else rows
+
+
 #: So many names of a frontier go to every task, to leave out edges that start elsewhere before these are shuffled.
 FRONT_NAMES = 500_000
 

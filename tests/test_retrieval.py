@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import bm25, dense, fusion, graph, kg
@@ -73,6 +74,27 @@ def test_matching(spark):
     assert [(r.name, r.score, r.match) for r in rows] == [("A", 1.0, "exact"), ("B", 1.0, "exact"), ("C", 0.6, "vector")]
 
 
+@pytest.mark.parametrize("most", [50_000, 9, 0])
+def test_matching_moves_little_more_than_names(spark, monkeypatch, most):
+    """Names of many lengths in long questions, by beginnings of any length: those that are there, and few rows for them."""
+    monkeypatch.setattr(graph, "NAME_STARTS", most)
+    names = ["x", "abc", "abcd", "abcde", "abca", "海", "海洋"] + [f"Name#{'0' * i}" for i in range(1, 30)]
+    forms = [(n, i, [f"{n}~{i}"] if i % 3 == 0 else []) for i, n in enumerate(names)]
+    texts = ["abcdeabc", "ab", "abca~4 x~0", "海洋", "Name#000 and " * 3, "", None, "no one of them " * 40 + "ab海", "x" * 50]
+    entities = spark.createDataFrame(forms, "name string, ord long, aliases array<string>")
+    asked = spark.createDataFrame(list(enumerate(texts)), "q long, text string")
+    expected = set()
+    for q, t in enumerate(texts):
+        hits = sorted((0 if n in t else 1, o, n) for n, o, al in forms if n in t or any(a in t for a in al)) if t else []
+        expected |= {(q, n, 0.9 if k else 1.0, r + 1) for r, (k, _, n) in enumerate(hits[:5])}
+    rows = graph.match_entities(asked, entities)
+    assert {(r.q, r.name, r.score, r["rank"]) for r in rows.collect()} == expected
+    if most == 50_000:
+        cut = [n for n in texts if n]
+        moved = graph.name_cuts(asked, graph.name_forms(entities)).count()
+        assert moved < sum(map(len, cut))  # one for each length that names have at each place before: some 30 times as many
+
+
 def test_relation_search_threshold(spark):
     rows = spark.createDataFrame([(1, "A", "r", "B", 0.5), (1, "A", "r", "C", 0.49), (1, "A", "r", "D", 0.9)], "q long, head string, relation string, tail string, score double")
     assert [r.tail for r in graph.relation_search(rows).orderBy("rank").collect()] == ["D", "B"]
