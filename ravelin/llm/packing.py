@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.llm._slices import slices
+
 CAPACITY = 2048
 END = 1
 BLOCK_TOKENS = 1 << 20
@@ -70,7 +72,8 @@ def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list
     stand in a text included. Files that cut otherwise than by words go through the tokenizer as they are.
 
     No pre-token crosses white space, so ids are remembered by what stands between it, and below that by pre-token
-    (the first ``held`` of either, later ones for one call only); a worker keeps both while it lives. New pre-tokens go to
+    (the first ``held`` of either, later ones for one call only), in the dicts ``memory`` of the function, which a task
+    clears when it ends: the worker goes on to other work. New pre-tokens go to
     the tokenizer's model together, already normalised and cut. What could change its cut when it is normalised goes
     to the tokenizer as it is.
     """
@@ -81,7 +84,9 @@ def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
     if not by_words(parts):
-        return lambda texts: [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        plainly = lambda texts: [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        plainly.memory = ()
+        return plainly
     added = [t["content"] for t in parts["added_tokens"]]
     parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
     bare = Tokenizer.from_str(json.dumps(parts))
@@ -140,6 +145,7 @@ def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list
                     memory.pop(k, None)
         return out
 
+    encode.memory = (chunks, words)
     return encode
 
 
@@ -228,10 +234,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.record_batch(out + ([pa.array(cut, pa.binary())] if keep_ids else []), names=[f.name for f in fields])
 
         held = 0
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 100):
-                part = batch.slice(lo, 100)
+        try:
+            for part in slices(batches, 100):
+                id_type = part.schema.field(0).type
                 for key, tokens in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                     block.append(tokens + end)
                     ids.append(key)
@@ -239,7 +244,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     if held >= block_tokens:
                         yield emit()
                         held = 0
-        if block:
-            yield emit()
+            if block:
+                yield emit()
+        finally:
+            for known in encode.memory:
+                known.clear()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

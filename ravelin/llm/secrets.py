@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.llm._slices import slices
 from ravelin.llm.automaton import Automaton, compile_rules
 
 
@@ -110,7 +111,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": rules[i].kind, "start": a, "end": b} for a, b, i in find_spans(t.as_py(), rules, machines)] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(spans, pa.list_(kind))], names=["id", "spans"])
 
@@ -149,7 +150,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
         return "".join([*out, text[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else clean(t) for t in batch.column(field).to_pylist()]
             yield batch.set_column(field, batch.schema.field(field), pa.array(texts, batch.schema.field(field).type))
 

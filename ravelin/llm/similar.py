@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ravelin.llm import simhash
 from ravelin.llm._graph import connected_components
 from ravelin.llm._scratch import Scratch
+from ravelin.llm._slices import ROWS as SLICE, slices
 from ravelin.llm.simhash import BRUTE
 
 #: A pair of similarity 0.8 agrees on none of the bands with a chance of (1 - 0.8 ** ROWS) ** BANDS, 7 in 100,000.
@@ -191,7 +192,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + extra)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t.as_py(), shingle) for t in batch.column(field)]
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
             bands = [band_keys(x).view(np.int64) for x in found]
@@ -199,12 +200,10 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))], names=marked.names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
+        for part in slices(batches):
+            yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
 
-    table = scratch.write(docs.mapInArrow(mark, marked).withColumn("row", F.monotonically_increasing_id()), "rows")
+    table = scratch.write(docs.mapInArrow(mark, marked).withColumn("row", F.monotonically_increasing_id()), "rows", SLICE)
     key = F.col(f"c{[f.name for f in fields].index(id_col)}")
     order = F.struct(key.isNull().alias("none"), key.alias("id"), "row")
     first = scratch.write(table.groupBy("node").agg(F.min(order).alias("first"), F.min("row").alias("at")), "first")
@@ -213,8 +212,8 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = scratch.write(_by_fingerprint(nodes, BITS, scratch).unionByName(_candidates(nodes)).distinct(), "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", F.col("at").alias("row")), "node")
     texts = table.select("row", F.col(f"c{field}").cast("string").alias("text")).join(members.hint("merge"), "row")
-    sets = scratch.write(texts.select("node", "text").mapInArrow(gather, "node long, hashes binary"), "sets")
-    links = scratch.write(_verified(pairs, sets, least), "links")
+    sets = scratch.write(texts.select("node", "text").mapInArrow(gather, "node long, hashes binary"), "sets", SLICE)
+    links = scratch.write(_verified(pairs, sets, least), "links", SLICE)
     roots = connected_components(spark, links, scratch)
     more = scratch.write(_between(nodes, roots, sets, least), "more")
     if more.limit(1).count():

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm._scratch import Scratch
+from ravelin.llm._slices import slices
 
 TILE_WORDS, COVERAGE = 3, 0.8
 BLOCK_BYTES = 16 << 20
@@ -233,7 +234,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([next(shared.value.matches(t.as_py(), coverage), None) is None for t in batch.column(field_)], pa.bool_()))
 
         return run
