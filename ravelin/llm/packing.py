@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from ravelin.llm._slices import slices
 CAPACITY = 2048
 END = 1
 BLOCK_TOKENS = 1 << 20
+KEPT = 50_000  # words that a worker remembers from task to task
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,8 @@ def word_tokenizer(path: str, held: int = 450_000) -> Callable[[list[str]], list
     stand in a text included. Files that cut otherwise than by words go through the tokenizer as they are.
 
     No pre-token crosses white space, so ids are remembered by what stands between it, and below that by pre-token
-    (the first ``held`` of either, later ones for one call only), in the dicts ``memory`` of the function, which a task
-    clears when it ends: the worker goes on to other work. New pre-tokens go to
+    (the first ``held`` of either, later ones for one call only), in the dicts ``memory`` of the function, of which a
+    task leaves the first ``KEPT``, mostly frequent ones, when it ends: the worker goes on to other work. New pre-tokens go to
     the tokenizer's model together, already normalised and cut. What could change its cut when it is normalised goes
     to the tokenizer as it is.
     """
@@ -248,6 +250,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield emit()
         finally:
             for known in encode.memory:
+                early = list(islice(known.items(), KEPT))
                 known.clear()
+                known.update(early)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
