@@ -102,27 +102,45 @@ def reachable(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, scratch: S
     return seen
 
 
+def _few(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
+def _meet(rows: DataFrame, names: DataFrame, key: str, by: list[str], name: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with a table of names, which is written once: up to ``FRONT_NAMES`` of its rows go to
+    every task, and ``rows`` stay where they are; beyond, names of many rows are dealt over parts by ``by``."""
+    names = scratch.write(names, name)
+    if _few(names, FRONT_NAMES):
+        return rows.join(F.broadcast(names), key, how)
+    hubs = scratch.write(spread(rows, key, by)[1], f"{name}-hubs")
+    return with_parts(rows, key, hubs, by).join(to_parts(names, key, hubs, key), [key, "part"], how).drop("part")
+
+
 def expand_weighted(seeds: DataFrame, adjacency: DataFrame, depth: int = 2, decay: float = DECAY, scratch: Scratch | None = None) -> DataFrame:
     """(q, name, score, ord) of the seeds (q, name, score, ord) and what they lead to, each step worth ``decay``.
 
     The first discovery counts, in the order of the frontier and then of its edges, and is never raised later; so
     survivors are numbered in that order, and their numbers order the next frontier. Each frontier is written once, sorted
-    over ranges: no task numbers the whole frontier of a query. Names of many edges are dealt over parts.
+    over ranges: no task numbers the whole frontier of a query. Names of many edges are dealt over parts where a frontier
+    is too large for every task. Repeated edges count once.
     """
-    scratch = scratch or Scratch(seeds.sparkSession, "expansion")
+    return _expanded(seeds, adjacency, depth, decay, scratch or Scratch(seeds.sparkSession, "expansion")).select("q", "name", "score", "ord")
+
+
+def _expanded(seeds: DataFrame, adjacency: DataFrame, depth: int, decay: float, scratch: Scratch) -> DataFrame:
+    """(q, name, score, ord, root, hop): as of ``expand_weighted``, with the place of the seed that led there first."""
     first = seeds.groupBy("q", "name").agg(F.min(F.struct(F.col("ord").cast("long").alias("ord"), F.col("score").cast("double").alias("score"))).alias("x"))
-    seen = scratch.write(first.select("q", "name", "x.score", "x.ord"), "seeds")
+    seen = scratch.write(first.select("q", "name", "x.score", "x.ord", F.col("x.ord").alias("root"), F.lit(0).alias("hop")), "seeds")
     steps = adjacency.select("source", "target", "edge_ord")
-    hubs = scratch.write(spread(steps, "source", ["target", "edge_ord"])[1], "hubs")
-    dealt = with_parts(steps, "source", hubs, ["target", "edge_ord"])
     front, base = seen, 1 << 32
     for hop in range(1, depth + 1):
-        asked = to_parts(front.select("q", F.col("name").alias("source"), "score", F.col("ord").alias("parent_ord")), "source", hubs, "source")
-        near = asked.join(_from(asked, dealt, f"from{hop}", scratch), ["source", "part"]).groupBy("q", F.col("target").alias("name")).agg(F.min(F.struct("parent_ord", "edge_ord", "score")).alias("x"))
+        asked = front.select("q", F.col("name").alias("source"), "score", F.col("ord").alias("parent_ord"), "root")
+        near = _meet(steps, asked, "source", ["target", "edge_ord"], f"from{hop}", scratch)
+        near = near.groupBy("q", F.col("target").alias("name")).agg(F.min(F.struct("parent_ord", "edge_ord", "score", "root")).alias("x"))
         near = near.join(seen.select("q", "name"), ["q", "name"], "left_anti").select("q", "name", "x.*")
         placed = numbered(near, ["q", "parent_ord", "edge_ord", "name"], f"hop{hop}", scratch)
         low = scratch.write(placed.groupBy("q").agg(F.min(f"hop{hop}").alias("low")), f"low{hop}")
-        front = placed.join(low, "q").select("q", "name", (F.col("score") * decay).alias("score"), (F.lit(base) + 1 + F.col(f"hop{hop}") - F.col("low")).cast("long").alias("ord"))
+        front = placed.join(low, "q").select("q", "name", (F.col("score") * decay).alias("score"), (F.lit(base) + 1 + F.col(f"hop{hop}") - F.col("low")).cast("long").alias("ord"), "root", F.lit(hop).alias("hop"))
         seen, base = seen.unionByName(front), base << 1
     return seen
 
@@ -153,15 +171,9 @@ def related_chunks(scored: DataFrame, entities: DataFrame, chunks: DataFrame | N
     asked = named.join(order, "q").groupBy("name", F.floor(F.col("no") / SIDE).cast("int").alias("block"), F.col("score").cast("double").alias("score"))
     asked = asked.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(no % {SIDE} as int))")).alias("bits"))
     every = chunk_links(entities, ["name"]).where("id IS NOT NULL")
-    links, hubs = spread(every, "name", ["id"])
-    met = to_parts(asked, "name", hubs, "name").join(links, ["name", "part"]).groupBy("name", "part", "id", "block", "score").agg(F.first("bits").alias("bits"))
-    many = scratch.write(hubs_of(every, "id"), "many")
-    met = with_parts(met.drop("part"), "id", many, ["name"]).join(many, "id", "left").select("id", "part", F.col("parts").isNotNull().alias("dealt"), "block", "score", "bits")
-    sums = met.repartition("id", "part").sortWithinPartitions("id", "part", "block").mapInArrow(_sums(first), T.StructType([T.StructField("id", every.schema["id"].dataType), *T._parse_datatype_string("dealt boolean, no long, score double").fields]))
-    sums = scratch.write(sums, "sums")
-    whole = sums.where("NOT dealt").select("id", "no", "score").unionByName(sums.where("dealt").groupBy("id", "no").agg(F.sum("score").alias("score")))
+    whole = _summed(asked, every, first, scratch)
     best = F.rank().over(Window.partitionBy("no").orderBy(F.desc("score")))
-    near = whole.withColumn("score", F.round("score", 6)).withColumn("best", best).where(F.col("best") <= first).join(order, "no").select("q", "id", "score")
+    near = whole.withColumn("best", best).where(F.col("best") <= first).join(order, "no").select("q", "id", "score")
     near = scratch.write(near, "near")
     own = every.join(near.select("id").distinct(), "id", "left_semi")
     seen = named.join(own, "name").join(near.select("q", "id"), ["q", "id"]).groupBy("q", "id").agg(F.min("ord").alias("ord"))
@@ -169,6 +181,20 @@ def related_chunks(scored: DataFrame, entities: DataFrame, chunks: DataFrame | N
     return _ranked(part, chunks, first, k).join(matched, "q")
 
 
+def _summed(asked: DataFrame, every: DataFrame, first: int, scratch: Scratch, name: str = "") -> DataFrame:
+    """(id, no, score) of asked names (name, block, score, bits) and links (name, id): the summed scores of chunks, of
+    those that can be among the ``first`` of a query."""
+    hubs = scratch.write(spread(every, "name", ["id"])[1], f"hubs{name}")
+    links = with_parts(every, "name", hubs, ["id"])
+    met = to_parts(asked, "name", hubs, "name").join(links, ["name", "part"]).groupBy("name", "part", "id", "block", "score").agg(F.first("bits").alias("bits"))
+    many = scratch.write(hubs_of(every, "id"), f"many{name}")
+    met = with_parts(met.drop("part"), "id", many, ["name"]).join(many, "id", "left").select("id", "part", F.col("parts").isNotNull().alias("dealt"), "block", "score", "bits")
+    sums = met.repartition("id", "part").sortWithinPartitions("id", "part", "block").mapInArrow(_sums(first), T.StructType([T.StructField("id", every.schema["id"].dataType), *T._parse_datatype_string("dealt boolean, no long, score double").fields]))
+    sums = scratch.write(sums, f"sums{name}")
+    whole = sums.where("NOT dealt").select("id", "no", "score").unionByName(sums.where("dealt").groupBy("id", "no").agg(F.sum("score").alias("score")))
+    return whole.withColumn("score", F.round("score", 6))
+
+
 def _sums(first: int):
     """From (id, part, dealt, block, score, bits) sorted by id, part and block to (id, dealt, no, score): the sum of every
     query of a block that has a bit. Of chunks that are not dealt out, those below the ``first`` best of their query that
@@ -225,6 +251,144 @@ def _turns(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+#: Steps that an excess over the least bound is rounded up to, a byte for each query; a chunk with more links to known
+#: names than bytes can add up has no bound. Chunks of a task and query that are scored first.
+LEVELS, MOST_LINKS, TRIED = 15, 255 // 15, 64
+
+
+def recall_chunks(seeds: DataFrame, adjacency: DataFrame, links: DataFrame, chunks: DataFrame | None = None, depth: int = 2, decay: float = DECAY, first: int = 20, k: int = 10, scratch: Scratch | None = None) -> DataFrame:
+    """(q, id, score, rank): what ``related_chunks`` gives of ``expand_weighted``, for seeds (q, name, score, ord) whose
+    ``ord`` is a place of its own in each query, without all that the last step reaches as a row for each query.
+
+    That step is taken by all queries at once, a bit for each: which seed led there first, and so the score, needs no
+    numbers. Every chunk then has an upper bound by its links alone: what the last step adds to a name is known, and how
+    much names that were met before are worth beyond that is added up in bytes, rounded up. Chunks of the best bounds are
+    scored, which gives each query a score that ``first`` chunks reach; of all others, those whose bound reaches it are
+    scored. Places of names, which order equal scores, are looked up for what is left. Edges and links may repeat, and are
+    read a few times: they should be written. A query that leads on but reaches fewer than ``first`` chunks has no score to
+    leave others out by, so then all are scored. More than ``SIDE`` queries, or scores that are not positive, take the plain way.
+    """
+    scratch = scratch or Scratch(seeds.sparkSession, "recall")
+    seeds = scratch.write(seeds.select("q", "name", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord")), "asked")
+    if depth < 1 or not _few(seeds.select("q").distinct(), SIDE) or not seeds.where("score IS NULL OR NOT score > 0").isEmpty():
+        return related_chunks(expand_weighted(seeds, adjacency, depth, decay, scratch), links, chunks, first, k, scratch).drop("matched_entities")
+    every = chunk_links(links, ["name"]).where("id IS NOT NULL AND name IS NOT NULL")
+    order = seeds.select("q").distinct().withColumn("no", F.row_number().over(Window.orderBy("q")) - 1)  # at most SIDE rows
+    known = scratch.write(_expanded(seeds, adjacency, depth - 1, decay, scratch).join(F.broadcast(order), "q"), "known")
+    front = known.where(F.col("hop") == depth - 1)
+    bits = F.bit_or(F.expr("shiftleft(1L, no)")).alias("bits")
+    last = _last_step(front, known, adjacency, decay, bits, scratch)
+    asked = known.groupBy("name", "score").agg(bits).unionByName(last).select("name", F.lit(0).alias("block"), "score", "bits")
+    asked = scratch.write(asked, "states")
+
+    step = {r.no: r.most * decay for r in front.groupBy("no").agg(F.max("score").alias("most")).collect()}
+    base = np.array([step.get(no, 0.0) for no in range(SIDE)])
+    bounds, unit = _bounds(known, every, base, scratch)
+
+    def scored(ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        ids = scratch.write(ids, f"ids-{name}")
+        own = every.join(F.broadcast(ids) if _few(ids, FRONT_NAMES) else ids, "id", "left_semi").distinct()
+        own = scratch.write(own, f"links-{name}")
+        return _summed(asked, own, first, scratch, f"-{name}"), own
+
+    ids, queries = T.StructType([bounds.schema["id"]]), order.count()
+    tried = scored(bounds.mapInArrow(_likeliest(base, unit, queries), ids).distinct(), "tried")[0]
+    nth = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("score")))
+    reached = {r.no: r.score for r in tried.withColumn("nth", nth).where(F.col("nth") == first).collect()}
+    least = np.array([reached.get(no, -np.inf) for no in range(SIDE)])
+    whole, own = scored(bounds.mapInArrow(_reaching(base, unit, least, queries), ids), "left")
+    best = F.rank().over(Window.partitionBy("no").orderBy(F.desc("score")))
+    near = scratch.write(whole.withColumn("best", best).where(F.col("best") <= first).join(F.broadcast(order), "no").select("q", "id", "score"), "near")
+    seen = _first_places(near, own, known, front, adjacency, scratch)
+    return _ranked(near.join(seen, ["q", "id"]).select("q", "id", "score", F.struct("ord", "id").alias("seen")), chunks, first, k)
+
+
+def _last_step(front: DataFrame, known: DataFrame, adjacency: DataFrame, decay: float, bits, scratch: Scratch) -> DataFrame:
+    """(name, score, bits) of what the frontier leads to and is not known. Places follow those of the seeds that led there,
+    so the first discovery is by the least of these: a query that one has is taken from all later ones."""
+    lead = front.groupBy(F.col("name").alias("source"), "root", "score").agg(bits)
+    met = _meet(adjacency.select("source", "target"), lead, "source", ["target"], "lead", scratch)
+    met = met.groupBy(F.col("target").alias("name"), "root", "score").agg(F.bit_or("bits").alias("bits"))
+    had = known.groupBy("name").agg(bits).withColumns({"root": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})
+    earlier = Window.partitionBy("name").orderBy(F.asc_nulls_first("root")).rowsBetween(Window.unboundedPreceding, -1)
+    new = met.unionByName(had).withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("bits").over(earlier), F.lit(0).cast("long")))))
+    return new.where("root IS NOT NULL AND bits <> 0").groupBy("name", (F.col("score") * decay).alias("score")).agg(F.bit_or("bits").alias("bits"))
+
+
+def _bounds(known: DataFrame, every: DataFrame, base: np.ndarray, scratch: Scratch) -> tuple[DataFrame, float]:
+    """((id, n, met, b0, b1, b2, b3), unit): links of each chunk, those to known names, and for every query a byte with
+    what these are worth beyond ``base``, in units, rounded up; null where the bytes do not hold it."""
+    beyond = F.col("score") - F.element_at(F.array(*map(F.lit, base.tolist())), F.col("no") + 1)
+    worth = known.withColumn("beyond", F.greatest(beyond, F.lit(0.0)))
+    unit = (worth.agg(F.max("beyond").alias("most")).first().most or 0.0) / LEVELS or 1.0
+    level = F.least(F.ceil(F.col("beyond") / unit), F.lit(LEVELS)).cast("long")
+    places = range(SIDE // 8)
+    put = lambda p: F.sum(F.when(F.floor(F.col("no") / 8) == p, F.call_function("shiftleft", level, (F.col("no") % 8 * 8).cast("int"))).otherwise(0)).alias(f"b{p}")
+    # The last byte of a long has its sign: no level reaches that alone, and sums that do are null.
+    names = worth.groupBy("name").agg(*map(put, places), F.lit(1).alias("one"))
+    marked = _meet(every, names, "name", ["id"], "worth", scratch, "left")
+    added = [F.try_sum(F.coalesce(f"b{p}", F.lit(0).cast("long"))).alias(f"b{p}") for p in places]
+    return scratch.write(marked.groupBy("id").agg(F.count("*").alias("n"), F.count("one").alias("met"), *added), "bounds"), unit
+
+
+def _upper(rows: pa.Table, base: np.ndarray, unit: float) -> np.ndarray:
+    """The most that the chunks of bound rows can score, by query."""
+    parts = [rows.column(f"b{p}") for p in range(SIDE // 8)]
+    lanes = np.stack([pc.fill_null(x, 0).to_numpy().astype("<i8") for x in parts], axis=1).view(np.uint8)
+    out = rows.column("n").to_numpy()[:, None] * base + unit * lanes
+    open_ = rows.column("met").to_numpy() > MOST_LINKS
+    for x in parts:
+        open_ |= pc.is_null(x).to_numpy()
+    out[open_] = np.inf
+    return out
+
+
+def _likeliest(base: np.ndarray, unit: float, queries: int):
+    """The ids of a task's ``TRIED`` best bounds of every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.table(batch) if kept is None else pa.concat_tables([kept, pa.table(batch)]).combine_chunks()
+            if rows.num_rows > TRIED:
+                upper = _upper(rows, base, unit)[:, :queries]
+                rows = rows.take(pa.array(np.unique(np.argpartition(-upper, TRIED, axis=0)[:TRIED])))
+            kept = rows.combine_chunks()
+        if kept is not None:
+            yield from kept.select(["id"]).to_batches()
+
+    return run
+
+
+def _reaching(base: np.ndarray, unit: float, least: np.ndarray, queries: int):
+    """The ids whose bound reaches the least score of some query; scores are rounded, so what falls short by less stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.table(batch)
+            upper = _upper(rows, base, unit)[:, :queries]
+            hit = ((upper > 0) & (upper >= least[:queries] - 2e-6)).any(axis=1)
+            yield from rows.filter(pa.array(hit)).select(["id"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _first_places(near: DataFrame, own: DataFrame, known: DataFrame, front: DataFrame, adjacency: DataFrame, scratch: Scratch) -> DataFrame:
+    """(q, id, ord) of chunks (q, id): the first place of their names, known ones first; what the last step reaches stands
+    by its parent, edge and name."""
+    place = lambda *x: F.struct(*(c.alias(n) for n, c in zip(("last", "parent", "edge", "name"), x)))
+    no = F.lit(0).cast("long")
+    met = own.join(F.broadcast(near.select("id").distinct()) if _few(near, FRONT_NAMES) else near.select("id").distinct(), "id", "left_semi")
+    early = known.select("q", "name", "ord").join(met, "name").join(near.select("q", "id"), ["q", "id"])
+    early = scratch.write(early.groupBy("q", "id").agg(F.min(place(F.lit(0), F.col("ord"), no, F.lit(""))).alias("ord")), "early")
+    late = scratch.write(near.select("q", "id").join(early, ["q", "id"], "left_anti").join(met, "id"), "late")
+    asked = front.select("q", F.col("name").alias("source"), F.col("ord").alias("parent"))
+    steps = _meet(adjacency.select("source", "target", "edge_ord"), late.select(F.col("name").alias("target")).distinct(), "target", ["source", "edge_ord"], "targets", scratch)
+    found = _meet(steps, asked, "source", ["target", "edge_ord"], "parents", scratch).groupBy("q", F.col("target").alias("name")).agg(F.min(F.struct("parent", "edge_ord")).alias("x"))
+    found = late.join(found, ["q", "name"]).groupBy("q", "id").agg(F.min(place(F.lit(1), F.col("x.parent"), F.col("x.edge_ord"), F.col("name"))).alias("ord"))
+    return early.unionByName(found)
+
+
 def graph_search(queries: DataFrame, entities: DataFrame, adjacency: DataFrame, chunks: DataFrame | None = None, vector_hits: DataFrame | None = None, depth: int = 2, first: int = 20, k: int = 10, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, expansion) of (q, text): ``hits`` as of ``related_chunks``; ``expansion`` has the matched entities of each
     query that matched any and the names of the first ``first`` it was expanded to, seeds included."""

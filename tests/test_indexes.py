@@ -269,3 +269,61 @@ def test_chunk_sums_of_many_queries_and_repeated_links(spark, monkeypatch):
         monkeypatch.setattr(g, "spread", lambda r, key, by: spread.spread(r, key, by, part_rows))
         monkeypatch.setattr(g, "hubs_of", lambda r, key: spread.hubs_of(r, key, part_rows))
         assert {(r.q, r["rank"], r.id, r.score) for r in g.related_chunks(rows, table, first=4, k=3).collect()} == expected
+
+
+@pytest.mark.parametrize("few, tried, depth", [(500_000, 64, 2), (0, 1, 2), (500_000, 2, 1), (500_000, 3, 3)])
+def test_recall_scores_few_chunks_and_gives_what_all_give(spark, monkeypatch, few, tried, depth):
+    """Scores of unequal seeds, places that tie, repeated edges and links, chunks of too many names for a bound."""
+    rng = random.Random(depth + tried)
+    names = [f"n{i}" for i in range(60)]
+    ends = [(rng.choice(names), "r", rng.choice(names), rng.randrange(80)) for _ in range(90)]
+    rels = spark.createDataFrame([e for e in ends if e[0] != e[2]] * 2, "head string, relation string, tail string, ord long")
+    linked = [(rng.choice(names), c) for c in range(3000) for _ in range(1 if c % 40 else 9)] + [(n, 7) for n in names] + [(n, 11) for n in names[:30]] + [(None, 3), ("n1", None)]
+    links = spark.createDataFrame(linked + linked[:200], "name string, chunk long")
+    seeds = [(q, n, rng.choice([1.0, 0.9, 0.95, 0.6]), o) for q in range(12) for o, n in enumerate(rng.sample(names, rng.choice([1, 2, 4])), 1)]
+    seeds = spark.createDataFrame(seeds + [(40, "nowhere", 1.0, 1)], "q long, name string, score double, ord long")
+    monkeypatch.setattr(graph, "FRONT_NAMES", few)
+    monkeypatch.setattr(graph, "TRIED", tried)
+    monkeypatch.setattr(graph, "spread", lambda rows, key, by: spread.spread(rows, key, by, 20))
+    rows = lambda df: sorted(map(tuple, df.select("q", "id", "score", "rank").collect()))
+    scratch, steps = Scratch(spark, "t"), graph.edges(rels)
+    assert rows(graph.recall_chunks(seeds, steps, links, None, depth, first=6, k=5, scratch=scratch)) == rows(graph.related_chunks(graph.expand_weighted(seeds, steps, depth), links, first=6, k=5))
+    if tried > 3:
+        assert spark.read.parquet(scratch.path("ids-left")).count() < 1500
+
+
+def test_steps_of_a_graph_are_those_of_the_stored_graph(spark, monkeypatch):
+    mentions = spark.createDataFrame([("嘉庚", "人物", "short", "c1", 1), ("陈嘉庚", "other", "longer text", "c2", 2), ("我们", "人物", "x", "c1", 3), ("厦大", "学校", "", None, 4)], "name string, type string, description string, chunk string, ord long")
+    triples = spark.createDataFrame([("嘉庚", "人物", "founds", "厦门大学", "组织", "d", "c4", 1), ("嘉庚", "人物", "is", "陈嘉庚", "人物", "loop", "c4", 2), ("陈嘉庚先生", "人物", "founds", "厦大", "组织", "longer", "c5", 3), ("12", "人物", "founds", "厦大", "组织", "noise", "", 4)], "head string, head_type string, relation string, tail string, tail_type string, description string, chunk string, ord long")
+    stored = kg.build(mentions, triples, Scratch(spark, "t"))
+    rows = lambda df: sorted(set(map(repr, df.collect())))
+    for most in (100, 0):
+        monkeypatch.setattr(kg, "CHANGED_NAMES", most)
+        built = kg.build_steps(mentions, triples, Scratch(spark, "t"))
+        assert rows(built.entities.select("name", "ord", "aliases")) == rows(stored.entities.select("name", "ord", "aliases"))
+        assert rows(built.relations.groupBy(kg.TRIPLE).agg(F.min("ord").alias("ord"))) == rows(stored.relations.select(*kg.TRIPLE, "ord"))
+        assert rows(built.entity_links) == rows(stored.entity_links) and rows(built.relation_links) == rows(stored.relation_links)
+    numbers = kg.build_steps(mentions, triples, Scratch(spark, "t"), F.regexp_extract("chunk", "([0-9]+)$", 1).try_cast("long"))
+    assert {r.chunk for r in numbers.entity_links.collect()} == {1, 2, 4, 5} and {r.chunk for r in numbers.relation_links.collect()} == {4, 5}
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_only_words_that_are_asked_for_are_moved(spark, monkeypatch, most):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, "delta"), (4, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "beta alpha"), (2, "gamma gamma"), (3, "nothing")], "item_id long, text string")
+    seen, write = {}, Scratch.write
+
+    def kept(self, df, name, *more):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "write", kept)
+    monkeypatch.setattr(bm25, "ASKED_TERMS", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where nothing is known of the sizes
+    try:
+        found = {(r.q, r.id) for r in bm25.top_k(docs, asked).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {(1, 1), (1, 2), (2, 2)}
+    assert ("SortMergeJoin" not in seen["terms"]) == (most > 0)
