@@ -108,8 +108,12 @@ def _few(rows: DataFrame, most: int) -> bool:
 
 def _meet(rows: DataFrame, names: DataFrame, key: str, by: list[str], name: str, scratch: Scratch, how: str = "inner") -> DataFrame:
     """``rows`` joined on ``key`` with a table of names, which is written once: up to ``FRONT_NAMES`` of its rows go to
-    every task, and ``rows`` stay where they are; beyond, names of many rows are dealt over parts by ``by``."""
+    every task, and ``rows`` stay where they are; beyond, names of many rows are dealt over parts by ``by``. Of stored
+    rows, those are not read whose row group has no name between the first and the last."""
     names = scratch.write(names, name)
+    if how == "inner":
+        ends = names.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+        rows = rows.where(F.col(key).between(ends.low, ends.high))
     if _few(names, FRONT_NAMES):
         return rows.join(F.broadcast(names), key, how)
     hubs = scratch.write(spread(rows, key, by)[1], f"{name}-hubs")
@@ -348,12 +352,16 @@ def _likeliest(base: np.ndarray, unit: float, queries: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
+        floor = np.full(queries, -np.inf)  # what a bound has to be above to come among them
         for batch in batches:
-            rows = pa.table(batch) if kept is None else pa.concat_tables([kept, pa.table(batch)]).combine_chunks()
-            if rows.num_rows > TRIED:
-                upper = _upper(rows, base, unit)[:, :queries]
-                rows = rows.take(pa.array(np.unique(np.argpartition(-upper, TRIED, axis=0)[:TRIED])))
-            kept = rows.combine_chunks()
+            rows = pa.table(batch)
+            rows = rows.filter(pa.array((_upper(rows, base, unit)[:, :queries] > floor).any(axis=1)))
+            kept = rows if kept is None else pa.concat_tables([kept, rows]).combine_chunks()
+            if kept.num_rows > TRIED:
+                upper = _upper(kept, base, unit)[:, :queries]
+                at = np.argpartition(-upper, TRIED - 1, axis=0)[:TRIED]
+                floor = np.take_along_axis(upper, at, axis=0).min(axis=0)
+                kept = kept.take(pa.array(np.unique(at))).combine_chunks()
         if kept is not None:
             yield from kept.select(["id"]).to_batches()
 
